@@ -1,7 +1,5 @@
 """SQL of the labelling, parsing and text queries."""
 
-from mergescope.oracle.snippets import rnd  # noqa: F401
-
 SPACE = r"\t-\r\x{1c}-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 EDGE, TAIL = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 FIX_WORDS = "|".join((
@@ -37,11 +35,8 @@ r AS (SELECT *, CASE WHEN value > 60 THEN 'no answer given' WHEN value > 40 THEN
              WHEN confidence NOT BETWEEN 1 AND 10 THEN 'confidence range' END AS problem FROM b)"""
 
 GIT = f"""
-g AS (SELECT DISTINCT l_orderkey AS pr_id, {SHA} AS sha, l_suppkey, l_linenumber, 'src/' || l_linenumber || '.py' AS file, CAST(l_quantity AS BIGINT) AS add,
-        CAST(round(l_discount * 100) AS BIGINT) AS del, l_returnflag, l_tax FROM lineitem)"""
-
-ONE_PER_SHA = """
-last AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY sha ORDER BY pr_id) = 1)"""
+g AS (SELECT l_orderkey AS pr_id, {SHA} AS sha, l_suppkey, l_linenumber, 'src/' || l_linenumber || '.py' AS file, CAST(l_quantity AS BIGINT) AS add,
+        CAST(round(l_discount * 100) AS BIGINT) AS del, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'renamed' ELSE l_returnflag END AS status, l_tax FROM lineitem)"""
 
 SQL = {
     "c1_classified_summary": """
@@ -58,7 +53,7 @@ WITH l AS (SELECT {label('title')} AS label FROM v_prs)
 SELECT label, CASE WHEN label IS NOT NULL THEN 10 END AS confidence, CASE WHEN label IS NOT NULL THEN 'title provides conventional commit label' END AS reason,
   count(*) AS n FROM l GROUP BY label""",
     "c2_title_shapes": f"""
-WITH t AS (SELECT ['feat!', 'feature', 'FIX(api)', 'docs(readme)!', 'ci/cd', 'Chore', 'revert:', 'testing', 'style', 'perf_x', 'other', 'build(', 'refactor)'][CAST(l_quantity AS INT) % 13 + 1]
+WITH t AS (SELECT ['feat!', 'feature', 'FIX(api)', 'docs(readme)!', 'ci/cd', 'Chore', 'revert:', 'testing', 'style', 'perf_x', 'other', 'build(', 'refactor)', 'test'][CAST(l_linenumber + CASE l_linestatus WHEN 'O' THEN 7 ELSE 0 END AS INT)]
              || ' ' || l_returnflag AS head FROM lineitem)
 SELECT head, {label('head')} AS label, count(*) AS n FROM t GROUP BY ALL""",
     "c3_incremental_labels": f"""
@@ -102,4 +97,27 @@ FROM conversations GROUP BY role""",
 WITH f AS (SELECT c.sha, p.repo_name, row_number() OVER (PARTITION BY c.sha ORDER BY l_linenumber, l_partkey, l_suppkey, pr_id) AS k
            FROM v_commits c JOIN v_prs p ON c.pr_id = p.id)
 SELECT repo_name, sha, CAST(floor((row_number() OVER (PARTITION BY repo_name ORDER BY md5(sha), sha) - 1) / 50) AS BIGINT) AS batch FROM f WHERE k = 1""",
+    "p1_numstat_totals": f"""
+WITH {GIT}
+SELECT file AS filename, count(*) AS n, CAST(sum(add) AS BIGINT) AS additions, CAST(sum(del) AS BIGINT) AS deletions FROM g WHERE l_tax > 0 GROUP BY file
+UNION ALL SELECT 'logo.png', count(*), 0, 0 FROM g WHERE l_tax > 0""",
+    "p1_log_headers": f"""
+WITH {GIT}
+SELECT 'Name ' || l_suppkey AS author, 'Bot' AS committer, 'Fix line' || chr(10) || chr(10) || 'body of ' || file AS message, count(*) AS n FROM g GROUP BY ALL""",
+    "p2_status_words": f"""
+WITH {GIT}
+SELECT file AS filename, status, count(*) AS n FROM g GROUP BY ALL UNION ALL SELECT 'logo.png', 'modified', count(*) FROM g""",
+    "p3_patch_sizes": f"""
+WITH {GIT}
+SELECT file AS filename, count(*) AS n, count(*) FILTER (add + 17 <= 50) AS kept, CAST(sum(add + 17) FILTER (add + 17 <= 50) AS BIGINT) AS bytes FROM g GROUP BY file
+UNION ALL SELECT 'logo.png', count(*), count(*), count(*) * 20 FROM g""",
+    "p4_commit_details": f"""
+WITH {GIT},
+one AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY sha ORDER BY pr_id, l_linenumber) = 1),
+held AS (SELECT DISTINCT sha, pr_id FROM g),
+files AS (SELECT sha, file AS filename, status, add + del AS changes, add + del AS total FROM one WHERE l_tax > 0
+          UNION ALL SELECT sha, 'logo.png', 'modified', 0, add + del FROM one WHERE l_tax > 0
+          UNION ALL SELECT sha, NULL, NULL, NULL, 0 FROM one WHERE l_tax <= 0)
+SELECT filename, status, count(*) AS n, count(DISTINCT pr_id) AS prs, CAST(sum(changes) AS BIGINT) AS changes, CAST(sum(total) AS BIGINT) AS commit_total, count(filename) AS patches
+FROM files JOIN held USING (sha) GROUP BY filename, status""",
 }

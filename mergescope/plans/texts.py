@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergescope.config import SHA_BATCH_SIZE
 from mergescope.functions.text import (
-    classify_title, conventional_label, first_line, repo_of, canonical_url, shorten, strip, within_bytes, word_count,
+    canonical_url, classify_title, conventional_label, first_line, repo_of, shorten, strip, within_bytes, word_count,
 )
 from mergescope.operators.gittext import (
     COMMIT_MARK, MESSAGE_END, build_details, diff_files, log_commits, name_status, numstat_files,
@@ -15,7 +14,8 @@ from mergescope.operators.gittext import (
 from mergescope.operators.labelling import (
     attribute, classify_table, fixes_with_commits, label_by_title, label_incremental, parse_responses, validate_responses,
 )
-from mergescope.operators.ranking import hashed_row_number, sha_batches
+from mergescope.operators.joins import keep_first
+from mergescope.operators.ranking import sha_batches
 from mergescope.sources.readers import flatten_commit_files, flatten_commits, flatten_pulls
 from mergescope.sources.warehouse import COMMIT_ORDER, Warehouse
 
@@ -56,13 +56,12 @@ def conventional_labels(w: Warehouse) -> DataFrame:
 
 def _titles(w: Warehouse) -> DataFrame:
     """Titles in every shape the labeller meets, one per order line."""
-    kind = F.element_at(
-        F.array(*[F.lit(t) for t in (
-            "feat!", "feature", "FIX(api)", "docs(readme)!", "ci/cd", "Chore", "revert:", "testing", "style", "perf_x", "other", "build(",
-            "refactor)",
-        )]),
-        (F.col("l_quantity") % 13).cast("int") + 1,
+    kinds = (
+        "feat!", "feature", "FIX(api)", "docs(readme)!", "ci/cd", "Chore", "revert:", "testing", "style", "perf_x", "other", "build(",
+        "refactor)", "test",
     )
+    shape = F.col("l_linenumber") + F.when(F.col("l_linestatus") == "O", 7).otherwise(0)
+    kind = F.element_at(F.array(*[F.lit(t) for t in kinds]), shape.cast("int"))
     return w.table("lineitem").select(F.col("l_orderkey").alias("id"), F.concat(kind, F.lit(" "), F.col("l_returnflag"), F.lit("\nfix: second line")).alias("title"))
 
 
@@ -117,6 +116,8 @@ def attributed_authors(w: Warehouse) -> DataFrame:
 
 # Git text
 
+LINE = ["pr_id", "l_linenumber"]
+
 
 def _sha(part: str, supplier: str) -> Column:
     return F.sha1(F.concat_ws("-", F.col(part).cast("string"), F.col(supplier).cast("string")))
@@ -131,6 +132,7 @@ def _git_rows(w: Warehouse) -> DataFrame:
         F.col("l_quantity").cast("long").cast("string").alias("add"),
         F.round(F.col("l_discount") * 100).cast("long").cast("string").alias("del"),
         F.col("l_suppkey").cast("string").alias("who"),
+        "l_linenumber",
         "l_returnflag",
         "l_tax",
     )
@@ -147,28 +149,28 @@ def _git_rows(w: Warehouse) -> DataFrame:
         F.lit("diff --git a/"), F.col("file"), F.lit(" b/"), F.col("file"), F.lit("\n--- a\n+++ b\n@@\n+"), F.repeat(F.lit("x"), F.col("add").cast("int")),
         F.lit("\ndiff --git a/logo.png b/logo.png\nBinary files differ\n"),
     )
-    return text.select("pr_id", "sha", log.alias("log"), status.alias("status_text"), diff.alias("diff"))
+    return text.select("pr_id", "l_linenumber", "sha", log.alias("log"), status.alias("status_text"), diff.alias("diff"))
 
 
 def numstat_totals(w: Warehouse) -> DataFrame:
-    commits = log_commits(_git_rows(w), "log", ["pr_id"])
-    files = numstat_files(commits, "numstat", ["pr_id", "sha"])
+    commits = log_commits(_git_rows(w), "log", LINE)
+    files = numstat_files(commits, "numstat", ["sha"])
     return files.groupBy("filename").agg(
         F.count(F.lit(1)).alias("n"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
     )
 
 
 def log_headers(w: Warehouse) -> DataFrame:
-    commits = log_commits(_git_rows(w), "log", ["pr_id"])
+    commits = log_commits(_git_rows(w), "log", LINE)
     return commits.groupBy("author", "committer", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
 def status_words(w: Warehouse) -> DataFrame:
-    return name_status(_git_rows(w), "status_text", ["pr_id"]).groupBy("filename", "status").agg(F.count(F.lit(1)).alias("n"))
+    return name_status(_git_rows(w), "status_text", LINE).groupBy("filename", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def patch_sizes(w: Warehouse) -> DataFrame:
-    patches = diff_files(_git_rows(w), "diff", ["pr_id", "sha"], cap=50)
+    patches = diff_files(_git_rows(w), "diff", [*LINE, "sha"], cap=50)
     return patches.groupBy("filename").agg(
         F.count(F.lit(1)).alias("n"), F.count("patch").alias("kept"), F.sum(F.octet_length("patch")).alias("bytes")
     )
@@ -177,9 +179,9 @@ def patch_sizes(w: Warehouse) -> DataFrame:
 def commit_details(w: Warehouse) -> DataFrame:
     """Detail rows rebuilt from git text, summed per file status."""
     rows = _git_rows(w)
-    commits = log_commits(rows, "log")
+    texts = keep_first(rows, ["sha"], [F.col(c) for c in (*LINE, "log")])
     details = build_details(
-        commits, name_status(rows, "status_text"), None, rows.select("sha", "pr_id")
+        log_commits(texts, "log"), name_status(texts, "status_text"), diff_files(texts, "diff", ["sha"]), rows.select("sha", "pr_id")
     )
     return details.groupBy("filename", "status").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("pr_id").alias("prs"), F.sum("changes").alias("changes"),
