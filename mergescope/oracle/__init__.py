@@ -27,10 +27,10 @@ def with_views(body: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    from mergescope.oracle import cohorts, operators, reports, texts
+    from mergescope.oracle import cohorts, operators, reports, streams, texts
 
     out: dict[str, str] = {}
-    for module in (operators, reports, cohorts, texts):
+    for module in (operators, reports, cohorts, texts, streams):
         for name, body in module.SQL.items():
             out[name] = with_views(body)
     return out

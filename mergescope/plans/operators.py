@@ -48,7 +48,7 @@ def filtered_scan(w: Warehouse) -> DataFrame:
 
 
 def status_document(w: Warehouse) -> DataFrame:
-    """Status lists exploded from one document per segment."""
+    """Status lists exploded from one small document per customer."""
     balance = F.col("c_acctbal")
     name = F.col("c_name")
 

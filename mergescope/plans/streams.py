@@ -1 +1,57 @@
-PLANS = {}
+"""Streaming runs over whole tables, whose results equal a batch query's."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mergescope.functions.numeric import np_round, percent
+from mergescope.operators.filters import closed_fixes
+from mergescope.operators.labelling import label_by_title
+from mergescope.sources.warehouse import Warehouse
+from mergescope.streaming.incremental import append_to, daily_counts, dedup_stream, keep_latest, monthly_update, run_folder
+
+
+def _events(w: Warehouse) -> DataFrame:
+    return w.stream("events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def resumed_labels(w: Warehouse) -> DataFrame:
+    """Titles labelled by a stream that is stopped and resumed; the second run finds nothing left to do."""
+    folder = run_folder(w.spark, "labels")
+    labels = label_by_title(w.prs_from(w.stream("orders")).select("id", "title"))
+    append_to(labels, folder)
+    return append_to(labels, folder).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_stream(w: Warehouse) -> DataFrame:
+    """A base and a replayed incremental stream merged by key."""
+    both = _events(w).withColumn("run", F.lit("base")).unionByName(_events(w).withColumn("run", F.lit("replay")))
+    merged = append_to(dedup_stream(both, ["event_id"], "ts", "40 days"), run_folder(w.spark, "merge"))
+    return merged.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("keys"))
+
+
+def daily_event_counts(w: Warehouse) -> DataFrame:
+    """Counts of the days that closed two hours before the last event."""
+    return append_to(daily_counts(_events(w), "ts", ["event_type"], "2 hours"), run_folder(w.spark, "daily"))
+
+
+def monthly_merge_counts(w: Warehouse) -> DataFrame:
+    prs = w.prs_from(w.stream("orders"))
+    monthly = keep_latest(monthly_update(prs, "created_at", ["agent"]), run_folder(w.spark, "monthly"))
+    return monthly.withColumn("rate", np_round(percent(F.col("merged"), F.col("total")), 4))
+
+
+def filtered_in_steps(w: Warehouse) -> DataFrame:
+    """Closed fixes kept by a stream that reads one file at a time."""
+    kept = closed_fixes(w.prs_from(w.stream("orders", files_per_trigger=1))).select("id", "month", "agent")
+    return append_to(kept, run_folder(w.spark, "fixes")).groupBy("month", "agent").agg(F.count(F.lit(1)).alias("n"))
+
+
+PLANS = {
+    "i1_resumed_labels": resumed_labels,
+    "i2_merged_stream": merged_stream,
+    "i3_daily_counts": daily_event_counts,
+    "i3_monthly_update": monthly_merge_counts,
+    "i4_filtered_in_steps": filtered_in_steps,
+}

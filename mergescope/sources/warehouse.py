@@ -56,11 +56,25 @@ class Warehouse:
     @cached_property
     def prs(self) -> DataFrame:
         """All pull requests, without the columns that need a join."""
+        return self.prs_from(self.table("orders"))
+
+    def stream(self, name: str, files_per_trigger: int | None = None) -> DataFrame:
+        """A table as a stream of its files, optionally in bounded steps."""
+        # A pattern, because a plain stream path must be a folder and a table may be one file.
+        path = f"{self.folder}/{name}.parque[t]"
+        reader = self.spark.readStream.schema(self.table(name).schema)
+        if files_per_trigger is not None:
+            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+        return reader.parquet(path)
+
+    @staticmethod
+    def prs_from(orders: DataFrame) -> DataFrame:
+        """Pull requests of a batch or streaming orders table."""
         agent = F.when(F.col("o_totalprice") >= EXCLUDED_ABOVE, EXCLUDED_AGENT).otherwise("Devin")
         for priority, name in AGENT_BY_PRIORITY.items():
             agent = F.when(F.col("o_orderpriority") == priority, name).otherwise(agent)
         repo = F.concat(F.lit("acme-"), F.col("o_custkey").cast("string"), F.lit("/repo"))
-        raw = self.table("orders").select(
+        raw = orders.select(
             F.col("o_orderkey").alias("id"),
             F.col("o_orderkey").alias("number"),
             F.col("o_custkey").alias("repo_id"),
