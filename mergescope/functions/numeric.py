@@ -85,7 +85,9 @@ def order_cell(x: Column) -> Column:
     """
     value = x.cast("double")
     size = F.floor(F.log2(F.abs(value)) * F.lit(float(CELLS_PER_OCTAVE))).cast("long") + F.lit(CELL_OFFSET)
-    return F.when(value == 0.0, F.lit(0).cast("long")).when(value > 0.0, size).otherwise(-size)
+    zero = F.lit(0).cast("long")
+    # Never NULL, so a join on the cell adds no filter that would keep two branches from sharing one shuffle.
+    return F.coalesce(F.when(value == 0.0, zero).when(value > 0.0, size).otherwise(-size), zero)
 
 
 def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:

@@ -7,23 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The characters that separate words, and those that end a line.
-SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ASCII_SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21))))
+WIDE_SPACES = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACES = ASCII_SPACES + WIDE_SPACES
+ASCII_WORD = r"[^\t-\r\x1c-\x20]+"
 LINE_BREAK_CLASS = r"\n-\r\x1c-\x1e\x85\x{2028}\x{2029}"
 
-# Alternatives that mark a title as a fix, matched without regard to case.
-FIX_TITLE_PATTERNS = (
-    r"^fix(\([^)]*\))?!?[\s:!/]",
-    r"\bfix(es|ed|ing)?\b",
-    r"\bbug\s*fix\b",
-    r"\bhotfix\b",
-    r"\bbug\b",
-    r"\bpatch\b",
-    r"\bresolv(e[ds]?|ing)\b",
-    r"\berror\b",
-    r"\bcrash(es|ed|ing)?\b",
-    r"\bdefect\b",
-    r"\bregression\b",
-    r"\bbroken\b",
+# The opening and the words that mark a title as a fix, matched without regard to case.
+FIX_OPENING = r"^fix(?:\([^)]*\))?!?[\s:!/]"
+FIX_WORDS = (
+    r"fix(?:es|ed|ing)?", r"bug\s*fix", r"hotfix", r"bug", r"patch", r"resolv(?:e[ds]?|ing)", r"error", r"crash(?:es|ed|ing)?", r"defect",
+    r"regression", r"broken",
 )
 
 # Commit types in matching order.
@@ -39,12 +33,17 @@ UNKNOWN = "Unknown"
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; NULL counts as zero."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE_CLASS}]+"))
+    known = F.coalesce(text, F.lit(""))
+    # A class of ASCII characters alone matches several times faster, so other spaces are replaced first where text has any.
+    plain = F.when(F.octet_length(known) == F.char_length(known), known).otherwise(
+        F.translate(known, WIDE_SPACES, " " * len(WIDE_SPACES))
+    )
+    return F.regexp_count(plain, F.lit(ASCII_WORD))
 
 
 def strip(text: Column) -> Column:
     """Remove whitespace at both ends."""
-    return F.regexp_replace(text, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def first_line(text: Column) -> Column:
@@ -71,8 +70,8 @@ def remove_prefix(text: Column, prefix: str) -> Column:
 
 
 def is_fix_title(title: Column) -> Column:
-    pattern = "|".join(f"({p})" for p in FIX_TITLE_PATTERNS)
-    return F.coalesce(title, F.lit("")).rlike(f"(?iU){pattern}")
+    # One word boundary guards all words, so most positions of a long text are left after a single test.
+    return F.coalesce(title, F.lit("")).rlike(rf"(?iU){FIX_OPENING}|\b(?:{'|'.join(FIX_WORDS)})\b")
 
 
 def classify_title(title: Column) -> Column:

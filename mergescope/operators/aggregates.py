@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mergescope.functions.numeric import percent
 from mergescope.operators.filters import min_size
 
-MERGED = F.col("is_merged")
+def is_merged() -> Column:
+    return F.col("is_merged")
 
 
 def value_totals(df: DataFrame, column: str, alias: str = "n") -> DataFrame:
@@ -31,7 +32,8 @@ def distinct_count(df: DataFrame, by: Sequence[str], column: str, alias: str) ->
     return values.groupBy(*by).agg(F.count(F.lit(1)).alias(alias))
 
 
-def outcome_columns(flag: Column = MERGED) -> list[Column]:
+def outcome_columns(flag: Column | None = None) -> list[Column]:
+    flag = is_merged() if flag is None else flag
     return [F.count(F.lit(1)).alias("total"), F.count_if(flag).alias("merged")]
 
 
@@ -42,7 +44,7 @@ def with_rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def acceptance(df: DataFrame, by: str, overall: str | None = None, flag: Column = MERGED) -> DataFrame:
+def acceptance(df: DataFrame, by: str, overall: str | None = None, flag: Column | None = None) -> DataFrame:
     """Outcome counts and acceptance rate per group, with an overall row when a label is stated.
 
     The overall row is rolled up from the groups' counts; rates are computed after, never averaged.
@@ -62,8 +64,9 @@ def with_total_row(counts: DataFrame, key: str, label: str, columns: Sequence[st
     return rolled.withColumn(key, F.when(F.col("is_total__") == 1, F.lit(label)).otherwise(F.col(key))).drop("is_total__")
 
 
-def grouped_rate(df: DataFrame, by: Sequence[str], flag: Column = MERGED, min_rows: int = 0) -> DataFrame:
+def grouped_rate(df: DataFrame, by: Sequence[str], flag: Column | None = None, min_rows: int = 0) -> DataFrame:
     """Counts and rate over several keys, the rate NULL below a minimum size."""
+    flag = is_merged() if flag is None else flag
     kept = df.where(all_known(by))
     rate = percent(F.count_if(flag), F.count(F.lit(1)))
     return kept.groupBy(*by).agg(*outcome_columns(flag), min_size(rate, min_rows).alias("rate"))

@@ -24,40 +24,58 @@ STATUS_WORDS = {
 DEFAULT_STATUS = "modified"
 
 
+def _line(text: Column, number: int) -> Column:
+    return strip(F.substring_index(F.substring_index(text, "\n", number), "\n", -1))
+
+
+def _after(text: Column, head: Column, skip: int) -> Column:
+    return F.substr(text, F.char_length(head) + F.lit(skip + 1))
+
+
+def _newlines(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def log_commits(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per commit of a numstat log, with the text of its file list; the last entry of a commit wins."""
-    blocks = df.select(*keep, F.posexplode(F.split(F.col(text), COMMIT_MARK)).alias("pos", "block"))
-    halves = F.split(strip(F.col("block")), MESSAGE_END, 2)
-    head = F.split(F.get(halves, F.lit(0)), "\n", 4)
-    commits = (
-        blocks.where(F.contains("block", F.lit(MESSAGE_END)))
-        .select(*keep, "pos", head.alias("head"), F.get(halves, F.lit(1)).alias("numstat"))
-        .where(F.size("head") >= 4)
-        .select(
-            *keep,
-            "pos",
-            strip(F.col("head")[0]).alias("sha"),
-            strip(F.col("head")[1]).alias("author"),
-            strip(F.col("head")[2]).alias("committer"),
-            strip(F.col("head")[3]).alias("message"),
-            "numstat",
-        )
+    """One row per commit of a numstat log, with the text of its file list; the last entry of a commit wins.
+
+    A commit's entry is its mark, then lines for the sha, the author and the committer, then the message up to its own mark.
+    """
+    blocks = df.select(*keep, F.posexplode(F.split(F.col(text), COMMIT_MARK)).alias("pos", "block")).where(
+        F.contains("block", F.lit(MESSAGE_END))
+    )
+    headed = blocks.select(*keep, "pos", strip(F.col("block")).alias("block")).withColumn(
+        "head", F.substring_index("block", MESSAGE_END, 1)
+    )
+    head = F.col("head")
+    commits = headed.where(_newlines(head) >= 3).select(
+        *keep,
+        "pos",
+        _line(head, 1).alias("sha"),
+        _line(head, 2).alias("author"),
+        _line(head, 3).alias("committer"),
+        strip(_after(head, F.substring_index(head, "\n", 3), 1)).alias("message"),
+        _after(F.col("block"), head, len(MESSAGE_END)).alias("numstat"),
     )
     return keep_first(commits, [*keep, "sha"], [-F.col("pos")]).drop("pos")
 
 
 def numstat_files(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """File rows of a numstat list; binary files count as zero lines and malformed lines are skipped."""
-    pattern = r"^(-|[0-9]+)\t(-|[0-9]+)\t(.*)$"
-    lines = df.select(*keep, F.explode(F.split(strip(F.col(text)), "\n")).alias("line")).where(F.col("line").rlike(pattern))
+    line = F.col("line")
+    lines = df.select(*keep, F.explode(F.split(strip(F.col(text)), "\n")).alias("line"))
 
-    def count(group: int) -> Column:
-        found = F.regexp_extract("line", pattern, group)
-        return F.when(found == "-", F.lit(0)).otherwise(found.try_cast("long")).cast("long")
+    def count(found: Column) -> Column:
+        return F.when(found == "-", F.lit(0).cast("long")).otherwise(found.try_cast("long"))
 
-    return lines.select(
-        *keep, count(1).alias("additions"), count(2).alias("deletions"), F.regexp_extract("line", pattern, 3).alias("filename")
+    opening = F.substring_index(line, "\t", 2)
+    rows = lines.where(F.char_length(opening) < F.char_length(line)).select(
+        *keep,
+        count(F.substring_index(line, "\t", 1)).alias("additions"),
+        count(F.substring_index(opening, "\t", -1)).alias("deletions"),
+        _after(line, opening, 1).alias("filename"),
     )
+    return rows.where("additions IS NOT NULL AND deletions IS NOT NULL")
 
 
 def name_status(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:

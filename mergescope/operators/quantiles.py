@@ -17,10 +17,11 @@ from mergescope.functions.numeric import order_cell
 
 
 def value_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(by, metric, value, rows) of several numeric columns, NULL and NaN left out."""
+    """(by, metric, value, rows) of several numeric columns; NULL and NaN values and NULL group keys are left out."""
     stacked = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
     return (
-        df.select(*by, F.inline(stacked))
+        df.dropna(subset=list(by))
+        .select(*by, F.inline(stacked))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy(*by, "metric", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -30,11 +31,16 @@ def value_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Da
 def quantiles(df: DataFrame, by: Sequence[str], **wanted: tuple[str, float]) -> DataFrame:
     """One row per group with linearly interpolated quantiles: ``quantiles(df, by, median_h=("hours", 0.5))``.
 
-    Group keys must not be NULL. Groups whose columns hold no value are absent; join the result to the group list.
+    Groups whose columns hold no value are absent; join the result to the group list.
     """
-    by = list(by)
     columns = sorted({column for column, _ in wanted.values()})
-    counts = value_counts(df, by, columns).withColumn("cell", order_cell(F.col("value")))
+    return quantiles_of_counts(value_counts(df, by, columns), by, **wanted)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], **wanted: tuple[str, float]) -> DataFrame:
+    """Quantiles from value counts that other results share."""
+    by = list(by)
+    counts = counts.withColumn("cell", order_cell(F.col("value")))
 
     group = [*by, "metric"]
     ordered = Window.partitionBy(*group).orderBy("cell")

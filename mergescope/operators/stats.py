@@ -52,6 +52,10 @@ def chi_square(
         F.count_if(~side & flag).alias("hit_b"),
         F.count_if(~side).alias("total_b"),
     )
+    return _tested_rates(counts, yates, need_all_cells)
+
+
+def _tested_rates(counts: DataFrame, yates: bool, need_all_cells: bool = False) -> DataFrame:
     cells = [F.col("hit_a"), F.col("total_a") - F.col("hit_a"), F.col("hit_b"), F.col("total_b") - F.col("hit_b")]
     statistic = chi_square_columns(F.col("hit_a"), F.col("total_a"), F.col("hit_b"), F.col("total_b"), yates)
     if need_all_cells:
@@ -93,10 +97,12 @@ def _exact_p(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2.0 * tail))
 
 
-@F.pandas_udf("double")
-def _exact_p_column(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+def _exact_p_column(u: Column, n1: Column, n2: Column) -> Column:
     # One row per comparison reaches this point.
-    return pd.Series([_exact_p(a, int(b), int(c)) for a, b, c in zip(u, n1, n2)])
+    def exact(us: pd.Series, firsts: pd.Series, seconds: pd.Series) -> pd.Series:
+        return pd.Series([_exact_p(a, int(b), int(c)) for a, b, c in zip(us, firsts, seconds)])
+
+    return F.pandas_udf(exact, "double")(u, n1, n2)
 
 
 def mann_whitney(df: DataFrame, by: Sequence[str], side: Column, x: str, exact_small: bool = False) -> DataFrame:
@@ -157,30 +163,43 @@ def mann_whitney_counts(counts: DataFrame, by: Sequence[str], exact_small: bool
     return tested.withColumn("sig", stars(F.col("p")))
 
 
-def against_baseline(
-    df: DataFrame, group: str, baseline: str, others: Sequence[str], x: str, by: Sequence[str] = ()
-) -> DataFrame:
-    """Value counts that pair every listed group with the baseline group.
+def pair_counts(counts: DataFrame, group: str, pairs: Sequence[tuple[str, str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """Value counts of named comparisons: (by, metric, comparison, value, n1, n2) from (by, group, metric, value, rows).
 
-    Rows are reduced to (group, value) first; only those counts are repeated once per listed group.
+    Each pair is (name, first group, second group). Only counts are repeated, once per pair a group takes part in.
     """
-    by = list(by)
-    counts = (
-        df.where(F.col(group).isin(baseline, *others) & F.col(x).isNotNull())
-        .groupBy(*by, group, F.col(x).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+    member = F.col(group)
+    roles = F.array(
+        *[
+            F.struct(F.lit(name).alias("comparison"), (member == a).alias("is_first"), (member == b).alias("is_second"))
+            for name, a, b in pairs
+        ]
     )
-    is_base = F.col(group) == baseline
-    pairs = F.when(is_base, F.array(*[F.lit(o) for o in others])).otherwise(F.array(F.col(group)))
-    return (
-        counts.select(*by, F.explode(pairs).alias("compared"), "value", "rows", is_base.alias("is_base"))
-        .groupBy(*by, "compared", "value")
-        .agg(
-            F.coalesce(F.sum(F.when(~F.col("is_base"), F.col("rows"))), F.lit(0)).alias("n1"),
-            F.coalesce(F.sum(F.when(F.col("is_base"), F.col("rows"))), F.lit(0)).alias("n2"),
-        )
-        .withColumnRenamed("compared", group)
+    taking_part = F.filter(roles, lambda r: r["is_first"] | r["is_second"])
+    rows = counts.select(*by, "metric", F.inline(taking_part), "value", "rows")
+    nothing = F.lit(0).cast("long")
+    return rows.groupBy(*by, "metric", "comparison", "value").agg(
+        F.coalesce(F.sum(F.when(F.col("is_first"), F.col("rows"))), nothing).alias("n1"),
+        F.coalesce(F.sum(F.when(F.col("is_second"), F.col("rows"))), nothing).alias("n2"),
+    )
+
+
+def chi_square_of_counts(pairs: DataFrame, by: Sequence[str], metric: str, yates: bool = True) -> DataFrame:
+    """The rate test from (by, metric, value, n1, n2) of a flag metric whose value is one or zero.
+
+    The metric is picked inside the sums: a filter would be pushed below the shared value counts and split their shuffle.
+    """
+    wanted = F.col("metric") == metric
+    hit = wanted & (F.col("value") == 1.0)
+
+    def total(condition: Column, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+
+    counts = pairs.groupBy(*by).agg(
+        total(hit, "n1").alias("hit_a"), total(wanted, "n1").alias("total_a"),
+        total(hit, "n2").alias("hit_b"), total(wanted, "n2").alias("total_b"),
     )
+    return _tested_rates(counts, yates)
 
 
 def log_rank(df: DataFrame, by: Sequence[str], side: Column, duration: str, event: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from mergescope.config import AGENTS, EXCLUDED_AGENT, HUMAN
 from mergescope.functions.numeric import np_round, percent, ratio
 from mergescope.functions.text import canonical_url, recover_name, shorten
 from mergescope.operators.aggregates import (
-    MERGED, acceptance, crosstab, outcome_columns, share_of_all, value_totals, with_rates, with_total_row, work_list,
+    acceptance, crosstab, is_merged, outcome_columns, share_of_all, value_totals, with_rates, with_total_row, work_list,
 )
 from mergescope.operators.filters import after_end_of, closed_fixes, differs, within_range_of
 from mergescope.operators.joins import (
@@ -20,7 +20,7 @@ from mergescope.operators.quantiles import histogram, quantiles
 from mergescope.operators.revisions import commits_per_pr
 from mergescope.operators.sampling import matched
 from mergescope.operators.stats import chi_square, log_rank
-from mergescope.plans.reports import IS_AGENT_SIDE, categories, rounded
+from mergescope.plans.reports import agent_side, categories, rounded
 from mergescope.sources.warehouse import Warehouse
 
 KEY = "match_key"
@@ -478,8 +478,8 @@ def _cohort_report(w: Warehouse, cohort: DataFrame) -> DataFrame:
 
 
 def _size_matched(w: Warehouse) -> DataFrame:
-    agents = w.fixes.where(IS_AGENT_SIDE)
-    humans, _ = matched(agents, w.fixes.where(~IS_AGENT_SIDE), [], "id")
+    agents = w.fixes.where(agent_side())
+    humans, _ = matched(agents, w.fixes.where(~agent_side()), [], "id")
     return agents.unionByName(humans)
 
 
@@ -489,8 +489,8 @@ def matched_report(w: Warehouse) -> DataFrame:
 
 def matched_tests(w: Warehouse) -> DataFrame:
     cohort = _size_matched(w)
-    rate = chi_square(cohort, [], IS_AGENT_SIDE, MERGED).select(F.lit("acceptance").alias("test"), "chi2", "p", "sig")
-    time = log_rank(w.closed(cohort), [], IS_AGENT_SIDE, "hours_open", MERGED).select(
+    rate = chi_square(cohort, [], agent_side(), is_merged()).select(F.lit("acceptance").alias("test"), "chi2", "p", "sig")
+    time = log_rank(w.closed(cohort), [], agent_side(), "hours_open", is_merged()).select(
         F.lit("merge time").alias("test"), "chi2", "p", "sig"
     )
     return rounded(rounded(rate.unionByName(time), 4, "chi2"), 6, "p")
@@ -499,12 +499,12 @@ def matched_tests(w: Warehouse) -> DataFrame:
 def _month_matched(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     """Agents: labelled by the other side in its months, by our classifier in later ones; humans matched per month."""
     ours = closed_fixes(w.ours)
-    agents = ours.where(IS_AGENT_SIDE)
+    agents = ours.where(agent_side())
     by_key = agents.join(_their_fixes(w).select(KEY).distinct(), KEY, "left_semi")
     months = by_key.select("month").distinct()
     later = agents.join(months, "month", "left_anti")
     cohort = by_key.unionByName(later.select(by_key.columns))
-    pool = in_shared_repos(ours.where(~IS_AGENT_SIDE), cohort)
+    pool = in_shared_repos(ours.where(~agent_side()), cohort)
     humans, shortfall = matched(cohort, pool, ["month"], "id")
     return cohort.unionByName(humans.select(cohort.columns)), shortfall
 
@@ -559,8 +559,8 @@ def own_vs_external(w: Warehouse) -> DataFrame:
         return F.count_if((F.col("side") == side) & extra)
 
     counts = stacked.groupBy("agent").agg(
-        count("their").alias("their_total"), count("their", MERGED).alias("their_merged"),
-        count("our").alias("our_total"), count("our", MERGED).alias("our_merged"),
+        count("their").alias("their_total"), count("their", is_merged()).alias("their_merged"),
+        count("our").alias("our_total"), count("our", is_merged()).alias("our_merged"),
     )
     full = with_total_row(counts, "agent", "ALL AGENTS", ("their_total", "their_merged", "our_total", "our_merged"))
     rated = full.withColumns(
@@ -583,7 +583,7 @@ def id_overlap_rates(w: Warehouse) -> DataFrame:
     )
     per_id = stacked.groupBy("id").agg(
         F.count_if("mine").alias("a"), F.count_if(~F.col("mine")).alias("b"),
-        F.count_if(F.col("mine") & MERGED).alias("am"), F.count_if(~F.col("mine") & MERGED).alias("bm"),
+        F.count_if(F.col("mine") & is_merged()).alias("am"), F.count_if(~F.col("mine") & is_merged()).alias("bm"),
     )
     both = (F.col("a") > 0) & (F.col("b") > 0)
 

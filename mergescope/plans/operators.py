@@ -27,14 +27,18 @@ from mergescope.sources.readers import explode_status, only_values
 from mergescope.sources.sinks import report, report_rows, schema_diff
 from mergescope.sources.warehouse import COMMIT_ORDER, CUTOFF, Warehouse
 
-N = F.count(F.lit(1)).alias("n")
+
+
+def n() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
 
 # Scans and sinks
 
 
 def pruned_scan(w: Warehouse) -> DataFrame:
     return w.table("lineitem").select("l_returnflag", "l_quantity").groupBy("l_returnflag").agg(
-        N, F.sum(F.col("l_quantity").cast("long")).alias("quantity")
+        n(), F.sum(F.col("l_quantity").cast("long")).alias("quantity")
     )
 
 
@@ -44,7 +48,7 @@ def pushed_in_list(w: Warehouse) -> DataFrame:
 
 def filtered_scan(w: Warehouse) -> DataFrame:
     """The closed-fix rows of the whole table in one pass over its splits."""
-    return closed_fixes(w.prs).groupBy("agent", "month").agg(N)
+    return closed_fixes(w.prs).groupBy("agent", "month").agg(n())
 
 
 def status_document(w: Warehouse) -> DataFrame:
@@ -58,7 +62,7 @@ def status_document(w: Warehouse) -> DataFrame:
     document = w.table("customer").select(
         listed(balance < -500).alias("errors"), listed(balance > 9000).alias("not_found"), listed(balance > 0).alias("done_repos")
     )
-    return explode_status(document).groupBy("list").agg(N)
+    return explode_status(document).groupBy("list").agg(n())
 
 
 def schema_difference(w: Warehouse) -> DataFrame:
@@ -87,7 +91,7 @@ def normalized(w: Warehouse) -> DataFrame:
         (F.col("o_orderstatus") == "O").alias("is_agent"),
     )
     return normalize_prs(loose).groupBy("source", "is_merged").agg(
-        N, F.count("id").alias("ids"), F.count("merged_at").alias("merged"), F.min("match_key").alias("first_key"),
+        n(), F.count("id").alias("ids"), F.count("merged_at").alias("merged"), F.min("match_key").alias("first_key"),
         F.count("title").alias("titles"), F.sum("id").alias("id_sum"),
     )
 
@@ -96,7 +100,7 @@ def normalized(w: Warehouse) -> DataFrame:
 
 
 def equality_filter(w: Warehouse) -> DataFrame:
-    return w.prs.where("type = 'fix' AND state = 'closed'").groupBy("agent").agg(N)
+    return w.prs.where("type = 'fix' AND state = 'closed'").groupBy("agent").agg(n())
 
 
 def _with_missing_agent(w: Warehouse) -> DataFrame:
@@ -104,7 +108,7 @@ def _with_missing_agent(w: Warehouse) -> DataFrame:
 
 
 def differs_keeps_null(w: Warehouse) -> DataFrame:
-    return _with_missing_agent(w).where(differs(F.col("agent"), EXCLUDED_AGENT)).groupBy("agent").agg(N)
+    return _with_missing_agent(w).where(differs(F.col("agent"), EXCLUDED_AGENT)).groupBy("agent").agg(n())
 
 
 def in_and_not_in(w: Warehouse) -> DataFrame:
@@ -115,35 +119,35 @@ def in_and_not_in(w: Warehouse) -> DataFrame:
 
 def outcome_flag(w: Warehouse) -> DataFrame:
     timed = w.closed(w.prs).withColumn("accepted", F.col("merged_at").isNotNull())
-    return timed.groupBy("accepted", "state").agg(N)
+    return timed.groupBy("accepted", "state").agg(n())
 
 
 def inclusive_window(w: Warehouse) -> DataFrame:
     low, high = F.lit("1996-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp")
-    return in_window(w.prs, "created_at", low, high).groupBy("month").agg(N)
+    return in_window(w.prs, "created_at", low, high).groupBy("month").agg(n())
 
 
 def open_start_window(w: Warehouse) -> DataFrame:
     last = w.theirs.agg(F.max("created_at")).scalar()
     after = in_window(w.ours, "created_at", low=last, high=F.lit("2000-02-28").cast("timestamp"), closed="right")
-    return after.groupBy("agent").agg(N)
+    return after.groupBy("agent").agg(n())
 
 
 def text_date_window(w: Warehouse) -> DataFrame:
     """Dates as ISO text compared as text."""
     text = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return w.prs.withColumn("text", text).where("text >= '1997-03-01' AND text <= '1997-05-31T23:59:59Z'").groupBy("month").agg(N)
+    return w.prs.withColumn("text", text).where("text >= '1997-03-01' AND text <= '1997-05-31T23:59:59Z'").groupBy("month").agg(n())
 
 
 def size_gate(w: Warehouse) -> DataFrame:
     """Rate per repository, NULL under eight rows."""
     rate = percent(F.count_if("is_merged"), F.count(F.lit(1)))
-    return w.prs.groupBy("repo_name").agg(N, np_round(min_size(rate, 8), 4).alias("rate"))
+    return w.prs.groupBy("repo_name").agg(n(), np_round(min_size(rate, 8), 4).alias("rate"))
 
 
 def filled_nulls(w: Warehouse) -> DataFrame:
     joined = w.prs.select("id", "repo_id").join(w.repositories, "repo_id", "left").na.fill({"full_name": "Unknown", "stars": 0})
-    return joined.groupBy("full_name").agg(N, F.sum("stars").alias("stars"))
+    return joined.groupBy("full_name").agg(n(), F.sum("stars").alias("stars"))
 
 
 def safe_casts(w: Warehouse) -> DataFrame:
@@ -153,15 +157,15 @@ def safe_casts(w: Warehouse) -> DataFrame:
         F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("user_id").cast("string")).try_cast("bigint").alias("number"),
         parse_utc(F.when(F.col("event_type") == "view", "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).alias("time"),
     )
-    return rows.groupBy("event_type").agg(N, F.sum("number").alias("numbers"), F.count("time").alias("times"), day_text(F.max("time")).alias("last_day"))
+    return rows.groupBy("event_type").agg(n(), F.sum("number").alias("numbers"), F.count("time").alias("times"), day_text(F.max("time")).alias("last_day"))
 
 
 def two_branch_label(w: Warehouse) -> DataFrame:
-    return w.prs.select(F.when(F.col("source") == "agent", F.col("agent")).otherwise(HUMAN_GROUP).alias("group")).groupBy("group").agg(N)
+    return w.prs.select(F.when(F.col("source") == "agent", F.col("agent")).otherwise(HUMAN_GROUP).alias("group")).groupBy("group").agg(n())
 
 
 def period_buckets(w: Warehouse) -> DataFrame:
-    return w.prs.groupBy(period_of(F.col("created_at"), CUTOFF).alias("period")).agg(N, day_text(F.max("created_at")).alias("last_day"))
+    return w.prs.groupBy(period_of(F.col("created_at"), CUTOFF).alias("period")).agg(n(), day_text(F.max("created_at")).alias("last_day"))
 
 
 def prefixed_columns(w: Warehouse) -> DataFrame:
@@ -170,7 +174,7 @@ def prefixed_columns(w: Warehouse) -> DataFrame:
 
 def rows_with_key(w: Warehouse) -> DataFrame:
     joined = w.prs.select("repo_id").join(w.repositories, "repo_id", "left")
-    return joined.dropna(subset=["full_name"]).groupBy("language").agg(N)
+    return joined.dropna(subset=["full_name"]).groupBy("language").agg(n())
 
 
 def clipped_values(w: Warehouse) -> DataFrame:
@@ -183,7 +187,7 @@ def clipped_values(w: Warehouse) -> DataFrame:
 
 def clipped_at_quantile(w: Warehouse) -> DataFrame:
     capped = clip_at_quantile(w.timed_fixes.where("is_merged AND group IS NOT NULL").select("group", "hours_to_merge"), ["group"], "hours_to_merge", 0.95, "capped")
-    return rounded(capped.groupBy("group").agg(N, F.max("capped").alias("largest")), 4, "largest")
+    return rounded(capped.groupBy("group").agg(n(), F.max("capped").alias("largest")), 4, "largest")
 
 
 def safe_ratios(w: Warehouse) -> DataFrame:
@@ -200,36 +204,36 @@ def safe_ratios(w: Warehouse) -> DataFrame:
 
 def inner_join_labels(w: Warehouse) -> DataFrame:
     labels = w.prs.select("id", F.col("task_type").alias("label")).where("label = 'fix'")
-    return w.prs.join(labels, "id").groupBy("agent", "state").agg(N)
+    return w.prs.join(labels, "id").groupBy("agent", "state").agg(n())
 
 
 def left_join_metrics(w: Warehouse) -> DataFrame:
     per_pr = w.details.groupBy(F.col("pr_id").alias("id")).agg(F.sum("additions").alias("added"))
     joined = w.prs.select("id", "agent").join(per_pr, "id", "left")
-    return joined.groupBy("agent").agg(N, F.count("added").alias("with_lines"), F.sum("added").alias("added"))
+    return joined.groupBy("agent").agg(n(), F.count("added").alias("with_lines"), F.sum("added").alias("added"))
 
 
 def semi_join_keys(w: Warehouse) -> DataFrame:
-    return w.ours.join(w.theirs.select("match_key"), "match_key", "left_semi").groupBy("agent").agg(N)
+    return w.ours.join(w.theirs.select("match_key"), "match_key", "left_semi").groupBy("agent").agg(n())
 
 
 def anti_join_keys(w: Warehouse) -> DataFrame:
-    return w.ours.join(w.theirs.select("match_key"), "match_key", "left_anti").groupBy("agent").agg(N)
+    return w.ours.join(w.theirs.select("match_key"), "match_key", "left_anti").groupBy("agent").agg(n())
 
 
 def composite_semi_join(w: Warehouse) -> DataFrame:
-    return w.theirs_all.join(w.ours.select("repo_id", "number"), ["repo_id", "number"], "left_semi").groupBy("agent").agg(N)
+    return w.theirs_all.join(w.ours.select("repo_id", "number"), ["repo_id", "number"], "left_semi").groupBy("agent").agg(n())
 
 
 def dictionary_lookup(w: Warehouse) -> DataFrame:
     names = lookup(w.prs.select("id", "repo_id"), w.repositories.select("repo_id", "full_name"), ["repo_id"], [F.col("full_name")], {"full_name": "Unknown"})
-    return names.groupBy("full_name").agg(N)
+    return names.groupBy("full_name").agg(n())
 
 
 def star_of_aggregates(w: Warehouse) -> DataFrame:
     """Per-repository counts of several kinds from one conditional aggregate."""
     return w.prs.groupBy("repo_name").agg(
-        N, F.count_if("is_agent").alias("agents"), F.count_if("is_merged").alias("merged"), F.count_if(F.col("type") == "fix").alias("fixes"),
+        n(), F.count_if("is_agent").alias("agents"), F.count_if("is_merged").alias("merged"), F.count_if(F.col("type") == "fix").alias("fixes"),
         F.countDistinct("agent").alias("groups"),
     )
 
@@ -243,32 +247,32 @@ def outer_aligned_counts(w: Warehouse) -> DataFrame:
 def commit_fan_out(w: Warehouse) -> DataFrame:
     """Every commit's file rows repeated for each pull request that holds the commit."""
     one = keep_first(w.details, ["sha"], [F.col("pr_id"), F.col("filename"), F.col("additions"), F.col("deletions")])
-    return fan_out(one, w.commits).groupBy("pr_id").agg(N, F.sum("additions").alias("additions"))
+    return fan_out(one, w.commits).groupBy("pr_id").agg(n(), F.sum("additions").alias("additions"))
 
 
 def suffixed_pairs(w: Warehouse) -> DataFrame:
     left = keep_first(w.ours.select("match_key", "agent", "id"), ["match_key"], [F.col("id")])
     right = keep_first(w.theirs_all.select("match_key", "agent", "id"), ["match_key"], [F.col("id")])
     pairs = prefixed(left, ["match_key"], "our_").join(prefixed(right, ["match_key"], "their_"), "match_key")
-    return pairs.groupBy("our_agent", "their_agent").agg(N)
+    return pairs.groupBy("our_agent", "their_agent").agg(n())
 
 
 def membership_flag(w: Warehouse) -> DataFrame:
-    return membership(w.theirs_all, w.ours, ["match_key"], "in_ours").groupBy("in_ours", "agent").agg(N)
+    return membership(w.theirs_all, w.ours, ["match_key"], "in_ours").groupBy("in_ours", "agent").agg(n())
 
 
 def first_known_repo(w: Warehouse) -> DataFrame:
     """Metadata name of each commit's first pull request that has one."""
     named = w.prs.select(F.col("id").alias("pr_id"), "repo_id").join(w.repositories.select("repo_id", "full_name"), "repo_id").drop("repo_id")
     links = w.commits.select("sha", "pr_id", *COMMIT_ORDER)
-    return first_known(links, named, "pr_id", "sha", "full_name", ["pr_id", *COMMIT_ORDER]).groupBy("full_name").agg(N)
+    return first_known(links, named, "pr_id", "sha", "full_name", ["pr_id", *COMMIT_ORDER]).groupBy("full_name").agg(n())
 
 
 # Aggregates
 
 
 def group_count(w: Warehouse) -> DataFrame:
-    return w.prs.groupBy("repo_name", "source").agg(N)
+    return w.prs.groupBy("repo_name", "source").agg(n())
 
 
 def value_counts_no_null(w: Warehouse) -> DataFrame:
@@ -332,7 +336,7 @@ def first_per_group(w: Warehouse) -> DataFrame:
 def pull_requests_per_commit(w: Warehouse) -> DataFrame:
     """How many pull requests hold each shared commit, without gathering them in one row."""
     held = distinct_count(w.commits, ["sha"], "pr_id", "prs")
-    return held.groupBy("prs").agg(N)
+    return held.groupBy("prs").agg(n())
 
 
 def pivot_zero_filled(w: Warehouse) -> DataFrame:
@@ -348,7 +352,7 @@ def crosstab_margins(w: Warehouse) -> DataFrame:
 
 
 def total_row(w: Warehouse) -> DataFrame:
-    return with_total_row(w.prs.groupBy("agent").agg(N, F.count_if("is_merged").alias("merged")), "agent", "TOTAL", ("n", "merged"))
+    return with_total_row(w.prs.groupBy("agent").agg(n(), F.count_if("is_merged").alias("merged")), "agent", "TOTAL", ("n", "merged"))
 
 
 def conditional_counts(w: Warehouse) -> DataFrame:
@@ -359,7 +363,7 @@ def conditional_counts(w: Warehouse) -> DataFrame:
 
 
 def share_of_total(w: Warehouse) -> DataFrame:
-    return share_of_all(w.prs.groupBy("agent").agg(N), "n", digits=2)
+    return share_of_all(w.prs.groupBy("agent").agg(n()), "n", digits=2)
 
 
 def twenty_bins(w: Warehouse) -> DataFrame:
@@ -385,7 +389,7 @@ def first_commit_rows(w: Warehouse) -> DataFrame:
 
 
 def monthly_shares(w: Warehouse) -> DataFrame:
-    return share(w.prs.groupBy("month", "agent").agg(N), ["month"], "n", digits=2)
+    return share(w.prs.groupBy("month", "agent").agg(n()), ["month"], "n", digits=2)
 
 
 def stratum_ranks(w: Warehouse) -> DataFrame:
@@ -411,7 +415,7 @@ def period_points(w: Warehouse) -> DataFrame:
 
 
 def sorted_groups(w: Warehouse) -> DataFrame:
-    return top_rows(w.prs.groupBy("repo_name", "agent").agg(N), [F.desc("n"), F.asc("repo_name"), F.asc("agent")], 50)
+    return top_rows(w.prs.groupBy("repo_name", "agent").agg(n()), [F.desc("n"), F.asc("repo_name"), F.asc("agent")], 50)
 
 
 def top_twenty(w: Warehouse) -> DataFrame:
@@ -436,7 +440,7 @@ def deduplicated(w: Warehouse) -> DataFrame:
 def union_of_schemas(w: Warehouse) -> DataFrame:
     a = w.prs.where("is_agent").select("id", "agent")
     b = w.prs.where("NOT is_agent").select("id", "user")
-    return a.unionByName(b, allowMissingColumns=True).agg(N, F.count("agent").alias("agents"), F.count("user").alias("users"))
+    return a.unionByName(b, allowMissingColumns=True).agg(n(), F.count("agent").alias("agents"), F.count("user").alias("users"))
 
 
 def key_intersection(w: Warehouse) -> DataFrame:
@@ -522,7 +526,7 @@ def month_matched_sample(w: Warehouse) -> DataFrame:
 
 def agent_matched_sample(w: Warehouse) -> DataFrame:
     picked, _ = matched(w.theirs, w.ours_agents.where("type = 'other'"), ["agent"], "id")
-    return picked.groupBy("agent").agg(N, F.sum("id").alias("ids"))
+    return picked.groupBy("agent").agg(n(), F.sum("id").alias("ids"))
 
 
 PLANS = {

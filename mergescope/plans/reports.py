@@ -9,17 +9,22 @@ from mergescope.config import AGENTS, HUMAN_GROUP
 from mergescope.functions.numeric import np_round, percent
 from mergescope.functions.text import word_count
 from mergescope.operators.aggregates import (
-    MERGED, acceptance, grouped_rate, outcome_columns, period_change, pivot_counts, pivot_measure, share, top_k,
+    acceptance, grouped_rate, is_merged, outcome_columns, period_change, pivot_counts, pivot_measure, share, top_k,
     value_totals, with_rates, with_total_row,
 )
 from mergescope.operators.filters import min_size
-from mergescope.operators.quantiles import box_stats, clip_at_quantile, quantiles
+from mergescope.operators.quantiles import box_stats, clip_at_quantile, quantiles, quantiles_of_counts, value_counts
 from mergescope.operators.revisions import change_size, commits_per_pr, first_vs_rest, revision_effort
-from mergescope.operators.stats import against_baseline, chi_square, log_rank, mann_whitney, mann_whitney_counts
+from mergescope.operators.stats import (
+    chi_square, chi_square_of_counts, log_rank, mann_whitney, mann_whitney_counts, pair_counts,
+)
 from mergescope.sources.warehouse import COMMIT_ORDER, Warehouse
 
 GROUPS = (*AGENTS, HUMAN_GROUP)
-IS_AGENT_SIDE = F.col("source") == "agent"
+
+
+def agent_side() -> Column:
+    return F.col("source") == "agent"
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -28,7 +33,7 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 def categories() -> Column:
     """Report rows a pull request counts in: all agents and its own agent, or Human."""
-    return F.when(IS_AGENT_SIDE, F.array(F.lit("All agents"), F.col("agent"))).otherwise(F.array(F.lit(HUMAN_GROUP)))
+    return F.when(agent_side(), F.array(F.lit("All agents"), F.col("agent"))).otherwise(F.array(F.lit(HUMAN_GROUP)))
 
 
 def by_id(df: DataFrame) -> DataFrame:
@@ -84,7 +89,7 @@ def acceptance_time_table(w: Warehouse) -> DataFrame:
 
 
 def agent_vs_human_acceptance(w: Warehouse) -> DataFrame:
-    tested = chi_square(w.fixes, [], IS_AGENT_SIDE, MERGED, need_all_cells=True)
+    tested = chi_square(w.fixes, [], agent_side(), is_merged(), need_all_cells=True)
     return rounded(rounded(tested, 4, "rate_a", "rate_b", "chi2"), 6, "p")
 
 
@@ -141,7 +146,7 @@ def unrevised_share(w: Warehouse) -> DataFrame:
 
 
 def revision_count_test(w: Warehouse) -> DataFrame:
-    tested = mann_whitney(_merged_commit_counts(w).where("num_commits > 1"), [], IS_AGENT_SIDE, "num_commits")
+    tested = mann_whitney(_merged_commit_counts(w).where("num_commits > 1"), [], agent_side(), "num_commits")
     return rounded(tested.select("n1", "n2", "u", "z", "p", "sig"), 6, "z", "p")
 
 
@@ -191,7 +196,7 @@ def state_breakdown(w: Warehouse) -> DataFrame:
 
 def monthly_volume(w: Warehouse) -> DataFrame:
     wide = w.fixes.groupBy("month").agg(
-        F.count_if(IS_AGENT_SIDE).alias("agent"), F.count_if(~IS_AGENT_SIDE).alias("human"), F.count(F.lit(1)).alias("total")
+        F.count_if(agent_side()).alias("agent"), F.count_if(~agent_side()).alias("human"), F.count(F.lit(1)).alias("total")
     )
     return wide.withColumn("agent_pct", percent(F.col("agent"), F.col("total"), 1)).orderBy("month")
 
@@ -253,66 +258,65 @@ def monthly_revision_effort(w: Warehouse) -> DataFrame:
 
 
 def agent_leaderboard(w: Warehouse) -> DataFrame:
-    timed = w.timed_fixes.where("group IS NOT NULL").select("id", "group", "is_merged", "hours_to_merge")
-    effort = _merged_effort(w).where("group IS NOT NULL")
-    revised = effort.where("num_commits > 1")
-
-    rates = timed.groupBy("group").agg(*outcome_columns()).withColumn("rate", percent(F.col("merged"), F.col("total")))
-    hours = quantiles(timed, ["group"], median_hours=("hours_to_merge", 0.5))
-    burden = effort.groupBy("group").agg(
-        percent(F.count_if(F.col("num_commits") > 1), F.count(F.lit(1))).alias("revised_pct")
+    """All measures of a group and its tests against Human, from one table of value counts."""
+    effort = by_id(revision_effort(w.commits, w.details, COMMIT_ORDER)).select("id", "num_commits", "rev_lines_added", "rev_lines_deleted")
+    base = w.timed_fixes.where("group IS NOT NULL").select("id", "group", "is_merged", "hours_to_merge").join(effort, "id", "left")
+    revised = F.col("is_merged") & (F.col("num_commits") > 1)
+    measured = base.withColumns(
+        {
+            "is_revised": F.when(F.col("is_merged") & F.col("num_commits").isNotNull(), F.col("num_commits") > 1),
+            "added": F.when(revised, F.col("rev_lines_added")),
+            "deleted": F.when(revised, F.col("rev_lines_deleted")),
+        }
     )
-    lines = quantiles(revised, ["group"], median_rev_added=("rev_lines_added", 0.5), median_rev_deleted=("rev_lines_deleted", 0.5))
-
-    sides = F.when(F.col("group") == HUMAN_GROUP, F.array(*[F.lit(a) for a in AGENTS])).otherwise(F.array(F.col("group")))
-    paired = (
-        timed.groupBy("group", "is_merged").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.explode(sides).alias("compared"), (F.col("group") != HUMAN_GROUP).alias("is_agent"), "is_merged", "n")
+    counts = value_counts(measured, ["group"], ["is_merged", "is_revised", "hours_to_merge", "added", "deleted"])
+
+    def rows(metric: str, *extra: Column) -> Column:
+        wanted = F.col("metric") == metric
+        for condition in extra:
+            wanted = wanted & condition
+        return F.coalesce(F.sum(F.when(wanted, F.col("rows"))), F.lit(0))
+
+    hit = F.col("value") == 1.0
+    table = counts.groupBy("group").agg(
+        rows("is_merged").alias("total"), rows("is_merged", hit).alias("merged"),
+        percent(rows("is_merged", hit), rows("is_merged")).alias("rate"),
+        percent(rows("is_revised", hit), rows("is_revised")).alias("revised_pct"),
     )
-    chi = _chi_from_counts(paired, "compared").select(F.col("compared").alias("group"), "chi2", F.col("sig").alias("rate_sig"))
-    time_test = mann_whitney_counts(against_baseline(timed, "group", HUMAN_GROUP, AGENTS, "hours_to_merge"), ["group"]).select(
-        "group", F.col("u").alias("time_u"), F.col("sig").alias("time_sig")
+    medians = quantiles_of_counts(
+        counts, ["group"], median_hours=("hours_to_merge", 0.5), median_rev_added=("added", 0.5), median_rev_deleted=("deleted", 0.5)
     )
-    line_test = mann_whitney_counts(against_baseline(revised, "group", HUMAN_GROUP, AGENTS, "rev_lines_added"), ["group"]).select(
-        "group", F.col("u").alias("lines_u"), F.col("sig").alias("lines_sig")
+    pairs = pair_counts(counts, "group", [(a, a, HUMAN_GROUP) for a in AGENTS]).withColumnRenamed("comparison", "group")
+    rate_test = chi_square_of_counts(pairs, ["group"], "is_merged").select(
+        "group", "chi2", F.col("sig").alias("rate_sig")
     )
-    table = rates
-    for part in (hours, burden, lines, chi, time_test, line_test):
+    ranked = mann_whitney_counts(pairs, ["group", "metric"])
+    times, lines = F.col("metric") == "hours_to_merge", F.col("metric") == "added"
+    rank_tests = ranked.groupBy("group").agg(
+        F.max(F.when(times, F.col("u"))).alias("time_u"), F.max(F.when(times, F.col("sig"))).alias("time_sig"),
+        F.max(F.when(lines, F.col("u"))).alias("lines_u"), F.max(F.when(lines, F.col("sig"))).alias("lines_sig"),
+    )
+    for part in (medians, rate_test, rank_tests):
         table = table.join(part, "group", "left")
     return rounded(table, 4, "rate", "median_hours", "revised_pct", "chi2").orderBy("group")
 
 
-def _chi_from_counts(counts: DataFrame, by: str) -> DataFrame:
-    """Chi-square of (by, is_agent, is_merged, n), a table already reduced to a handful of rows per comparison."""
-    from mergescope.functions.numeric import chi_square_p, stars
-    from mergescope.operators.stats import chi_square_columns
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    wide = counts.groupBy(by).agg(
-        total(F.col("is_agent") & F.col("is_merged")).alias("hit_a"), total(F.col("is_agent")).alias("total_a"),
-        total(~F.col("is_agent") & F.col("is_merged")).alias("hit_b"), total(~F.col("is_agent")).alias("total_b"),
-    )
-    statistic = chi_square_columns(F.col("hit_a"), F.col("total_a"), F.col("hit_b"), F.col("total_b"))
-    tested = wide.withColumn("chi2", statistic).withColumn("p", chi_square_p(F.col("chi2")))
-    return tested.withColumn("sig", stars(F.col("p")))
-
-
 def before_after_by_agent(w: Warehouse) -> DataFrame:
-    agents = w.timed_fixes.where(F.col("agent").isin(*AGENTS)).select("agent", "period", "is_merged", "hours_to_merge")
-    before = F.col("period") == "before"
-    rates = chi_square(agents, ["agent"], before, MERGED).where((F.col("total_a") >= 5) & (F.col("total_b") >= 5))
+    agents = w.timed_fixes.where(F.col("agent").isin(*AGENTS))
+    counts = value_counts(agents, ["agent", "period"], ["is_merged", "hours_to_merge"])
+    pairs = pair_counts(counts, "period", [("periods", "before", "after")], ["agent"])
+    rates = chi_square_of_counts(pairs, ["agent"], "is_merged").where("total_a >= 5 AND total_b >= 5")
     rates = rates.withColumn("change_pp", F.col("rate_b") - F.col("rate_a")).select(
         "agent", "total_a", "rate_a", "total_b", "rate_b", "change_pp", "chi2", "p", "sig"
     )
-    merged = agents.where("is_merged")
-    medians = quantiles(merged, ["agent", "period"], median_hours=("hours_to_merge", 0.5))
+    medians = quantiles_of_counts(counts, ["agent", "period"], median_hours=("hours_to_merge", 0.5))
     hours = period_change(medians, "agent", "period", "median_hours", "before", "after").select(
         "agent", F.col("before").alias("hours_before"), F.col("after").alias("hours_after")
     )
-    times = mann_whitney(merged, ["agent"], before, "hours_to_merge").where("n1 >= 5 AND n2 >= 5").select(
-        "agent", F.col("u").alias("time_u"), F.col("p").alias("time_p"), F.col("sig").alias("time_sig")
+    ranked = mann_whitney_counts(pairs, ["agent", "metric"]).where("n1 >= 5 AND n2 >= 5")
+    hours_row = F.col("metric") == "hours_to_merge"
+    times = ranked.groupBy("agent").agg(
+        *[F.max(F.when(hours_row, F.col(c))).alias(f"time_{c}") for c in ("u", "p", "sig")]
     )
     table = rates.join(hours, "agent", "left").join(times, "agent", "left")
     return rounded(rounded(table, 4, "rate_a", "rate_b", "change_pp", "chi2", "hours_before", "hours_after"), 6, "p", "time_p")
@@ -322,9 +326,9 @@ def before_after_with_total(w: Warehouse) -> DataFrame:
     """Totals and rates in both periods per agent and for all agents together, and the change in points."""
     counts = w.fixes.where(F.col("agent").isin(*AGENTS)).groupBy("agent").agg(
         F.count_if(F.col("period") == "before").alias("before_total"),
-        F.count_if((F.col("period") == "before") & MERGED).alias("before_merged"),
+        F.count_if((F.col("period") == "before") & is_merged()).alias("before_merged"),
         F.count_if(F.col("period") == "after").alias("after_total"),
-        F.count_if((F.col("period") == "after") & MERGED).alias("after_merged"),
+        F.count_if((F.col("period") == "after") & is_merged()).alias("after_merged"),
     )
     full = with_total_row(counts, "agent", "ALL AGENTS", ("before_total", "before_merged", "after_total", "after_merged"))
     rates = full.withColumns(
@@ -338,13 +342,13 @@ def before_after_with_total(w: Warehouse) -> DataFrame:
 
 def top_repositories(w: Warehouse) -> DataFrame:
     top = top_k(
-        w.prs.where("type = 'fix'"), "repo_name", 10, F.count_if("is_agent").alias("agent"), F.count_if(MERGED).alias("merged")
+        w.prs.where("type = 'fix'"), "repo_name", 10, F.count_if("is_agent").alias("agent"), F.count_if(is_merged()).alias("merged")
     )
     return top.withColumn("rate", percent(F.col("merged"), F.col("total"), 1))
 
 
 def survival_comparison(w: Warehouse) -> DataFrame:
-    tested = log_rank(w.timed_fixes.select("source", "hours_open", "is_merged"), [], IS_AGENT_SIDE, "hours_open", MERGED)
+    tested = log_rank(w.timed_fixes.select("source", "hours_open", "is_merged"), [], agent_side(), "hours_open", is_merged())
     return rounded(rounded(tested.drop("variance"), 4, "expected", "chi2"), 6, "p")
 
 
