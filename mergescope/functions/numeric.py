@@ -118,7 +118,7 @@ def chi_square_p(statistic: Column) -> Column:
 
 def normal_two_sided_p(z: Column) -> Column:
     """Two-sided normal p-value of a statistic already taken in its extreme direction, at most one."""
-    return F.least(erfc(z / F.sqrt(F.lit(2.0))), F.lit(1.0))
+    return F.when(z.isNotNull(), F.least(erfc(z / F.sqrt(F.lit(2.0))), F.lit(1.0)))
 
 
 def stars(p: Column) -> Column:

@@ -151,7 +151,8 @@ def mann_whitney_counts(counts: DataFrame, by: Sequence[str], exact_small: bool
     tested = (
         sums.where((F.col("n1") > 0) & (F.col("n2") > 0))
         .withColumn("z", F.try_divide(extreme - a * b / 2 - F.lit(0.5), spread))
-        .withColumn("p", normal_two_sided_p(F.col("z")))
+        # Samples that hold one common value only have no spread and do not differ.
+        .withColumn("p", F.coalesce(normal_two_sided_p(F.col("z")), F.lit(1.0)))
     )
     if exact_small:
         tiny = (F.least("n1", "n2") <= EXACT_SAMPLE) & (F.col("ties") == 0) & (a * b <= EXACT_TABLE)
