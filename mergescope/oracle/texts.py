@@ -35,7 +35,7 @@ r AS (SELECT *, CASE WHEN value > 60 THEN 'no answer given' WHEN value > 40 THEN
              WHEN confidence NOT BETWEEN 1 AND 10 THEN 'confidence range' END AS problem FROM b)"""
 
 GIT = f"""
-g AS (SELECT l_orderkey AS pr_id, {SHA} AS sha, l_suppkey, l_linenumber, 'src/' || l_linenumber || '.py' AS file, CAST(l_quantity AS BIGINT) AS add,
+g AS (SELECT l_orderkey AS pr_id, {SHA} AS sha, l_suppkey, l_linenumber, l_extendedprice, l_shipdate, 'src/' || l_linenumber || '.py' AS file, CAST(l_quantity AS BIGINT) AS add,
         CAST(round(l_discount * 100) AS BIGINT) AS del, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'renamed' ELSE l_returnflag END AS status, l_tax FROM lineitem)"""
 
 SQL = {
@@ -113,7 +113,7 @@ SELECT file AS filename, count(*) AS n, count(*) FILTER (add + 17 <= 50) AS kept
 UNION ALL SELECT 'logo.png', count(*), count(*), count(*) * 20 FROM g""",
     "p4_commit_details": f"""
 WITH {GIT},
-one AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY sha ORDER BY pr_id, l_linenumber) = 1),
+one AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY sha ORDER BY pr_id, l_linenumber, l_extendedprice, l_shipdate) = 1),
 held AS (SELECT DISTINCT sha, pr_id FROM g),
 files AS (SELECT sha, file AS filename, status, add + del AS changes, add + del AS total FROM one WHERE l_tax > 0
           UNION ALL SELECT sha, 'logo.png', 'modified', 0, add + del FROM one WHERE l_tax > 0

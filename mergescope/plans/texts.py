@@ -116,7 +116,7 @@ def attributed_authors(w: Warehouse) -> DataFrame:
 
 # Git text
 
-LINE = ["pr_id", "l_linenumber"]
+LINE = ["pr_id", "l_linenumber", "l_extendedprice", "l_shipdate"]  # identifies one order line
 
 
 def _sha(part: str, supplier: str) -> Column:
@@ -132,7 +132,7 @@ def _git_rows(w: Warehouse) -> DataFrame:
         F.col("l_quantity").cast("long").cast("string").alias("add"),
         F.round(F.col("l_discount") * 100).cast("long").cast("string").alias("del"),
         F.col("l_suppkey").cast("string").alias("who"),
-        "l_linenumber",
+        *LINE[1:],
         "l_returnflag",
         "l_tax",
     )
@@ -149,7 +149,7 @@ def _git_rows(w: Warehouse) -> DataFrame:
         F.lit("diff --git a/"), F.col("file"), F.lit(" b/"), F.col("file"), F.lit("\n--- a\n+++ b\n@@\n+"), F.repeat(F.lit("x"), F.col("add").cast("int")),
         F.lit("\ndiff --git a/logo.png b/logo.png\nBinary files differ\n"),
     )
-    return text.select("pr_id", "l_linenumber", "sha", log.alias("log"), status.alias("status_text"), diff.alias("diff"))
+    return text.select(*LINE, "sha", log.alias("log"), status.alias("status_text"), diff.alias("diff"))
 
 
 def numstat_totals(w: Warehouse) -> DataFrame:
