@@ -95,12 +95,10 @@ def pivot_measure(df: DataFrame, row: str, column: str, values: Sequence[str], m
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str], margin: str = "Total") -> DataFrame:
     """Contingency counts with a margin row and a margin column."""
-    wide = df.where(all_known([row, column])).rollup(row).agg(
-        F.grouping(row).alias("is_total__"),
-        *[F.count_if(F.col(column) == v).alias(v) for v in values],
-        F.count(F.lit(1)).alias(margin),
+    wide = df.where(all_known([row, column])).groupBy(row).agg(
+        *[F.count_if(F.col(column) == v).alias(v) for v in values], F.count(F.lit(1)).alias(margin)
     )
-    return wide.withColumn(row, F.when(F.col("is_total__") == 1, F.lit(margin)).otherwise(F.col(row))).drop("is_total__")
+    return with_total_row(wide, row, margin, [*values, margin])
 
 
 def share(df: DataFrame, part: Sequence[str], count: str, alias: str = "share_pct", digits: int | None = None) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from mergescope.operators.filters import after_end_of, within_range_of
 
+SALTS = 64
+BROADCAST_ROWS = 50_000
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], first_non_null: bool = False) -> DataFrame:
     """One row per key, the first in the stated order.
@@ -84,9 +87,38 @@ def outer_counts(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     return joined.na.fill(0, [c for c in joined.columns if c not in key])
 
 
+def attach_groups(df: DataFrame, groups: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner") -> DataFrame:
+    """Join one row per group to all rows of the group.
+
+    The few group rows are repeated per salt and the many rows take theirs from a hash, so a group that holds much of the
+    table is shared by many tasks, also when an aggregate on the group follows.
+    """
+    salted = groups.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = df.withColumn("salt__", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    return keyed.join(salted, [*on, "salt__"], how).drop("salt__")
+
+
+def attach_few(df: DataFrame, groups: DataFrame, on: Sequence[str], spread_by: str, keys: DataFrame) -> DataFrame:
+    """``attach_groups`` that leaves the rows in place when the group list is known to be short.
+
+    ``keys`` holds at least the groups' keys and is cheap to count; up to BROADCAST_ROWS of them are broadcast.
+    """
+    if keys.select(*on).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(groups), list(on))
+    return attach_groups(df, groups, on, spread_by)
+
+
 def fan_out(commit_rows: DataFrame, holders: DataFrame, sha: str = "sha", pr: str = "pr_id") -> DataFrame:
-    """Repeat each commit's rows for every pull request that holds the commit; unknown commits keep a NULL id."""
-    return commit_rows.drop(pr).join(holders.select(sha, pr).distinct(), sha, "left")
+    """Repeat each commit's rows for every pull request that holds the commit; unknown commits keep a NULL id.
+
+    An inner join and the rows it leaves out, because only an inner join can be split on both sides when one commit is
+    held by very many pull requests.
+    """
+    held = holders.select(sha, pr).distinct()
+    columns = commit_rows.columns if pr in commit_rows.columns else [*commit_rows.columns, pr]
+    rows = commit_rows.drop(pr)
+    unknown = rows.join(held.select(sha), sha, "left_anti").withColumn(pr, F.lit(None).cast(dict(holders.dtypes)[pr]))
+    return rows.join(held, sha).select(*columns).unionByName(unknown)
 
 
 def first_known(links: DataFrame, dimension: DataFrame, on: str, key: str, value: str, order: Sequence[str]) -> DataFrame:

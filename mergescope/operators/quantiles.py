@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mergescope.config import HISTOGRAM_BINS
 from mergescope.functions.numeric import order_cell
+from mergescope.operators.joins import attach_groups
 
 
 def value_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -96,28 +97,28 @@ def clip_at_quantile(df: DataFrame, by: Sequence[str], column: str, q: float, al
     """Add the column bounded by its own group's upper quantile."""
     bounds = quantiles(df, by, bound__=(column, q))
     capped = F.when(F.col(column) > F.col("bound__"), F.col("bound__")).otherwise(F.col(column))
-    return df.join(bounds, list(by), "left").withColumn(alias, capped).drop("bound__")
+    return attach_groups(df, bounds, by, column, "left").withColumn(alias, capped).drop("bound__")
 
 
 def box_stats(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Quartiles, the extreme values inside 1.5 IQR of the box, and the number of values outside."""
     by = list(by)
-    boxes = quantiles(df, by, q1=(column, 0.25), median=(column, 0.5), q3=(column, 0.75))
+    counts = value_counts(df, by, [column])
+    boxes = quantiles_of_counts(counts, by, q1=(column, 0.25), median=(column, 0.5), q3=(column, 0.75))
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
-    x = F.col(column).cast("double")
+    x, rows = F.col("value"), F.col("rows")
     inside = x.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        df.where(F.col(column).isNotNull())
-        .join(boxes, by)
+        attach_groups(counts, boxes, by, "value")
         .groupBy(*by)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.first("q1").alias("q1"),
-            F.first("median").alias("median"),
-            F.first("q3").alias("q3"),
+            F.sum(rows).alias("n"),
+            F.max("q1").alias("q1"),
+            F.max("median").alias("median"),
+            F.max("q3").alias("q3"),
             F.min(F.when(inside, x)).alias("whisker_low"),
             F.max(F.when(inside, x)).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
+            F.sum(F.when(inside, 0).otherwise(rows)).alias("outliers"),
         )
     )
 
@@ -128,15 +129,10 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, by: Sequen
     Works on value counts, so the range lookup joins distinct values, not rows.
     """
     by = list(by)
-    counts = (
-        df.select(*by, F.col(column).cast("double").alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy(*by, "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    counts = value_counts(df, by, [column]).drop("metric")
     if by:
         limits = counts.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        ranged = counts.join(limits, by)
+        ranged = attach_groups(counts, limits, by, "value")
     else:
         ranged = counts.withColumns(
             {"low": counts.agg(F.min("value")).scalar(), "high": counts.agg(F.max("value")).scalar()}

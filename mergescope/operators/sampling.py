@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergescope.config import SEED
+from mergescope.operators.joins import attach_few
 
 PREFIX = 4  # hex digits: at most 65,536 prefixes per stratum
 
@@ -57,7 +58,8 @@ def sample_strata(pool: DataFrame, strata: Sequence[str], targets: DataFrame | C
         kept = keyed.where(F.when(targets <= 0, F.lit(False)).otherwise(F.col("draw__") <= F.coalesce(limit, F.lit("g"))))
     else:
         wanted = targets.where(F.col("target") > 0).select(*strata).join(cuts, strata, "left")
-        kept = keyed.join(wanted, strata).where(F.col("draw__") <= F.coalesce(F.col("cut__"), F.lit("g")))
+        # The rows stay where they are when the strata are few enough to broadcast.
+        kept = attach_few(keyed, wanted, strata, "draw__", targets).where(F.col("draw__") <= F.coalesce(F.col("cut__"), F.lit("g")))
     return kept.select(*pool.columns)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from mergescope.config import AGENTS, HUMAN_GROUP
 from mergescope.functions.numeric import np_round, percent
-from mergescope.functions.text import word_count
 from mergescope.operators.aggregates import (
     acceptance, grouped_rate, is_merged, outcome_columns, period_change, pivot_counts, pivot_measure, share, top_k,
     value_totals, with_rates, with_total_row,
@@ -113,15 +112,16 @@ def change_size_medians(w: Warehouse) -> DataFrame:
 
 
 def description_words(w: Warehouse) -> DataFrame:
-    worded = w.described(w.prs.where("type = 'fix'").select("id", "source")).withColumn("words", word_count(F.col("body")))
-    known = worded.where("body IS NOT NULL").select(F.concat("source", F.lit(" with text")).alias("source"), "words")
-    return quantiles(worded.select("source", "words").unionByName(known), ["source"], median_words=("words", 0.5),
-                     p95_words=("words", 0.95))
+    """Median words per source, a missing description counting as none, and of the described ones alone."""
+    worded = w.described(w.prs.where("type = 'fix'").select("id", "source"))
+    all_rows = worded.select("source", F.coalesce("body_words", F.lit(0)).alias("words"))
+    known = worded.where("body_words IS NOT NULL").select(F.concat("source", F.lit(" with text")).alias("source"), F.col("body_words").alias("words"))
+    return quantiles(all_rows.unionByName(known), ["source"], median_words=("words", 0.5), p95_words=("words", 0.95))
 
 
 def monthly_description_words(w: Warehouse) -> DataFrame:
-    worded = w.described(w.fixes.select("id", "month", "group")).withColumn("words", word_count(F.col("body")))
-    medians = quantiles(worded.where("group IS NOT NULL"), ["month", "group"], median_words=("words", 0.5))
+    worded = w.described(w.fixes.select("id", "month", "group")).withColumn("words", F.coalesce("body_words", F.lit(0)))
+    medians = quantiles(worded, ["month", "group"], median_words=("words", 0.5))
     return pivot_measure(medians, "month", "group", GROUPS, "median_words")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mergescope.config import EXCLUDED_AGENT, HUMAN, REPO_API_PREFIX
 from mergescope.functions.clock import hours_between, month_text, period_of
-from mergescope.functions.text import classify_title, match_key
+from mergescope.functions.text import classify_title, match_key, word_count
 from mergescope.operators.filters import closed_fixes, differs, studied_group
 
 OURS_SINCE = "1995-07-01"
@@ -122,9 +122,9 @@ class Warehouse:
         )
 
     def described(self, prs: DataFrame) -> DataFrame:
-        """Add the description, NULL where there is none."""
-        bodies = self.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-        return prs.join(bodies, "id", "left")
+        """Add the number of words of the description, NULL where there is none; the text itself is never shuffled."""
+        words = self.table("documents").select(F.col("doc_id").alias("id"), word_count(F.col("text")).alias("body_words"))
+        return prs.join(words, "id", "left")
 
     @cached_property
     def fixes(self) -> DataFrame:
