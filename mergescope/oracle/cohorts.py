@@ -193,6 +193,13 @@ SELECT count(*) FILTER (repo_name IN (SELECT repo_name FROM sa)) AS partly_missi
 WITH {REPO_TABLE}
 SELECT *, {rnd('overlap_count::DOUBLE / their_prs * 100', 1)} AS overlap_pct, {rnd('our_total::DOUBLE / nullif(their_target_prs, 0) * 100', 1)} AS pct_of_target,
   {rnd('our_total::DOUBLE / their_prs * 100', 1)} AS pct_of_all FROM classed""",
+    "f13_ordered_status": f"""
+WITH {REPO_TABLE} SELECT repo_name, status FROM classed""",
+    "j12_key_or_commit_match": f"""
+WITH {DUAL} SELECT id FROM hits""",
+    "e06_overlap_per_group": f"""
+WITH oa AS (SELECT * FROM v_ours WHERE agent <> 'human')
+{covered(keys_overlap('oa', 'v_theirs', 'match_key', 'agent'), 'agent,')}""",
     "q26_status_breakdown": f"""
 WITH {REPO_TABLE}
 SELECT status, count(*) AS repo_count, {rnd('count(*)::DOUBLE / (SELECT count(*) FROM classed) * 100', 2)} AS percentage FROM classed GROUP BY status""",

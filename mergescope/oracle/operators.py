@@ -24,6 +24,11 @@ SQL = {
     "s01_pruned_scan": "SELECT l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY l_returnflag",
     "s02_pushed_in_list": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "s03_filtered_scan": "SELECT agent, month, count(*) AS n FROM v_fixes GROUP BY agent, month",
+    "s04_csv_by_suffix": f"""
+SELECT agent, count(*) AS n, min(title) AS first_title, max({rnd('amount / 7', 2)}) AS amount FROM v_fixes GROUP BY agent""",
+    "s07_compacted": "SELECT agent, count(*) AS n, count(*) FILTER (amount >= 250000) AS with_amount, max(month) AS last_month FROM v_prs GROUP BY agent",
+    "s10_split_by_source": "SELECT source, agent, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM v_prs WHERE is_agent GROUP BY ALL",
+    "s11_preview": "SELECT id, title FROM v_prs QUALIFY row_number() OVER (ORDER BY md5(id || ':42')) <= 20",
     "s05_status_document": """
 SELECT 'errors' AS list, count(DISTINCT c_name) AS n FROM customer WHERE c_acctbal < -500
 UNION ALL SELECT 'not_found', count(DISTINCT c_name) FROM customer WHERE c_acctbal > 9000

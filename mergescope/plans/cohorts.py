@@ -9,11 +9,11 @@ from mergescope.config import AGENTS, EXCLUDED_AGENT, HUMAN
 from mergescope.functions.numeric import np_round, percent, ratio
 from mergescope.functions.text import canonical_url, recover_name, shorten
 from mergescope.operators.aggregates import (
-    acceptance, crosstab, is_merged, outcome_columns, share_of_all, value_totals, with_rates, with_total_row, work_list,
+    acceptance, crosstab, is_merged, outcome_columns, share_of_all, with_rates, with_total_row, work_list,
 )
-from mergescope.operators.filters import after_end_of, closed_fixes, differs, within_range_of
+from mergescope.operators.filters import closed_fixes, differs, within_range_of
 from mergescope.operators.joins import (
-    in_shared_repos, keep_first, lookup, membership, outer_counts, paired, rest_period, scope,
+    in_shared_repos, keep_first, lookup, membership, outer_counts, paired,
 )
 from mergescope.operators.overlap import agreement, dual_match, overlap, overlap_counts, tag, with_coverage
 from mergescope.operators.quantiles import histogram, quantiles
@@ -21,6 +21,7 @@ from mergescope.operators.revisions import commits_per_pr
 from mergescope.operators.sampling import matched
 from mergescope.operators.stats import chi_square, log_rank
 from mergescope.plans.reports import agent_side, categories, rounded
+from mergescope.session import stored
 from mergescope.sources.warehouse import Warehouse
 
 KEY = "match_key"
@@ -61,6 +62,11 @@ def _per_repo(w: Warehouse) -> DataFrame:
     return with_coverage(shared, 1).drop("jaccard", "union_keys")
 
 
+def overlap_per_group(w: Warehouse) -> DataFrame:
+    """Keys compared inside each agent, so a key the sides label differently is missing from both."""
+    return rounded(overlap(w.ours_agents, w.theirs, KEY, ["agent"]), 4, "jaccard", "pct_of_a", "pct_of_b")
+
+
 def overlap_by_repo(w: Warehouse) -> DataFrame:
     return _per_repo(w).orderBy(F.desc("b_keys"), "repo_name")
 
@@ -245,6 +251,10 @@ def repo_coverage(w: Warehouse) -> DataFrame:
     return _with_status(w, rated).orderBy(F.desc("their_prs"), "repo_name")
 
 
+def ordered_status(w: Warehouse) -> DataFrame:
+    return repo_coverage(w).select("repo_name", "status")
+
+
 def status_breakdown(w: Warehouse) -> DataFrame:
     counts = repo_coverage(w).groupBy("status").agg(F.count(F.lit(1)).alias("repo_count"))
     return share_of_all(counts, "repo_count", digits=2)
@@ -314,6 +324,10 @@ def _matched_ids(w: Warehouse) -> DataFrame:
     return dual_match(w.theirs_all, w.ours, b_commits, a_commits, ["repo_id", "number"])
 
 
+def key_or_commit_match(w: Warehouse) -> DataFrame:
+    return _matched_ids(w)
+
+
 def dual_key_overlap(w: Warehouse) -> DataFrame:
     flagged = membership(w.theirs_all.select("id", "month"), _matched_ids(w), ["id"], "hit")
     theirs = flagged.groupBy("month").agg(F.count(F.lit(1)).alias("their_prs"), F.count_if("hit").alias("overlap"))
@@ -368,32 +382,33 @@ def gap_agent_mix(w: Warehouse) -> DataFrame:
     return side(_their_fixes(w), "their").join(side(_our_fixes(w), "our"), "agent", "outer").na.fill(0.0)
 
 
-def _rate_row(df: DataFrame, label: str) -> DataFrame:
-    return df.agg(*outcome_columns()).select(
-        F.lit(label).alias("cut"), "total", "merged", percent(F.col("merged"), F.col("total"), 4).alias("rate")
-    )
-
-
 def gap_cuts(w: Warehouse) -> DataFrame:
-    """Counts and rates of both sides in every cut of the gap study."""
+    """Counts and rates of both sides in every cut of the gap study, one aggregate per side."""
     ours, theirs = _our_fixes(w), _their_fixes(w)
-    our_keyed = membership(ours, theirs, [KEY], "both")
-    cuts = (
-        ("their all", theirs),
-        ("our all", ours),
-        ("our within their range", within_range_of(ours, theirs)),
-        ("our beyond their range", after_end_of(ours, theirs)),
-        ("their shared repos", in_shared_repos(theirs, ours)),
-        ("our shared repos", in_shared_repos(ours, theirs)),
-        ("their same keys", theirs.join(ours.select(KEY).distinct(), KEY, "left_semi")),
-        ("our same keys", our_keyed.where("both")),
-        ("our other keys", our_keyed.where("NOT both")),
+    first, last = (theirs.agg(f("created_at")).scalar() for f in (F.min, F.max))
+
+    def flagged(df: DataFrame, other: DataFrame) -> DataFrame:
+        rows = df.select(KEY, "repo_name", "created_at", "is_merged")
+        return membership(membership(rows, other, [KEY], "same_key"), other, ["repo_name"], "shared_repo")
+
+    def counted(df: DataFrame, cuts: dict[str, Column]) -> DataFrame:
+        totals = df.agg(
+            *[F.struct(F.lit(name).alias("cut"), F.count_if(keep).alias("total"), F.count_if(keep & is_merged()).alias("merged")).alias(f"c{i}")
+              for i, (name, keep) in enumerate(cuts.items())]
+        )
+        return totals.select(F.inline(F.array(*totals.columns)))
+
+    both, shared, everything = F.col("same_key"), F.col("shared_repo"), F.lit(True)
+    their_cuts = counted(flagged(theirs, ours), {"their all": everything, "their shared repos": shared, "their same keys": both})
+    our_rows = flagged(ours, theirs).withColumns({"within": F.col("created_at").between(first, last), "beyond": F.col("created_at") > last})
+    our_cuts = counted(
+        our_rows,
+        {
+            "our all": everything, "our within their range": F.col("within"), "our beyond their range": F.col("beyond"),
+            "our shared repos": shared, "our same keys": both, "our other keys": ~both,
+        },
     )
-    rows = [_rate_row(df, label) for label, df in cuts]
-    table = rows[0]
-    for row in rows[1:]:
-        table = table.unionByName(row)
-    return table
+    return their_cuts.unionByName(our_cuts).withColumn("rate", percent(F.col("merged"), F.col("total"), 4))
 
 
 def gap_exclusive_agents(w: Warehouse) -> DataFrame:
@@ -463,9 +478,12 @@ def one_month_validation(w: Warehouse) -> DataFrame:
 # Matched cohorts
 
 
+COHORT = ("id", "source", "agent", "created_at", "state", "is_merged")
+
+
 def _cohort_report(w: Warehouse, cohort: DataFrame) -> DataFrame:
     """Outcome, timing and revision summary of a cohort per report row."""
-    timed = w.closed(cohort)
+    timed = w.closed(stored(cohort.select(*COHORT), "cohort"))
     rows = timed.select("id", F.explode(categories()).alias("category"), "is_merged", "hours_to_merge")
     counts = with_rates(rows.groupBy("category").agg(*outcome_columns()))
     medians = quantiles(rows, ["category"], median_hours=("hours_to_merge", 0.5))
@@ -488,7 +506,7 @@ def matched_report(w: Warehouse) -> DataFrame:
 
 
 def matched_tests(w: Warehouse) -> DataFrame:
-    cohort = _size_matched(w)
+    cohort = stored(_size_matched(w).select(*COHORT), "cohort")
     rate = chi_square(cohort, [], agent_side(), is_merged()).select(F.lit("acceptance").alias("test"), "chi2", "p", "sig")
     time = log_rank(w.closed(cohort), [], agent_side(), "hours_open", is_merged()).select(
         F.lit("merge time").alias("test"), "chi2", "p", "sig"
@@ -503,10 +521,11 @@ def _month_matched(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     by_key = agents.join(_their_fixes(w).select(KEY).distinct(), KEY, "left_semi")
     months = by_key.select("month").distinct()
     later = agents.join(months, "month", "left_anti")
-    cohort = by_key.unionByName(later.select(by_key.columns))
+    columns = [*COHORT, "month", "repo_name"]
+    cohort = stored(by_key.select(*columns).unionByName(later.select(*columns)), "agents")
     pool = in_shared_repos(ours.where(~agent_side()), cohort)
     humans, shortfall = matched(cohort, pool, ["month"], "id")
-    return cohort.unionByName(humans.select(cohort.columns)), shortfall
+    return cohort.unionByName(humans.select(*columns)), shortfall
 
 
 def month_matched_report(w: Warehouse) -> DataFrame:
@@ -517,26 +536,38 @@ def month_matched_shortfall(w: Warehouse) -> DataFrame:
     return _month_matched(w)[1]
 
 
-def _ladder(w: Warehouse) -> dict[str, DataFrame]:
-    """Cohorts of the period comparison, each with one thing changed from the one before."""
+def _placed_fixes(w: Warehouse) -> DataFrame:
+    """Our fixes with everything the cohorts differ in, stored once: shared key, shared repository, and time."""
     ours, theirs = _our_fixes(w), _their_fixes(w)
-    same_keys = ours.join(theirs.select(KEY).distinct(), KEY, "left_semi")
-    later_matched = rest_period(ours, theirs, same_keys, "2001-02-28")
-    mix, _ = matched(same_keys, later_matched, ["agent"], "id")
-    return {
-        "matched keys": same_keys,
-        "period in their repos": scope(ours, theirs)[0],
-        "rest in their repos": rest_period(ours, theirs, theirs, "2001-02-28"),
-        "rest in matched repos": later_matched,
-        "rest with matched mix": mix,
-    }
+    first, last = (theirs.agg(f("created_at")).scalar() for f in (F.min, F.max))
+    rows = ours.select("id", "agent", "is_merged", "created_at", "repo_name", KEY)
+    placed = membership(membership(rows, theirs, [KEY], "same_key"), theirs, ["repo_name"], "their_repo")
+    until = F.lit("2001-02-28").cast("timestamp")
+    timed = placed.withColumn(
+        "time",
+        F.when(F.col("created_at").between(first, last), "period").when((F.col("created_at") > last) & (F.col("created_at") <= until), "rest"),
+    )
+    return stored(timed.drop("created_at", KEY), "placed")
+
+
+def _matched_rest(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a shared key, and later rows of the repositories those are in."""
+    same = placed.where("same_key")
+    return same, in_shared_repos(placed.where("time = 'rest'"), same).select(*placed.columns)
 
 
 def cohort_ladder(w: Warehouse) -> DataFrame:
-    """Acceptance per agent and overall in every cohort."""
-    parts = [
-        acceptance(df, "agent", "OVERALL").withColumn("cohort", F.lit(name)) for name, df in _ladder(w).items()
-    ]
+    """Acceptance per agent and overall in cohorts that each change one thing from the one before."""
+    placed = _placed_fixes(w)
+    same, later = _matched_rest(placed)
+    cohorts = {
+        "matched keys": same,
+        "period in their repos": placed.where("their_repo AND time = 'period'"),
+        "rest in their repos": placed.where("their_repo AND time = 'rest'"),
+        "rest in matched repos": later,
+        "rest with matched mix": matched(same, later, ["agent"], "id")[0],
+    }
+    parts = [acceptance(df, "agent", "OVERALL").withColumn("cohort", F.lit(name)) for name, df in cohorts.items()]
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
@@ -544,9 +575,8 @@ def cohort_ladder(w: Warehouse) -> DataFrame:
 
 
 def stratified_shortfall(w: Warehouse) -> DataFrame:
-    ours, theirs = _our_fixes(w), _their_fixes(w)
-    same_keys = ours.join(theirs.select(KEY).distinct(), KEY, "left_semi")
-    return matched(same_keys, rest_period(ours, theirs, same_keys, "2001-02-28"), ["agent"], "id")[1]
+    same, later = _matched_rest(_placed_fixes(w))
+    return matched(same, later, ["agent"], "id")[1]
 
 
 def own_vs_external(w: Warehouse) -> DataFrame:
@@ -618,6 +648,9 @@ PLANS = {
     "q25_missed_repositories": missed_repositories,
     "q26_repo_coverage": repo_coverage,
     "q26_status_breakdown": status_breakdown,
+    "f13_ordered_status": ordered_status,
+    "j12_key_or_commit_match": key_or_commit_match,
+    "e06_overlap_per_group": overlap_per_group,
     "q27_monthly_coverage": monthly_coverage,
     "q27_merged_runs": merged_runs,
     "q28_agent_coverage": agent_coverage,

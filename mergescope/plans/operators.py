@@ -10,7 +10,7 @@ from mergescope.functions.clock import day_text, hours_between, month_text, pars
 from mergescope.functions.numeric import chi_square_p, clip, log10_scale, np_round, pct_modification, percent, ratio, stars
 from mergescope.functions.text import match_key, remove_prefix
 from mergescope.operators.aggregates import (
-    acceptance, crosstab, distinct_count, grouped_rate, period_change, pivot_counts, pivot_measure, share, share_of_all, sum_or_zero,
+    acceptance, crosstab, distinct_count, grouped_rate, period_change, pivot_counts, share, share_of_all, sum_or_zero,
     top_k, value_totals, with_total_row, work_list,
 )
 from mergescope.operators.filters import closed_fixes, differs, in_window, min_size
@@ -23,9 +23,10 @@ from mergescope.operators.sampling import matched, sample_n
 from mergescope.operators.stats import chi_square, log_rank, mann_whitney
 from mergescope.plans.reports import rounded
 from mergescope.schema import normalize_prs
-from mergescope.sources.readers import explode_status, only_values
-from mergescope.sources.sinks import report, report_rows, schema_diff
+from mergescope.sources.readers import explode_status, load_table, only_values
+from mergescope.sources.sinks import compact, report, report_rows, schema_diff, write_by_source, write_csv, write_preview
 from mergescope.sources.warehouse import COMMIT_ORDER, CUTOFF, Warehouse
+from mergescope.streaming.incremental import run_folder
 
 
 
@@ -65,6 +66,37 @@ def status_document(w: Warehouse) -> DataFrame:
     return explode_status(document).groupBy("list").agg(n())
 
 
+def csv_by_suffix(w: Warehouse) -> DataFrame:
+    """The closed fixes written as CSV and read back through the suffix of their path."""
+    path = f"{run_folder(w.spark, 'csv')}/fixes.csv"
+    write_csv(w.fixes.select("id", "agent", "title", (F.col("amount") / 7).alias("amount")), path, ["id"], {"amount": 2})
+    back = load_table(w.spark, path, ["agent", "title", "amount"])
+    return back.groupBy("agent").agg(n(), F.min("title").alias("first_title"), F.max(F.col("amount").cast("double")).alias("amount"))
+
+
+def compacted(w: Warehouse) -> DataFrame:
+    """Many small files of two schemas rewritten under the unified one."""
+    folder = run_folder(w.spark, "chunks")
+    chunks = w.prs.select("id", "agent", "month", "amount")
+    chunks.where("amount < 250000").drop("amount").repartition(8).write.parquet(f"{folder}/chunks/part=1")
+    chunks.where("amount >= 250000").repartition(8).write.parquet(f"{folder}/chunks/part=2")
+    compact(w.spark, f"{folder}/chunks", f"{folder}/one")
+    return w.spark.read.parquet(f"{folder}/one").groupBy("agent").agg(n(), F.count("amount").alias("with_amount"), F.max("month").alias("last_month"))
+
+
+def split_by_source(w: Warehouse) -> DataFrame:
+    """One write split by source, of which only the agent folder is read back."""
+    folder = run_folder(w.spark, "split")
+    write_by_source(w.prs.select("id", "agent", "source"), folder)
+    return w.spark.read.parquet(folder).where("source = 'agent'").groupBy("source", "agent").agg(n(), F.sum("id").alias("ids"))
+
+
+def preview(w: Warehouse) -> DataFrame:
+    folder = run_folder(w.spark, "preview")
+    write_preview(w.prs.select("id", "title"), folder, "id")
+    return w.spark.read.csv(folder, header=True, schema="id long, title string")
+
+
 def schema_difference(w: Warehouse) -> DataFrame:
     """Columns of two tables that share some names."""
     return schema_diff(w.table("documents"), w.table("labels"))
@@ -533,7 +565,11 @@ PLANS = {
     "s01_pruned_scan": pruned_scan,
     "s02_pushed_in_list": pushed_in_list,
     "s03_filtered_scan": filtered_scan,
+    "s04_csv_by_suffix": csv_by_suffix,
     "s05_status_document": status_document,
+    "s07_compacted": compacted,
+    "s10_split_by_source": split_by_source,
+    "s11_preview": preview,
     "s12_schema_difference": schema_difference,
     "s13_report_rows": report_long,
     "schema_normalized": normalized,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "mergescope", cpus: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -38,3 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="mergescope-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once to the shared folder and read it from there.
+
+    For results several branches start from: the work behind them is not repeated, a lost executor costs only a re-read,
+    and the planner knows the table's size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

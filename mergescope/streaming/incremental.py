@@ -31,7 +31,7 @@ def monthly_update(df: DataFrame, ts: str, by: Sequence[str]) -> DataFrame:
 
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder of the shared storage for one run's output and progress."""
-    return f"{shared_folder(spark)}/streams/{name}-{uuid4().hex}"
+    return f"{shared_folder(spark)}/runs/{name}-{uuid4().hex}"
 
 
 def append_to(df: DataFrame, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from mergescope.operators.aggregates import (
     with_total_row, work_list,
 )
 from mergescope.operators.filters import after_end_of, closed_fixes, differs, in_window, min_size, within_range_of
-from mergescope.operators.joins import fan_out, first_known, keep_first, lookup, membership, outer_counts, paired, scope
+from mergescope.operators.joins import fan_out, first_known, keep_first, lookup, membership, outer_counts, paired, rest_period, scope
 from mergescope.operators.labelling import (
     attribute, classify_table, fixes_with_commits, label_incremental, validate_responses,
 )
@@ -119,6 +119,7 @@ def test_scope_cuts_to_shared_repositories_and_dates(spark, prs):
     other = prs.where("id IN (1, 3)")
     ours, theirs = scope(prs, other)
     assert [r[0] for r in rows(ours, "id")] == [1, 2, 3] and theirs.count() == 2
+    assert [r[0] for r in rows(rest_period(prs, other, other), "id")] == [4, 5]
 
 
 @pytest.fixture(scope="module")
