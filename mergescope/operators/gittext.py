@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mergescope.config import MAX_PATCH_BYTES
 from mergescope.functions.text import strip, within_bytes
-from mergescope.operators.joins import fan_out, keep_first
+from mergescope.operators.joins import fan_out
 
 # Markers written around each commit of a log, and the words for git's status letters.
 COMMIT_MARK = "---COMMIT_BOUNDARY_8f3a1b---"
@@ -36,28 +36,50 @@ def _newlines(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def _last_entries(df: DataFrame, keep: Sequence[str], entries: Column, key: Sequence[str]) -> DataFrame:
+    """One row per key of each document's entries, the last one; the structs begin with the key and then the position.
+
+    Repeats are dropped inside the document by sorting its own entries, so no text is shuffled.
+    """
+    ordered = df.select(*keep, F.array_sort(entries).alias("entries__"))
+
+    def unless_repeated(entry: Column, following: Column) -> Column:
+        same = F.lit(True)
+        for name in key:
+            same = same & entry[name].eqNullSafe(following[name])
+        return F.when(following.isNull() | ~same, entry)
+
+    following = F.slice("entries__", F.lit(2), F.greatest(F.size("entries__"), F.lit(1)))
+    kept = F.array_compact(F.zip_with("entries__", following, unless_repeated))
+    return ordered.select(*keep, F.inline(kept))
+
+
 def log_commits(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per commit of a numstat log, with the text of its file list; the last entry of a commit wins.
+    """One row per commit of a numstat log, with the text of its file list; within a log the last entry of a commit wins.
 
     A commit's entry is its mark, then lines for the sha, the author and the committer, then the message up to its own mark.
     """
-    blocks = df.select(*keep, F.posexplode(F.split(F.col(text), COMMIT_MARK)).alias("pos", "block")).where(
-        F.contains("block", F.lit(MESSAGE_END))
+
+    def entry(block: Column, position: Column) -> Column:
+        head = F.substring_index(block, MESSAGE_END, 1)
+        return F.struct(_line(head, 1).alias("sha"), position.alias("pos"), block.alias("block"))
+
+    blocks = F.filter(
+        F.transform(F.split(F.col(text), COMMIT_MARK), strip),
+        lambda b: F.contains(b, F.lit(MESSAGE_END)) & (_newlines(F.substring_index(b, MESSAGE_END, 1)) >= 3),
     )
-    headed = blocks.select(*keep, "pos", strip(F.col("block")).alias("block")).withColumn(
+    commits = _last_entries(df, keep, F.transform(blocks, entry), ["sha"]).withColumn(
         "head", F.substring_index("block", MESSAGE_END, 1)
     )
     head = F.col("head")
-    commits = headed.where(_newlines(head) >= 3).select(
+    return commits.select(
         *keep,
-        "pos",
-        _line(head, 1).alias("sha"),
+        "sha",
         _line(head, 2).alias("author"),
         _line(head, 3).alias("committer"),
         strip(_after(head, F.substring_index(head, "\n", 3), 1)).alias("message"),
         _after(F.col("block"), head, len(MESSAGE_END)).alias("numstat"),
     )
-    return keep_first(commits, [*keep, "sha"], [-F.col("pos")]).drop("pos")
 
 
 def numstat_files(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -80,38 +102,43 @@ def numstat_files(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFra
 
 def name_status(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """(sha, filename, status) of a name-status list; lines before the first commit header are skipped."""
-    parts = df.select(*keep, F.posexplode(F.split(F.col(text), r"(?m)^(?=\s*[0-9a-f]{40})")).alias("part", "segment"))
-    lines = (
-        parts.withColumn("sha", F.regexp_extract("segment", r"^\s*([0-9a-f]{40})", 1))
-        .where(F.col("sha") != "")
-        .select(*keep, "sha", "part", F.posexplode(F.split("segment", "\n")).alias("pos", "line"))
-        .withColumn("line", strip(F.col("line")))
-        .where(F.contains("line", F.lit("\t")) & ~F.col("line").rlike("^[0-9a-f]{40}"))
-    )
-    letter = strip(F.substring_index("line", "\t", 1))
+    header = r"^\s*([0-9a-f]{40})"
+    tab = F.lit("\t")
+
+    def segment_rows(segment: Column, part: Column) -> Column:
+        sha = F.regexp_extract(segment, header, 1)
+        lines = F.filter(F.slice(F.split(F.btrim(segment), "\n"), F.lit(2), F.char_length(segment)), lambda line: F.contains(line, tab))
+
+        def row(line: Column, position: Column) -> Column:
+            trimmed = strip(line)
+            letter = F.substring_index(trimmed, "\t", 1)
+            return F.struct(
+                sha.alias("sha"), strip(_after(trimmed, letter, 1)).alias("filename"), part.alias("part"), position.alias("pos"),
+                strip(letter).alias("letter"),
+            )
+
+        return F.transform(lines, row)
+
+    segments = F.filter(F.split(F.col(text), r"(?m)^(?=\s*[0-9a-f]{40})"), lambda s: s.rlike(header))
+    entries = F.flatten(F.transform(segments, segment_rows))
     words = F.create_map(*[F.lit(x) for pair in STATUS_WORDS.items() for x in pair])
-    rows = lines.select(
-        *keep,
-        "sha",
-        strip(F.expr("substring(line, instr(line, '\t') + 1)")).alias("filename"),
-        F.coalesce(F.try_element_at(words, F.substring(letter, 1, 1)), letter).alias("status"),
-        "part",
-        "pos",
-    )
-    return keep_first(rows, [*keep, "sha", "filename"], [-F.col("part"), -F.col("pos")]).drop("part", "pos")
+    status = F.coalesce(F.try_element_at(words, F.substring("letter", 1, 1)), F.col("letter"))
+    return _last_entries(df, keep, entries, ["sha", "filename"]).select(*keep, "sha", "filename", status.alias("status"))
 
 
 def diff_files(df: DataFrame, text: str, keep: Sequence[str] = (), cap: int = MAX_PATCH_BYTES) -> DataFrame:
     """(filename, patch) of a unified diff; a patch above the byte cap is NULL."""
-    blocks = df.select(*keep, F.posexplode(F.split(F.col(text), r"(?m)^diff --git ")).alias("pos", "block")).where(
-        F.contains("block", F.lit("\n"))
-    )
-    halves = F.split("block", "\n", 2)
-    sides = F.split(halves[0], " b/", 2)
-    rows = blocks.where(F.size(sides) == 2).select(
-        *keep, "pos", strip(sides[1]).alias("filename"), within_bytes(halves[1], cap).alias("patch")
+
+    def entry(block: Column, position: Column) -> Column:
+        head = F.substring_index(block, "\n", 1)
+        name = strip(_after(head, F.substring_index(head, " b/", 1), 3))
+        return F.struct(name.alias("filename"), position.alias("pos"), within_bytes(_after(block, head, 1), cap).alias("patch"))
+
+    blocks = F.filter(
+        F.split(F.col(text), r"(?m)^diff --git "),
+        lambda b: F.contains(b, F.lit("\n")) & F.contains(F.substring_index(b, "\n", 1), F.lit(" b/")),
     )
-    return keep_first(rows, [*keep, "filename"], [-F.col("pos")]).drop("pos")
+    return _last_entries(df, keep, F.transform(blocks, entry), ["filename"]).select(*keep, "filename", "patch")
 
 
 def build_details(commits: DataFrame, statuses: DataFrame, patches: DataFrame | None, holders: DataFrame) -> DataFrame:
