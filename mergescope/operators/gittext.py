@@ -15,9 +15,12 @@ from mergescope.config import MAX_PATCH_BYTES
 from mergescope.functions.text import strip, within_bytes
 from mergescope.operators.joins import fan_out
 
-# Markers written around each commit of a log, and the words for git's status letters.
-COMMIT_MARK = "---COMMIT_BOUNDARY_8f3a1b---"
-MESSAGE_END = "---MSG_END_8f3a1b---"
+# Write logs with these marks before each commit and after its message: git log --numstat --format with the lines
+# COMMIT_MARK, %H, %an, %cn, %B and MESSAGE_END.
+COMMIT_MARK = "<<commit entry>>"
+MESSAGE_END = "<<end of message>>"
+
+# The words for git's status letters.
 STATUS_WORDS = {
     "A": "added", "M": "modified", "D": "removed", "R": "renamed", "C": "copied", "T": "changed",
 }

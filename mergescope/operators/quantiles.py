@@ -29,6 +29,14 @@ def value_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Da
     )
 
 
+def rows_of(metric: str, condition: Column | None = None) -> Column:
+    """Aggregate over value counts: the rows of one metric, of those values that meet the condition."""
+    wanted = F.col("metric") == metric
+    if condition is not None:
+        wanted = wanted & condition
+    return F.coalesce(F.sum(F.when(wanted, F.col("rows"))), F.lit(0).cast("long"))
+
+
 def quantiles(df: DataFrame, by: Sequence[str], **wanted: tuple[str, float]) -> DataFrame:
     """One row per group with linearly interpolated quantiles: ``quantiles(df, by, median_h=("hours", 0.5))``.
 

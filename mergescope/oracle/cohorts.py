@@ -110,10 +110,10 @@ classed AS (SELECT *, CASE
     WHEN their_target_prs > 0 AND our_total >= their_target_prs THEN 'fully_collected'
     WHEN repo_name IN (SELECT repo_name FROM v_status WHERE list = 'errors') THEN 'error_accessing_repo'
     WHEN repo_name IN (SELECT repo_name FROM v_status WHERE list = 'not_found') THEN 'repo_not_found_or_deleted'
-    WHEN their_target_prs = 0 THEN 'no_target_agent_prs'
+    WHEN their_target_prs = 0 THEN 'no_target_agent_prs (only OpenAI_Codex or other)'
     WHEN repo_name IN (SELECT repo_name FROM v_status WHERE list = 'done_repos') THEN
       CASE WHEN our_total > 0 THEN 'partially_collected' ELSE 'processed_but_no_matching_prs_found' END
-    ELSE 'not_attempted' END AS status FROM repos)"""
+    ELSE 'not_attempted (repo not in our collection scope)' END AS status FROM repos)"""
 
 DUAL = """
 bm AS (SELECT id FROM v_theirs_all WHERE (repo_id, number) IN (SELECT (repo_id, number) FROM v_ours)),

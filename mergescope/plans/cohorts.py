@@ -16,7 +16,7 @@ from mergescope.operators.joins import (
     in_shared_repos, keep_first, lookup, membership, outer_counts, paired,
 )
 from mergescope.operators.overlap import agreement, dual_match, overlap, overlap_counts, tag, with_coverage
-from mergescope.operators.quantiles import histogram, quantiles
+from mergescope.operators.quantiles import histogram, quantiles_of_counts, rows_of, value_counts
 from mergescope.operators.revisions import commits_per_pr
 from mergescope.operators.sampling import matched
 from mergescope.operators.stats import chi_square, log_rank
@@ -26,6 +26,10 @@ from mergescope.sources.warehouse import Warehouse
 
 KEY = "match_key"
 
+# Two status labels that carry an explanation.
+NO_TARGET = "no_target_agent_prs (only OpenAI_Codex or other)"
+NOT_ATTEMPTED = "not_attempted (repo not in our collection scope)"
+
 
 # Overlap of keys
 
@@ -229,10 +233,10 @@ def _with_status(w: Warehouse, repos: DataFrame) -> DataFrame:
         F.when((target > 0) & (got >= target), "fully_collected")
         .when(F.col("failed"), "error_accessing_repo")
         .when(F.col("gone"), "repo_not_found_or_deleted")
-        .when(target == 0, "no_target_agent_prs")
+        .when(target == 0, NO_TARGET)
         .when(F.col("done") & (got > 0), "partially_collected")
         .when(F.col("done") & (got == 0), "processed_but_no_matching_prs_found")
-        .when(~F.col("done"), "not_attempted")
+        .when(~F.col("done"), NOT_ATTEMPTED)
         .otherwise("unknown")
     )
     return flagged.withColumn("status", status).drop("failed", "gone", "done")
@@ -484,15 +488,18 @@ COHORT = ("id", "source", "agent", "created_at", "state", "is_merged")
 def _cohort_report(w: Warehouse, cohort: DataFrame) -> DataFrame:
     """Outcome, timing and revision summary of a cohort per report row."""
     timed = w.closed(stored(cohort.select(*COHORT), "cohort"))
-    rows = timed.select("id", F.explode(categories()).alias("category"), "is_merged", "hours_to_merge")
-    counts = with_rates(rows.groupBy("category").agg(*outcome_columns()))
-    medians = quantiles(rows, ["category"], median_hours=("hours_to_merge", 0.5))
-    commits = rows.where("is_merged").join(commits_per_pr(w.commits).withColumnRenamed("pr_id", "id"), "id")
-    single = commits.groupBy("category").agg(
-        percent(F.count_if(F.col("num_commits") == 1), F.count(F.lit(1))).alias("single_pct")
+    commits = commits_per_pr(w.commits).withColumnRenamed("pr_id", "id")
+    rows = timed.join(commits, "id", "left").select(
+        F.explode(categories()).alias("category"), "is_merged", "hours_to_merge",
+        F.when(F.col("is_merged"), F.col("num_commits")).alias("num_commits"),
+    )
+    counts = value_counts(rows, ["category"], ["is_merged", "hours_to_merge", "num_commits"])
+    table = counts.groupBy("category").agg(
+        rows_of("is_merged").alias("total"), rows_of("is_merged", F.col("value") == 1.0).alias("merged"),
+        percent(rows_of("num_commits", F.col("value") == 1.0), rows_of("num_commits")).alias("single_pct"),
     )
-    table = counts.join(medians, "category", "left").join(single, "category", "left")
-    return rounded(table, 4, "acceptance_rate", "median_hours", "single_pct")
+    medians = quantiles_of_counts(counts, ["category"], median_hours=("hours_to_merge", 0.5))
+    return rounded(with_rates(table).join(medians, "category", "left"), 4, "acceptance_rate", "median_hours", "single_pct")
 
 
 def _size_matched(w: Warehouse) -> DataFrame:

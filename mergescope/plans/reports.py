@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from mergescope.config import AGENTS, HUMAN_GROUP
 from mergescope.functions.numeric import np_round, percent
 from mergescope.operators.aggregates import (
-    acceptance, grouped_rate, is_merged, outcome_columns, period_change, pivot_counts, pivot_measure, share, top_k,
+    acceptance, grouped_rate, is_merged, period_change, pivot_counts, pivot_measure, share, top_k,
     value_totals, with_rates, with_total_row,
 )
 from mergescope.operators.filters import min_size
-from mergescope.operators.quantiles import box_stats, clip_at_quantile, quantiles, quantiles_of_counts, value_counts
+from mergescope.operators.quantiles import (
+    box_stats, clip_at_quantile, quantiles, quantiles_of_counts, rows_of, value_counts,
+)
 from mergescope.operators.revisions import change_size, commits_per_pr, first_vs_rest, revision_effort
 from mergescope.operators.stats import (
     chi_square, chi_square_of_counts, log_rank, mann_whitney, mann_whitney_counts, pair_counts,
@@ -80,11 +82,18 @@ def acceptance_all_agents(w: Warehouse) -> DataFrame:
     return rounded(table, 4, "acceptance_rate", "rejection_rate")
 
 
+def outcomes_and_hours(rows: DataFrame) -> DataFrame:
+    """Outcome counts, acceptance rate and median hours to merge per report row, from one table of value counts."""
+    counts = value_counts(rows, ["category"], ["is_merged", "hours_to_merge"])
+    table = counts.groupBy("category").agg(
+        rows_of("is_merged").alias("total"), rows_of("is_merged", F.col("value") == 1.0).alias("merged")
+    )
+    return with_rates(table).join(quantiles_of_counts(counts, ["category"], median_hours=("hours_to_merge", 0.5)), "category", "left")
+
+
 def acceptance_time_table(w: Warehouse) -> DataFrame:
     rows = w.timed_fixes.select(F.explode(categories()).alias("category"), "is_merged", "hours_to_merge")
-    counts = with_rates(rows.groupBy("category").agg(*outcome_columns()))
-    medians = quantiles(rows, ["category"], median_hours=("hours_to_merge", 0.5))
-    return rounded(counts.join(medians, "category", "left"), 4, "acceptance_rate", "median_hours")
+    return rounded(outcomes_and_hours(rows), 4, "acceptance_rate", "median_hours")
 
 
 def agent_vs_human_acceptance(w: Warehouse) -> DataFrame:
@@ -134,15 +143,14 @@ def _merged_commit_counts(w: Warehouse) -> DataFrame:
 
 
 def unrevised_share(w: Warehouse) -> DataFrame:
-    counted = _merged_commit_counts(w)
-    revised = counted.where("num_commits > 1")
-    table = counted.groupBy("source").agg(
-        F.count_if(F.col("num_commits") == 1).alias("single"), F.count(F.lit(1)).alias("merged"),
-        F.count_if(F.col("num_commits") > 1).alias("revised"),
+    counted = _merged_commit_counts(w).withColumn("revised", F.when(F.col("num_commits") > 1, F.col("num_commits")))
+    counts = value_counts(counted, ["source"], ["num_commits", "revised"])
+    table = counts.groupBy("source").agg(
+        rows_of("num_commits", F.col("value") == 1.0).alias("single"), rows_of("num_commits").alias("merged"),
+        rows_of("revised").alias("revised"),
     ).withColumn("single_pct", percent(F.col("single"), F.col("merged")))
-    return rounded(
-        table.join(quantiles(revised, ["source"], median_commits=("num_commits", 0.5)), "source", "left"), 4, "single_pct"
-    )
+    medians = quantiles_of_counts(counts, ["source"], median_commits=("revised", 0.5))
+    return rounded(table.join(medians, "source", "left"), 4, "single_pct")
 
 
 def revision_count_test(w: Warehouse) -> DataFrame:
@@ -177,12 +185,12 @@ def revision_effort_shared_first(w: Warehouse) -> DataFrame:
 
 
 def code_modification(w: Warehouse) -> DataFrame:
-    effort = _revised_effort(w)
-    counts = effort.groupBy("source").agg(
-        F.count(F.lit(1)).alias("revised"), F.count("pct_modification").alias("with_initial_lines")
+    counts = value_counts(_revised_effort(w), ["source"], ["num_commits", "pct_modification"])
+    table = counts.groupBy("source").agg(
+        rows_of("num_commits").alias("revised"), rows_of("pct_modification").alias("with_initial_lines")
     )
-    medians = quantiles(effort, ["source"], median_pct=("pct_modification", 0.5))
-    return rounded(counts.join(medians, "source", "left"), 4, "median_pct")
+    medians = quantiles_of_counts(counts, ["source"], median_pct=("pct_modification", 0.5))
+    return rounded(table.join(medians, "source", "left"), 4, "median_pct")
 
 
 # Volume and trends
@@ -220,9 +228,10 @@ def monthly_acceptance_by_source(w: Warehouse) -> DataFrame:
 
 
 def _gated_monthly_median(df: DataFrame, column: str, digits: int, groups: tuple[str, ...] = GROUPS) -> DataFrame:
-    known = df.where("group IS NOT NULL")
-    sizes = known.groupBy("month", "group").agg(F.count(F.lit(1)).alias("n"))
-    medians = quantiles(known, ["month", "group"], median=(column, 0.5))
+    # A constant column counts the rows of a group next to its values.
+    counts = value_counts(df.withColumn("row", F.lit(1)), ["month", "group"], [column, "row"])
+    sizes = counts.groupBy("month", "group").agg(rows_of("row").alias("n"))
+    medians = quantiles_of_counts(counts, ["month", "group"], median=(column, 0.5))
     gated = sizes.join(medians, ["month", "group"], "left").withColumn(
         "median", min_size(np_round(F.col("median"), digits), rows=F.col("n"))
     )
@@ -271,17 +280,11 @@ def agent_leaderboard(w: Warehouse) -> DataFrame:
     )
     counts = value_counts(measured, ["group"], ["is_merged", "is_revised", "hours_to_merge", "added", "deleted"])
 
-    def rows(metric: str, *extra: Column) -> Column:
-        wanted = F.col("metric") == metric
-        for condition in extra:
-            wanted = wanted & condition
-        return F.coalesce(F.sum(F.when(wanted, F.col("rows"))), F.lit(0))
-
     hit = F.col("value") == 1.0
     table = counts.groupBy("group").agg(
-        rows("is_merged").alias("total"), rows("is_merged", hit).alias("merged"),
-        percent(rows("is_merged", hit), rows("is_merged")).alias("rate"),
-        percent(rows("is_revised", hit), rows("is_revised")).alias("revised_pct"),
+        rows_of("is_merged").alias("total"), rows_of("is_merged", hit).alias("merged"),
+        percent(rows_of("is_merged", hit), rows_of("is_merged")).alias("rate"),
+        percent(rows_of("is_revised", hit), rows_of("is_revised")).alias("revised_pct"),
     )
     medians = quantiles_of_counts(
         counts, ["group"], median_hours=("hours_to_merge", 0.5), median_rev_added=("added", 0.5), median_rev_deleted=("deleted", 0.5)
