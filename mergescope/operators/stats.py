@@ -108,7 +108,8 @@ def _exact_p_column(u: Column, n1: Column, n2: Column) -> Column:
 def mann_whitney(df: DataFrame, by: Sequence[str], side: Column, x: str, exact_small: bool = False) -> DataFrame:
     """U of the first side with mid-ranks, tie-corrected z, two-sided p and stars.
 
-    ``exact_small`` replaces p by the permutation value when one sample has at most eight untied values.
+    ``exact_small`` replaces p by the permutation value when one sample has at most eight untied values and the product of
+    the sizes is at most EXACT_TABLE; a larger table keeps the normal value.
     """
     by = list(by)
     counts = (
