@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergescope.llm import bpe, line_dedup, packing, quality, simhash
+from mergescope.llm import bpe, embed_dedup, licenses, line_dedup, packing, quality, secrets, simhash, url_filter
 from mergescope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +23,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op1_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
 
@@ -35,16 +43,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_findings(table(spark, sf_dir, "documents")).drop("value")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_url_filters": op2_url_filters,
     "op4_bpe": op4_bpe,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_license_scans": op9_license_scans,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 SQL: dict[str, str] = {"op8_quality_rules": quality.SQL}
