@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergescope.llm import bpe, embed_dedup, licenses, line_dedup, packing, quality, secrets, simhash, url_filter
+from mergescope.llm import bpe, embed_dedup, licenses, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup, url_filter
 from mergescope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op3_suffix_array_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -52,12 +56,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_findings(table(spark, sf_dir, "documents")).drop("value")
+    return secret_scan.secret_findings(table(spark, sf_dir, "documents")).drop("value")
 
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_url_filters": op2_url_filters,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_bpe": op4_bpe,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_line_dedup": op6_line_dedup,

@@ -36,7 +36,8 @@ KINDS = (
     ("hex", r"^([0-9a-f]{16,}|[0-9A-F]{16,})$"),
 )
 NEAR_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|credential|auth|bearer)"
-DULL_WORDS = r"(?i)(sha-?\d*|md5|hash|checksum|digest|commit|uuid|guid|example|sample|placeholder|revision|integrity)"
+DULL_WORDS = r"(?i)\b(sha-?\d+|md5(sum)?|hash|checksum|digest|commit|uuid|guid|example|sample|placeholder|revision|integrity)\b"
+NEAR = 24
 CODE_PATH = r"(?i)(\.(env|cfg|ini|conf|json|ya?ml|toml|properties|py|js|ts|java|go|rb|sh|tf)$|config|secret|\.env)"
 TEST_PATH = r"(?i)(test|spec|example|sample|fixture|mock|docs?/|\.md$|\.lock$)"
 DICTIONARY = (
@@ -100,8 +101,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "known_kind": flag(~kind.isin("hex", "other")),
         "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
-        "near_words": flag(before.rlike(NEAR_WORDS)),
-        "dull_words": flag(before.rlike(DULL_WORDS)),
+        "near_words": flag(F.substring(before, -NEAR, NEAR).rlike(NEAR_WORDS)),
+        "dull_words": flag(F.substring(before, -NEAR, NEAR).rlike(DULL_WORDS)),
         "code_path": flag(path.rlike(CODE_PATH)),
         "test_path": flag(path.rlike(TEST_PATH)),
     })
