@@ -6,13 +6,19 @@ import os
 import tempfile
 from uuid import uuid4
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "mergescope", cpus: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A local session; on a cluster the caller brings its own session and settings."""
+def local_session(
+    app: str = "mergescope", cpus: int | None = None, shuffle_partitions: int | None = None, shared: str | None = None
+) -> SparkSession:
+    """A local session; on a cluster the caller brings its own session and settings.
+
+    shared: the folder for stored intermediates and checkpoints, used where the settings name none.
+    """
     cores = cpus or os.cpu_count() or 4
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
@@ -22,23 +28,18 @@ def local_session(app: str = "mergescope", cpus: int | None = None, shuffle_part
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if not SparkConf().get("spark.checkpoint.dir", None):
+        builder = builder.config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="mergescope-"))
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can write to: the session's checkpoint directory.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
+    """The folder all executors can write to: the session's spark.checkpoint.dir, which is fixed when it starts."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="mergescope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        raise RuntimeError("start the session with spark.checkpoint.dir set to a folder that all its executors share")
+    return configured.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

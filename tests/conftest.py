@@ -11,10 +11,8 @@ from mergescope.sources.warehouse import Warehouse  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("mergescope-tests", cpus=8, shuffle_partitions=4)
+    session = local_session("mergescope-tests", cpus=8, shuffle_partitions=4, shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
