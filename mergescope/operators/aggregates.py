@@ -94,11 +94,12 @@ def pivot_measure(df: DataFrame, row: str, column: str, values: Sequence[str], m
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str], margin: str = "Total") -> DataFrame:
-    """Contingency counts with a margin row and a margin column."""
+    """Contingency counts with a margin row and a margin column; values that are not listed count as Unlisted."""
     wide = df.where(all_known([row, column])).groupBy(row).agg(
-        *[F.count_if(F.col(column) == v).alias(v) for v in values], F.count(F.lit(1)).alias(margin)
+        *[F.count_if(F.col(column) == v).alias(v) for v in values],
+        F.count_if(~F.col(column).isin(*values)).alias("Unlisted"), F.count(F.lit(1)).alias(margin),
     )
-    return with_total_row(wide, row, margin, [*values, margin])
+    return with_total_row(wide, row, margin, [*values, "Unlisted", margin])
 
 
 def share(df: DataFrame, part: Sequence[str], count: str, alias: str = "share_pct", digits: int | None = None) -> DataFrame:
@@ -129,4 +130,4 @@ def top_k(df: DataFrame, by: str, k: int, *extra: Column) -> DataFrame:
 
 def work_list(wanted: DataFrame, done: DataFrame, key: str, alias: str = "expected") -> DataFrame:
     """Keys not yet done, with the number of wanted rows, most first."""
-    return value_totals(wanted.join(done.select(key).distinct(), key, "left_anti"), key, alias)
+    return value_totals(wanted.join(done.select(key), key, "left_anti"), key, alias)

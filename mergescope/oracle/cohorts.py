@@ -154,11 +154,11 @@ SELECT side, CASE WHEN hit THEN 'shared' ELSE 'exclusive' END AS part, strftime(
   strftime(max(created_at), '%Y-%m-%d') AS last_day, count(*) AS "rows" FROM s GROUP BY side, hit""",
     "q23_agent_crosstab": f"""
 WITH {PAIRS}
-SELECT coalesce(ours_agent, 'Total') AS ours_agent, {', '.join(f'count(*) FILTER (theirs_agent = {chr(39)}{a}{chr(39)}) AS "{a}"' for a in AGENTS)}, count(*) AS "Total"
+SELECT coalesce(ours_agent, 'Total') AS ours_agent, {', '.join(f'count(*) FILTER (theirs_agent = {chr(39)}{a}{chr(39)}) AS "{a}"' for a in AGENTS)}, count(*) FILTER (theirs_agent NOT IN ({', '.join(repr(a) for a in AGENTS)})) AS "Unlisted", count(*) AS "Total"
 FROM pairs GROUP BY ROLLUP (ours_agent)""",
     "q23_state_crosstab": f"""
 WITH {PAIRS}
-SELECT coalesce(ours_state, 'Total') AS ours_state, count(*) FILTER (theirs_state = 'closed') AS closed, count(*) FILTER (theirs_state = 'open') AS open, count(*) AS "Total"
+SELECT coalesce(ours_state, 'Total') AS ours_state, count(*) FILTER (theirs_state = 'closed') AS closed, count(*) FILTER (theirs_state = 'open') AS open, count(*) FILTER (theirs_state NOT IN ('open', 'closed')) AS "Unlisted", count(*) AS "Total"
 FROM pairs GROUP BY ROLLUP (ours_state)""",
     "q23_label_agreement": f"""
 WITH {PAIRS}
@@ -271,7 +271,7 @@ UNION ALL SELECT 'agent', agent, count(*) FROM v_prs GROUP BY agent UNION ALL SE
     "q31_repository_export": r"""
 WITH p AS (SELECT repo_id, count(*) AS pr_count, arg_min(repo_url, id) AS repo_url, arg_min(html_url, id) AS html_url FROM v_theirs_all GROUP BY repo_id)
 SELECT p.repo_id, CASE WHEN full_name IS NOT NULL AND full_name <> 'Unknown' THEN full_name ELSE regexp_extract(html_url, 'github\.com/([^/]+/[^/]+)', 1) END AS repository,
-  pr_count, r.repo_id IS NOT NULL AS in_metadata, language, stars, forks, repo_url, regexp_extract(html_url, 'https?://github\.com/[^/]+/[^/]+') || '/' AS html_url
+  pr_count, r.repo_id IS NOT NULL AS in_metadata, language, license, stars, forks, repo_url, regexp_extract(html_url, 'https?://github\.com/[^/]+/[^/]+') || '/' AS html_url
 FROM p LEFT JOIN v_repos r ON p.repo_id = r.repo_id""",
     "q31_repository_export_stats": f"""
 WITH p AS (SELECT DISTINCT repo_id FROM v_theirs_all)

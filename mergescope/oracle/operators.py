@@ -115,7 +115,9 @@ SELECT pr_id, CAST(coalesce(sum(additions), 0) AS BIGINT) AS added, CAST(coalesc
 SELECT l_returnflag, {rnd('median(l_extendedprice)', 4)} AS median_price, {rnd('median(l_quantity)', 4)} AS median_quantity FROM lineitem GROUP BY l_returnflag""",
     "a07_exact_quantiles": f"""
 SELECT event_type, {rnd('quantile_cont(value, 0.05)', 4)} AS p05, {rnd('quantile_cont(value, 0.95)', 4)} AS p95, {rnd('quantile_cont(value, 0.99)', 4)} AS p99 FROM events GROUP BY event_type""",
-    "a07_near_quantiles": "SELECT DISTINCT l_returnflag, TRUE AS close FROM lineitem",
+    "a07_near_quantiles": f"""
+SELECT l_returnflag, {rnd('quantile_cont(l_extendedprice, 0.49)', 4)} AS low, {rnd('quantile_cont(l_extendedprice, 0.51)', 4)} AS high, TRUE AS close
+FROM lineitem GROUP BY l_returnflag""",
     "a08_boolean_mean": f"SELECT agent, {rnd('avg(CASE WHEN is_merged THEN 1.0 ELSE 0.0 END) * 100', 4)} AS rate FROM v_prs GROUP BY agent",
     "a09_outcome_table": f"""
 SELECT agent, count(*) AS total, count(*) FILTER (is_merged) AS merged, count(*) FILTER (NOT is_merged) AS rejected,
@@ -128,12 +130,14 @@ WITH d AS (SELECT v_details.pr_id, v_details.sha, filename, l_linenumber, l_part
 s AS (SELECT pr_id, sha FROM d QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY l_linenumber, l_partkey, l_suppkey) = 1),
 f AS (SELECT pr_id, filename FROM d WHERE filename IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY l_linenumber, l_partkey, l_suppkey, filename) = 1)
 SELECT s.pr_id, s.sha, f.filename FROM s LEFT JOIN f ON s.pr_id = f.pr_id""",
+    "a12_commit_holders": """
+WITH h AS (SELECT DISTINCT sha, pr_id FROM v_commits) SELECT sha, pr_id, count(*) OVER (PARTITION BY sha) AS prs FROM h""",
     "a12_prs_per_commit": "SELECT prs, count(*) AS n FROM (SELECT sha, count(DISTINCT pr_id) AS prs FROM v_commits GROUP BY sha) GROUP BY prs",
     "a13_pivot_zero_filled": f"SELECT month, {filters('agent', SIX)} FROM v_prs GROUP BY month",
     "a13_pivot_null_kept": f"""
 SELECT repo_name, {', '.join(f'nullif(count(*) FILTER (agent = {chr(39)}{a}{chr(39)}), 0) AS "{a}"' for a in AGENTS)} FROM v_prs WHERE type = 'other' GROUP BY repo_name""",
     "a14_crosstab_margins": f"""
-SELECT coalesce(agent, 'Total') AS agent, {filters('task_type', TASKS)}, count(*) AS "Total" FROM v_prs GROUP BY ROLLUP (agent)""",
+SELECT coalesce(agent, 'Total') AS agent, {filters('task_type', TASKS)}, count(*) FILTER (task_type NOT IN ({', '.join(repr(t) for t in TASKS)})) AS "Unlisted", count(*) AS "Total" FROM v_prs GROUP BY ROLLUP (agent)""",
     "a15_total_row": "SELECT coalesce(agent, 'TOTAL') AS agent, count(*) AS n, count(*) FILTER (is_merged) AS merged FROM v_prs GROUP BY ROLLUP (agent)",
     "a16_conditional_counts": """
 SELECT month, count(*) FILTER (is_agent) AS agents, count(*) FILTER (NOT is_agent) AS humans, count(DISTINCT repo_name) FILTER (is_merged) AS merging_repos FROM v_prs GROUP BY month""",
@@ -171,7 +175,7 @@ SELECT agent, n1, n2, observed, {rnd('expected', 4)} AS expected, {rnd('chi', 4)
 WITH r AS (SELECT agent, count(*) FILTER (is_merged AND period = 'before')::DOUBLE / nullif(count(*) FILTER (period = 'before'), 0) * 100 AS b,
              count(*) FILTER (is_merged AND period = 'after')::DOUBLE / nullif(count(*) FILTER (period = 'after'), 0) * 100 AS a FROM v_fixes GROUP BY agent)
 SELECT agent, {rnd('b', 4)} AS before, {rnd('a', 4)} AS after, {rnd('a - b', 4)} AS change_pp FROM r""",
-    "k01_sorted_groups": "SELECT repo_name, agent, count(*) AS n FROM v_prs GROUP BY ALL ORDER BY n DESC, repo_name, agent LIMIT 50",
+    "k01_sorted_groups": "SELECT repo_name, agent, count(*) AS n FROM v_prs GROUP BY ALL ORDER BY n DESC, repo_name, agent",
     "k02_top_twenty": "SELECT repo_name, count(*) AS total FROM v_prs GROUP BY repo_name ORDER BY total DESC, repo_name LIMIT 20",
     "k03_top_with_measures": f"""
 SELECT repo_name, count(*) AS total, count(*) FILTER (is_merged) AS merged, count(*) FILTER (is_agent) AS agents,

@@ -94,7 +94,7 @@ SELECT c.pr_id, c.num_commits, coalesce(r.rev_files, 0) AS rev_files, coalesce(r
 FROM v_per_pr c LEFT JOIN (SELECT * FROM v_revision WHERE rest_rows > 0) r ON c.pr_id = r.pr_id""",
     "v_repos": """
 SELECT c_custkey AS repo_id, CASE c_mktsegment WHEN 'FURNITURE' THEN 'Unknown' ELSE lower(c_mktsegment) || '/' || c_name END AS full_name,
-  n_name AS language, CAST(floor(c_acctbal) AS BIGINT) AS stars, CAST(c_nationkey AS BIGINT) AS forks
+  n_name AS language, CASE WHEN c_nationkey % 4 > 0 THEN 'license-' || c_nationkey % 4 END AS license, CAST(floor(c_acctbal) AS BIGINT) AS stars, CAST(c_nationkey AS BIGINT) AS forks
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0""",
     "v_status": """
 SELECT 'errors' AS list, 'acme-' || c_custkey || '/repo' AS repo_name FROM customer WHERE c_acctbal < -800

@@ -89,7 +89,7 @@ def missing_repositories(w: Warehouse) -> DataFrame:
     """Repositories with the most keys that only the other side has, for both sides."""
 
     def side(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        only = df.join(other.select(KEY).distinct(), KEY, "left_anti").select("repo_name", KEY).distinct()
+        only = df.join(other.select(KEY), KEY, "left_anti").select("repo_name", KEY).distinct()
         top = only.groupBy("repo_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "repo_name").limit(20)
         return top.withColumn("side", F.lit(name))
 
@@ -176,7 +176,7 @@ def missed_and_extra(w: Warehouse) -> DataFrame:
     a, b, _, _ = _scoped(w)
 
     def side(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        only = df.join(other.select(KEY).distinct(), KEY, "left_anti")
+        only = df.join(other.select(KEY), KEY, "left_anti")
         return only.groupBy("agent").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(name))
 
     return side(b, a, "missed").unionByName(side(a, b, "extra"))
@@ -185,7 +185,7 @@ def missed_and_extra(w: Warehouse) -> DataFrame:
 def missed_repositories(w: Warehouse) -> DataFrame:
     """Repositories with missed rows: those we cover in part, and those we have nothing from."""
     a, b, _, _ = _scoped(w)
-    missed = b.join(a.select(KEY).distinct(), KEY, "left_anti").select("repo_name").distinct()
+    missed = b.join(a.select(KEY), KEY, "left_anti").select("repo_name").distinct()
     known = membership(missed, a, ["repo_name"], "partly")
     return known.agg(F.count_if("partly").alias("partly_missing"), F.count_if(~F.col("partly")).alias("wholly_missing"))
 
@@ -358,7 +358,7 @@ def shared_commit_pairs(w: Warehouse) -> DataFrame:
     month = w.theirs_all.where(F.col("month") == DEEP_MONTH).select(F.col("id").alias("pr_id"))
     theirs = w.commits.select("sha", "pr_id").join(month, "pr_id", "left_semi").distinct()
     ours = w.commits.select("sha", "pr_id").join(w.ours.select(F.col("id").alias("pr_id")), "pr_id", "left_semi")
-    return theirs.join(ours.select("sha").distinct(), "sha", "left_semi").select("sha", "pr_id")
+    return theirs.join(ours.select("sha"), "sha", "left_semi").select("sha", "pr_id")
 
 
 # Why acceptance rates differ
@@ -416,7 +416,7 @@ def gap_cuts(w: Warehouse) -> DataFrame:
 
 
 def gap_exclusive_agents(w: Warehouse) -> DataFrame:
-    ours = _our_fixes(w).join(_their_fixes(w).select(KEY).distinct(), KEY, "left_anti")
+    ours = _our_fixes(w).join(_their_fixes(w).select(KEY), KEY, "left_anti")
     return rounded(acceptance(ours, "agent"), 4, "acceptance_rate")
 
 
@@ -447,7 +447,7 @@ def repository_export(w: Warehouse) -> DataFrame:
         recover_name(F.col("full_name"), F.col("html_url"), F.col("repo_url")).alias("repository"),
         "pr_count",
         F.coalesce("in_metadata", F.lit(False)).alias("in_metadata"),
-        "language", "stars", "forks", "repo_url",
+        "language", "license", "stars", "forks", "repo_url",
         canonical_url(F.col("html_url")).alias("html_url"),
     ).orderBy(F.desc("pr_count"), "repository")
 
@@ -525,7 +525,7 @@ def _month_matched(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     """Agents: labelled by the other side in its months, by our classifier in later ones; humans matched per month."""
     ours = closed_fixes(w.ours)
     agents = ours.where(agent_side())
-    by_key = agents.join(_their_fixes(w).select(KEY).distinct(), KEY, "left_semi")
+    by_key = agents.join(_their_fixes(w).select(KEY), KEY, "left_semi")
     months = by_key.select("month").distinct()
     later = agents.join(months, "month", "left_anti")
     columns = [*COHORT, "month", "repo_name"]

@@ -342,7 +342,8 @@ def near_quantiles(w: Warehouse) -> DataFrame:
     """Approximate medians, checked against the exact ones within one per cent of the ranks."""
     near = approximate_quantiles(w.table("lineitem"), ["l_returnflag"], median_price=("l_extendedprice", 0.5))
     fences = quantiles(w.table("lineitem"), ["l_returnflag"], low=("l_extendedprice", 0.49), high=("l_extendedprice", 0.51))
-    return near.join(fences, "l_returnflag").select("l_returnflag", F.col("median_price").between(F.col("low"), F.col("high")).alias("close"))
+    close = F.col("median_price").between(F.col("low"), F.col("high")).alias("close")
+    return rounded(near.join(fences, "l_returnflag").select("l_returnflag", "low", "high", close), 4, "low", "high")
 
 
 def boolean_mean(w: Warehouse) -> DataFrame:
@@ -371,6 +372,12 @@ def pull_requests_per_commit(w: Warehouse) -> DataFrame:
     return held.groupBy("prs").agg(n())
 
 
+def commit_holders(w: Warehouse) -> DataFrame:
+    """Every commit with each pull request that holds it and the number of them, one row for each pair."""
+    held = w.commits.select("sha", "pr_id").distinct()
+    return held.join(held.groupBy("sha").agg(F.count(F.lit(1)).alias("prs")), "sha")
+
+
 def pivot_zero_filled(w: Warehouse) -> DataFrame:
     return pivot_counts(w.prs, "month", "agent", (*AGENTS, EXCLUDED_AGENT, HUMAN))
 
@@ -447,7 +454,7 @@ def period_points(w: Warehouse) -> DataFrame:
 
 
 def sorted_groups(w: Warehouse) -> DataFrame:
-    return top_rows(w.prs.groupBy("repo_name", "agent").agg(n()), [F.desc("n"), F.asc("repo_name"), F.asc("agent")], 50)
+    return w.prs.groupBy("repo_name", "agent").agg(n()).orderBy(F.desc("n"), F.asc("repo_name"), F.asc("agent"))
 
 
 def top_twenty(w: Warehouse) -> DataFrame:
@@ -615,6 +622,7 @@ PLANS = {
     "a10_two_key_rates": two_key_rates,
     "a11_first_per_group": first_per_group,
     "a12_prs_per_commit": pull_requests_per_commit,
+    "a12_commit_holders": commit_holders,
     "a13_pivot_zero_filled": pivot_zero_filled,
     "a13_pivot_null_kept": pivot_null_kept,
     "a14_crosstab_margins": crosstab_margins,

@@ -218,6 +218,7 @@ class Warehouse:
                 F.when(F.col("c_mktsegment") == "FURNITURE", "Unknown")
                 .otherwise(F.concat(F.lower("c_mktsegment"), F.lit("/"), F.col("c_name"))).alias("full_name"),
                 "language",
+                F.when(F.col("c_nationkey") % 4 > 0, F.concat(F.lit("license-"), (F.col("c_nationkey") % 4).cast("string"))).alias("license"),
                 F.floor("c_acctbal").cast("long").alias("stars"),
                 F.col("c_nationkey").cast("long").alias("forks"),
             )
