@@ -82,9 +82,12 @@ def order_cell(x: Column) -> Column:
 
     Monotone in ``x`` and a function of ``x`` alone, so a retried task rebuilds the same buckets. The number of
     buckets in use is bounded by the exponent range whatever the row count, which bounds any window over buckets.
+    Infinities have the outermost buckets, and so have undefined values.
     """
     value = x.cast("double")
-    size = F.floor(F.log2(F.abs(value)) * F.lit(float(CELLS_PER_OCTAVE))).cast("long") + F.lit(CELL_OFFSET)
+    finite = F.when(F.abs(value) < float("inf"), F.abs(value))
+    inside = F.floor(F.log2(finite) * F.lit(float(CELLS_PER_OCTAVE))).cast("long") + F.lit(CELL_OFFSET)
+    size = F.coalesce(inside, F.lit(2 * CELL_OFFSET).cast("long"))
     zero = F.lit(0).cast("long")
     # Never NULL, so a join on the cell adds no filter that would keep two branches from sharing one shuffle.
     return F.coalesce(F.when(value == 0.0, zero).when(value > 0.0, size).otherwise(-size), zero)

@@ -7,9 +7,7 @@ number of rows, and over the values inside one cell. No window spans a whole com
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import comb
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +16,6 @@ from mergescope.functions.numeric import chi_square_p, normal_two_sided_p, order
 
 # Both samples above this size, or any tie, select the normal approximation of the U test.
 EXACT_SAMPLE = 8
-EXACT_TABLE = 5_000_000
 
 
 def chi_square_columns(hit_a: Column, total_a: Column, hit_b: Column, total_b: Column, yates: bool = True) -> Column:
@@ -81,35 +78,43 @@ def _sum_before(column: str, window) -> Column:
     return F.coalesce(F.sum(column).over(_before(window)), F.lit(0).cast("long"))
 
 
-def _exact_p(u: float, n1: int, n2: int) -> float:
-    """Two-sided permutation p of the larger U, for untied samples of which one is tiny."""
-    m, n = int(min(n1, n2)), int(max(n1, n2))
-    ways = np.zeros(m * n + 1)
-    ways[0] = 1.0
-    for i in range(1, m + 1):
-        grown = ways.copy()
-        step = n + i
-        grown[step:] -= ways[:-step] if step < len(ways) else 0.0
-        for start in range(i):
-            grown[start::i] = np.cumsum(grown[start::i])
-        ways = grown
-    tail = ways[int(np.ceil(max(u, n1 * n2 - u))):].sum() / comb(m + n, m)
-    return float(min(1.0, 2.0 * tail))
+def _exact_p_column(u: Column, n1: Column, n2: Column) -> Column:
+    """Two-sided permutation p of the larger U, for untied samples of which one is tiny.
 
+    One row per comparison reaches this point. Everything is defined inside, so workers need not have this package.
+    """
 
-def _exact_p_column(u: Column, n1: Column, n2: Column) -> Column:
-    # One row per comparison reaches this point.
     def exact(us: pd.Series, firsts: pd.Series, seconds: pd.Series) -> pd.Series:
-        return pd.Series([_exact_p(a, int(b), int(c)) for a, b, c in zip(us, firsts, seconds)])
-
+        import math
+
+        import numpy
+        import pandas
+
+        def p(u: float, n1: int, n2: int) -> float:
+            m, n = min(n1, n2), max(n1, n2)
+            ways = numpy.zeros(m * n + 1)
+            ways[0] = 1.0
+            for i in range(1, m + 1):
+                grown, step = ways.copy(), n + i
+                grown[step:] -= ways[:-step] if step < len(ways) else 0.0
+                for start in range(i):
+                    grown[start::i] = numpy.cumsum(grown[start::i])
+                ways = grown
+            tail = ways[math.ceil(max(u, n1 * n2 - u)):].sum() / math.comb(m + n, m)
+            return float(min(1.0, 2.0 * tail))
+
+        return pandas.Series([p(a, int(b), int(c)) for a, b, c in zip(us, firsts, seconds)])
+
+    # Pickled by value: a function of this module would have to be importable on the workers.
+    exact.__module__ = "__main__"
     return F.pandas_udf(exact, "double")(u, n1, n2)
 
 
 def mann_whitney(df: DataFrame, by: Sequence[str], side: Column, x: str, exact_small: bool = False) -> DataFrame:
     """U of the first side with mid-ranks, tie-corrected z, two-sided p and stars.
 
-    ``exact_small`` replaces p by the permutation value when one sample has at most eight untied values and the product of
-    the sizes is at most EXACT_TABLE; a larger table keeps the normal value.
+    ``exact_small`` replaces p by the permutation value when one sample has at most eight values and there are no ties,
+    however large the other is, and adds ``method``, which says how each row's p was computed.
     """
     by = list(by)
     counts = (
@@ -156,12 +161,12 @@ def mann_whitney_counts(counts: DataFrame, by: Sequence[str], exact_small: bool
         .withColumn("p", F.coalesce(normal_two_sided_p(F.col("z")), F.lit(1.0)))
     )
     if exact_small:
-        tiny = (F.least("n1", "n2") <= EXACT_SAMPLE) & (F.col("ties") == 0) & (a * b <= EXACT_TABLE)
+        tiny = (F.least("n1", "n2") <= EXACT_SAMPLE) & (F.col("ties") == 0)
         tested = tested.withColumn(
             "p", F.when(tiny, _exact_p_column(F.when(tiny, F.col("u")).otherwise(0.0),
                                               F.when(tiny, F.col("n1")).otherwise(1),
                                               F.when(tiny, F.col("n2")).otherwise(1))).otherwise(F.col("p"))
-        )
+        ).withColumn("method", F.when(tiny, "exact").otherwise("normal"))
     return tested.withColumn("sig", stars(F.col("p")))
 
 
@@ -209,7 +214,7 @@ def log_rank(df: DataFrame, by: Sequence[str], side: Column, duration: str, even
     by = list(by)
     counts = (
         df.select(*by, side.alias("side"), F.col(duration).cast("double").alias("value"), event.alias("event"))
-        .where(F.col("side").isNotNull() & F.col("value").isNotNull())
+        .where(F.col("side").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy(*by, "value")
         .agg(
             F.count_if("side").alias("n1"),
