@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergescope.config import MAX_PATCH_BYTES
 from mergescope.functions.text import strip, within_bytes
 from mergescope.operators.joins import fan_out
 
@@ -129,13 +128,13 @@ def name_status(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame
     return _last_entries(df, keep, entries, ["sha", "filename"]).select(*keep, "sha", "filename", status.alias("status"))
 
 
-def diff_files(df: DataFrame, text: str, keep: Sequence[str] = (), cap: int = MAX_PATCH_BYTES) -> DataFrame:
-    """(filename, patch) of a unified diff; a patch above the byte cap is NULL."""
+def diff_files(df: DataFrame, text: str, keep: Sequence[str] = (), cap: int | None = None) -> DataFrame:
+    """(filename, patch) of a unified diff; with a byte cap, a patch above it is NULL."""
 
     def entry(block: Column, position: Column) -> Column:
         head = F.substring_index(block, "\n", 1)
-        name = strip(_after(head, F.substring_index(head, " b/", 1), 3))
-        return F.struct(name.alias("filename"), position.alias("pos"), within_bytes(_after(block, head, 1), cap).alias("patch"))
+        name, body = strip(_after(head, F.substring_index(head, " b/", 1), 3)), _after(block, head, 1)
+        return F.struct(name.alias("filename"), position.alias("pos"), (body if cap is None else within_bytes(body, cap)).alias("patch"))
 
     blocks = F.filter(
         F.split(F.col(text), r"(?m)^diff --git "),

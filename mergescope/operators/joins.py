@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from mergescope.operators.filters import after_end_of, within_range_of
 
-SALTS = 64
 BROADCAST_ROWS = 50_000
 
 
@@ -65,7 +64,7 @@ def paired(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str], order:
 
 
 def in_shared_repos(df: DataFrame, other: DataFrame, repo: str = "repo_name") -> DataFrame:
-    return df.join(other.select(repo).distinct(), repo, "left_semi")
+    return df.join(other.select(repo), repo, "left_semi")
 
 
 def scope(a: DataFrame, b: DataFrame, repo: str = "repo_name", ts: str = "created_at") -> tuple[DataFrame, DataFrame]:
@@ -87,14 +86,18 @@ def outer_counts(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     return joined.na.fill(0, [c for c in joined.columns if c not in key])
 
 
-def attach_groups(df: DataFrame, groups: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner") -> DataFrame:
+def attach_groups(df: DataFrame, groups: DataFrame, on: Sequence[str], spread_by: str | Sequence[str], how: str = "inner",
+                  salts: int | None = None) -> DataFrame:
     """Join one row per group to all rows of the group.
 
     The few group rows are repeated per salt and the many rows take theirs from a hash, so a group that holds much of the
-    table is shared by many tasks, also when an aggregate on the group follows.
+    table is shared by many tasks, also when an aggregate on the group follows. There are as many salts as shuffle tasks
+    unless stated.
     """
-    salted = groups.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = df.withColumn("salt__", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [spread_by] if isinstance(spread_by, str) else list(spread_by)
+    salted = groups.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keyed = df.withColumn("salt__", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
     return keyed.join(salted, [*on, "salt__"], how).drop("salt__")
 
 

@@ -54,8 +54,8 @@ def dual_match(b: DataFrame, a: DataFrame, b_commits: DataFrame, a_commits: Data
                id_col: str = "id", pr_col: str = "pr_id", sha: str = "sha") -> DataFrame:
     """Ids of ``b`` that match ``a`` by the metadata keys or by a shared commit, as a union of two semi-joins."""
     keys = list(keys)
-    by_keys = b.join(a.select(*keys).distinct(), keys, "left_semi").select(id_col)
-    by_sha = b_commits.join(a_commits.select(sha).distinct(), sha, "left_semi").select(F.col(pr_col).alias(id_col))
+    by_keys = b.join(a.select(*keys), keys, "left_semi").select(id_col)
+    by_sha = b_commits.join(a_commits.select(sha), sha, "left_semi").select(F.col(pr_col).alias(id_col))
     return by_keys.union(by_sha).distinct()
 
 

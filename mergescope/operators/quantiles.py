@@ -105,7 +105,8 @@ def clip_at_quantile(df: DataFrame, by: Sequence[str], column: str, q: float, al
     """Add the column bounded by its own group's upper quantile."""
     bounds = quantiles(df, by, bound__=(column, q))
     capped = F.when(F.col(column) > F.col("bound__"), F.col("bound__")).otherwise(F.col(column))
-    return attach_groups(df, bounds, by, column, "left").withColumn(alias, capped).drop("bound__")
+    # Spread by the whole row: one value may be very frequent.
+    return attach_groups(df, bounds, by, df.columns, "left").withColumn(alias, capped).drop("bound__")
 
 
 def box_stats(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:

@@ -9,6 +9,8 @@ SQL = {
     "i3_daily_counts": """
 SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY ALL""",
+    "i2_base_wins": "SELECT event_type, count(DISTINCT event_id) AS n, count(*) FILTER (value >= 1000) AS from_increment FROM events GROUP BY event_type",
+    "i3_all_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "i3_monthly_update": f"""
 SELECT month, agent, count(*) AS total, count(*) FILTER (is_merged) AS merged, {rnd('count(*) FILTER (is_merged)::DOUBLE / count(*) * 100', 4)} AS rate
 FROM v_prs GROUP BY month, agent""",

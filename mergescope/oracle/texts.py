@@ -111,6 +111,10 @@ SELECT file AS filename, status, count(*) AS n FROM g GROUP BY ALL UNION ALL SEL
 WITH {GIT}
 SELECT file AS filename, count(*) AS n, count(*) FILTER (add + 17 <= 50) AS kept, CAST(sum(add + 17) FILTER (add + 17 <= 50) AS BIGINT) AS bytes FROM g GROUP BY file
 UNION ALL SELECT 'logo.png', count(*), count(*), count(*) * 20 FROM g""",
+    "p3_whole_patch_sizes": f"""
+WITH {GIT}
+SELECT file AS filename, count(*) AS n, CAST(sum(add + 17) AS BIGINT) AS bytes FROM g GROUP BY file
+UNION ALL SELECT 'logo.png', count(*), count(*) * 20 FROM g""",
     "p4_commit_details": f"""
 WITH {GIT},
 one AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY sha ORDER BY pr_id, l_linenumber, l_extendedprice, l_shipdate) = 1),

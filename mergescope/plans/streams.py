@@ -9,7 +9,7 @@ from mergescope.functions.numeric import np_round, percent
 from mergescope.operators.filters import closed_fixes
 from mergescope.operators.labelling import label_by_title
 from mergescope.sources.warehouse import Warehouse
-from mergescope.streaming.incremental import append_to, daily_counts, dedup_stream, keep_latest, monthly_update, run_folder
+from mergescope.streaming.incremental import append_to, daily_counts, dedup_stream, keep_latest, merge_stream, monthly_update, run_folder
 
 
 def _events(w: Warehouse) -> DataFrame:
@@ -36,6 +36,19 @@ def daily_event_counts(w: Warehouse) -> DataFrame:
     return append_to(daily_counts(_events(w), "ts", ["event_type"], "2 hours"), run_folder(w.spark, "daily"))
 
 
+def all_daily_event_counts(w: Warehouse) -> DataFrame:
+    """Counts of all days, the last open one included, from a stream that replaces its result."""
+    return keep_latest(daily_counts(_events(w), "ts", ["event_type"], "2 hours"), run_folder(w.spark, "all-daily"))
+
+
+def base_wins_stream(w: Warehouse) -> DataFrame:
+    """A base and an increment with other values for the same keys: what the base holds stays, wherever it arrives."""
+    base = _events(w).select("event_id", "event_type", F.col("value"), F.lit(0).alias("rank"))
+    increment = _events(w).select("event_id", "event_type", (F.col("value") + 1000).alias("value"), F.lit(1).alias("rank"))
+    merged = keep_latest(merge_stream(increment.unionByName(base), ["event_id"], "rank"), run_folder(w.spark, "base-wins"))
+    return merged.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= 1000).alias("from_increment"))
+
+
 def monthly_merge_counts(w: Warehouse) -> DataFrame:
     prs = w.prs_from(w.stream("orders"))
     monthly = keep_latest(monthly_update(prs, "created_at", ["agent"]), run_folder(w.spark, "monthly"))
@@ -51,7 +64,9 @@ def filtered_in_steps(w: Warehouse) -> DataFrame:
 PLANS = {
     "i1_resumed_labels": resumed_labels,
     "i2_merged_stream": merged_stream,
+    "i2_base_wins": base_wins_stream,
     "i3_daily_counts": daily_event_counts,
+    "i3_all_daily_counts": all_daily_event_counts,
     "i3_monthly_update": monthly_merge_counts,
     "i4_filtered_in_steps": filtered_in_steps,
 }

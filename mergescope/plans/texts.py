@@ -176,6 +176,13 @@ def patch_sizes(w: Warehouse) -> DataFrame:
     )
 
 
+def whole_patch_sizes(w: Warehouse) -> DataFrame:
+    """Sizes of all patches, none left out."""
+    return diff_files(_git_rows(w), "diff", [*LINE, "sha"]).groupBy("filename").agg(
+        F.count("patch").alias("n"), F.sum(F.octet_length("patch")).alias("bytes")
+    )
+
+
 def commit_details(w: Warehouse) -> DataFrame:
     """Detail rows rebuilt from git text, summed per file status."""
     rows = _git_rows(w)
@@ -301,6 +308,7 @@ PLANS = {
     "p1_log_headers": log_headers,
     "p2_status_words": status_words,
     "p3_patch_sizes": patch_sizes,
+    "p3_whole_patch_sizes": whole_patch_sizes,
     "p4_commit_details": commit_details,
     "p5_sha_work_list": sha_work_list,
     "s6_flattened_pulls": flattened_pulls,

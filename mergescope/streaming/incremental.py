@@ -16,6 +16,13 @@ def dedup_stream(df: DataFrame, key: Sequence[str], ts: str, delay: str) -> Data
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
+def merge_stream(df: DataFrame, key: Sequence[str], rank: str) -> DataFrame:
+    """One row per key, that of the smallest rank, for complete mode: the order of arrival does not matter."""
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(rank)).alias("row__"))
+    return best.select(*key, "row__.*").drop(rank)
+
+
 def daily_counts(df: DataFrame, ts: str, by: Sequence[str], delay: str) -> DataFrame:
     """Rows per day and group for append mode: a day is emitted once the watermark has passed its end."""
     days = df.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("day"), *by).agg(F.count(F.lit(1)).alias("n"))
