@@ -47,12 +47,16 @@ def label_incremental(prs: DataFrame, done: DataFrame) -> tuple[DataFrame, DataF
 
 
 def parse_responses(df: DataFrame, raw: str) -> DataFrame:
-    """Read label, confidence and reason from model answers; ``problem`` names the first rule a row breaks."""
+    """Read label, confidence and reason from model answers; ``problem`` names the first rule a row breaks.
+
+    A fraction is cut off where it is a number, and a problem where it is text; true and false are problems.
+    """
     answered = df.withColumn("answer__", json_object(F.col(raw)))
     label = F.lower(strip(F.coalesce(F.col("answer__.output"), F.lit(""))))
     number = strip(F.coalesce(F.col("answer__.confidence"), F.lit("0")))
     whole = number.rlike(r"^[+-]?[0-9]+$")
-    confidence = F.when(whole, number.try_cast("int")).otherwise(number.try_cast("double").try_cast("int"))
+    quoted = F.col(raw).rlike(r'"confidence"\s*:\s*"')
+    confidence = F.when(whole, number.try_cast("int")).when(~quoted, number.try_cast("double").try_cast("int"))
     reason = F.coalesce(F.nullif(strip(F.coalesce(F.col("answer__.reason"), F.lit(""))), F.lit("")), F.lit(DEFAULT_REASON))
     answer = F.coalesce(F.col("answer__.output"), F.col("answer__.confidence"), F.col("answer__.reason"))
     parsed = answered.withColumns({"label": label, "confidence": confidence, "reason": reason})

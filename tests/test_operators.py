@@ -13,7 +13,7 @@ from mergescope.operators.aggregates import (
 from mergescope.operators.filters import after_end_of, closed_fixes, differs, in_window, min_size, within_range_of
 from mergescope.operators.joins import fan_out, first_known, keep_first, lookup, membership, outer_counts, paired, rest_period, scope
 from mergescope.operators.labelling import (
-    attribute, classify_table, fixes_with_commits, label_incremental, validate_responses,
+    attribute, classify_table, fixes_with_commits, label_incremental, parse_responses, validate_responses,
 )
 from mergescope.operators.overlap import agreement, dual_match, overlap, tag
 from mergescope.operators.ranking import hashed_row_number, sha_batches
@@ -58,7 +58,8 @@ def test_aggregates(spark, prs):
     ]
     assert rows(pivot_counts(prs, "source", "state", ("closed", "open"))) == [("agent", 4, 0), ("human", 1, 1)]
     assert rows(pivot_counts(prs, "source", "state", ("closed", "open"), fill=None)) == [("agent", 4, None), ("human", 1, 1)]
-    assert rows(crosstab(prs, "source", "type", ("fix", "other"))) == [("Total", 5, 1, 6), ("agent", 4, 0, 4), ("human", 1, 1, 2)]
+    assert rows(crosstab(prs, "source", "type", ("fix", "other"))) == [("Total", 5, 1, 0, 6), ("agent", 4, 0, 0, 4), ("human", 1, 1, 0, 2)]
+    assert rows(crosstab(prs, "source", "type", ("fix",))) == [("Total", 5, 1, 6), ("agent", 4, 0, 4), ("human", 1, 1, 2)]
     counts = prs.groupBy("source").agg(F.count("*").alias("n"))
     assert rows(with_total_row(counts, "source", "T", ("n",))) == [("T", 6), ("agent", 4), ("human", 2)]
     assert rows(share_of_all(counts, "n", digits=2)) == [("agent", 4, 66.67), ("human", 2, 33.33)]
@@ -218,3 +219,9 @@ def test_model_answers(spark):
     good, bad = validate_responses(raw, "raw")
     got = {r["raw"]: (r["label"], r["confidence"], r["reason"]) for r in good.collect()} | {r["raw"]: r["problem"] for r in bad.collect()}
     assert got == RESPONSES
+
+
+def test_fractions_of_model_answers(spark):
+    answers = ['{"output": "fix", "confidence": 7.5}', '{"output": "fix", "confidence": "7.5"}', '{"output": "fix", "confidence": " 7 "}']
+    rows = parse_responses(spark.createDataFrame([(a,) for a in answers], "raw string"), "raw").select("confidence", "problem").collect()
+    assert [tuple(r) for r in rows] == [(7, None), (None, "confidence"), (7, None)]

@@ -181,3 +181,19 @@ def test_histogram_equals_numpy(spark):
     flat = {r["bin"]: r["rows"] for r in histogram(spark.createDataFrame([(3.0,)] * 4, "x double"), "x").collect()}
     want, _ = np.histogram([3.0] * 4, bins=20)
     assert [flat.get(i, 0) for i in range(20)] == list(want)
+
+
+def test_infinite_and_undefined_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(x,) for x in (-inf, 1.0, 2.0, 3.0, inf)], "x double")
+    assert one(quantiles(df, [], m=("x", 0.5)))["m"] == 2.0
+    sides = spark.createDataFrame([(True, 1.0, True), (True, float("nan"), True), (False, 2.0, True), (False, inf, False)], "side boolean, t double, e boolean")
+    plain = sides.where("NOT isnan(t)")
+    assert one(log_rank(sides, [], F.col("side"), "t", F.col("e"))) == one(log_rank(plain, [], F.col("side"), "t", F.col("e")))
+
+
+def test_method_of_small_samples(spark):
+    rows = [(True, float(x)) for x in (1, 4, 6, 9, 11)] + [(False, float(x)) for x in (2, 3, 5, 12, 13, 14)]
+    small = one(mann_whitney(spark.createDataFrame(rows, "side boolean, x double"), [], F.col("side"), "x", exact_small=True))
+    tied = one(mann_whitney(spark.createDataFrame([*rows, (True, 2.0)], "side boolean, x double"), [], F.col("side"), "x", exact_small=True))
+    assert (small["method"], tied["method"]) == ("exact", "normal")
