@@ -1,9 +1,10 @@
 """Fuzzy line duplicates by MinHash.
 
 Lines are compared by the Jaccard similarity of their character shingles. Signatures are banded so that lines at the
-threshold share a band with a probability over 0.99; lines that share one are candidates of each other. Candidates are
-gathered by the connected component of shared bands, verified there by their exact similarity, and the verified links go
-through a distributed union-find. The first occurrence of each component stays.
+threshold share a band with a probability over 0.99; lines that share one, and enough of eight further bytes of their
+signatures, are candidates of each other. Candidates are gathered by the connected component of these pairs, verified
+there by their exact similarity, and the verified links go through a distributed union-find. The first occurrence of each
+component stays.
 
 Lines are compared in lower-case A-Z with white space runs as one blank. A line is named by a 64-bit hash of that form.
 """
@@ -22,11 +23,17 @@ from mergescope.llm.common import checkpointed, connected_components, shuffle_ta
 
 SHINGLE = 5
 BANDS, ROWS = 16, 6
+#: Of CHECKS further signature bytes, lines that share a band must share CHECKED; at the threshold they do with
+#: probability 0.999, while unrelated lines rarely do.
+CHECKS, CHECKED = 8, 3
+BUCKETS_PER_TASK = 2
 SIMILARITY = 0.8
 ROUNDS = 12
 CHARS_AT_ONCE = 1 << 19
-#: Candidates verified together; larger groups are dealt out, and their representatives meet again.
-TOGETHER = 256
+#: Candidates verified together. Larger groups are dealt out first, and what is left of them meets block by block.
+TOGETHER = 1024
+FEW = 16
+COLUMNS_AT_ONCE = 4096
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -85,12 +92,21 @@ def signatures(lines: list[str], bins: int) -> np.ndarray:
     return table
 
 
-def band_keys(lines: list[str], bands: int, rows: int) -> np.ndarray:
-    table = signatures(lines, bands * rows).reshape(len(lines), bands, rows)
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all bands, CHECKS further signature bytes as one number) of each line."""
+    full = signatures(lines, bands * rows + CHECKS)
+    table = full[:, : bands * rows].reshape(len(lines), bands, rows)
     keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(lines), bands)) * MIX
     for r in range(rows):
         keys = mixed(keys ^ table[:, :, r], r + 101)
-    return keys.view(np.int64)
+    checks = np.ascontiguousarray((mixed(full[:, bands * rows :], 99) >> np.uint64(56)).astype(np.uint8))
+    return keys, checks.view(np.uint64).ravel()
+
+
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether enough bytes of the check numbers are equal."""
+    apart = np.atleast_1d(np.asarray(a ^ b)).view(np.uint8).reshape(-1, CHECKS)
+    return (apart == 0).sum(axis=1) >= CHECKED
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,29 +152,67 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, st
             yield portion
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for portion in _different(batches):
-        line, forms = zip(*portion, strict=True)
-        keys = band_keys(list(forms), BANDS, ROWS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(np.array(line, dtype=np.int64), BANDS))],
-            names=["key", "line"],
-        )
-
+def _keyed(buckets: int):
+    """(bucket, blob): the band keys of a bucket with their lines and checks, as one blob for each Arrow batch."""
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, line): the first line of every key with each other one."""
-    key = first = last = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for portion in _different([batch]):
+                line, forms = zip(*portion, strict=True)
+                keys, checks = band_keys(list(forms))
+                found.append((keys.ravel(), np.repeat(np.array(line, dtype=np.int64), BANDS), np.repeat(checks, BANDS)))
+            if found:
+                key, line, check = (np.concatenate(x) for x in zip(*found, strict=True))
+                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                filled = np.flatnonzero(np.diff(cuts)).tolist()
+                blobs = [b"".join(x[order[cuts[b] : cuts[b + 1]]].tobytes() for x in (key, line, check)) for b in filled]
+                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def _pairs(blobs: list[bytes]) -> pa.RecordBatch:
+    """Pairs of lines that share a band and agree in their checks, enough for the components of all such pairs."""
+    parts = [np.frombuffer(b, dtype=np.uint64).reshape(3, -1) for b in blobs]
+    key, line, check = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((line, key))
+    key, line, check = key[order], line[order], check[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
+    key, line, check = key[new], line[new].view(np.int64), check[new]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    two = starts[sizes == 2]
+    two = two[agree(check[two], check[two + 1])] if len(two) else two
+    found = [np.stack([line[two], line[two + 1]], axis=1)]
+    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        left = np.arange(s, s + n)
+        while len(left):  # each line reached is compared with those not reached yet
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                close = agree(check[left], check[at])
+                reached = left[close]
+                found.append(np.stack([np.full(len(reached), line[at]), line[reached]], axis=1))
+                queue.extend(reached.tolist())
+                left = left[~close]
+    both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, i].copy(), pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bucket, blobs = None, []
     for batch in batches:
-        keys, lines = (batch.column(i).to_numpy() for i in (0, 1))
-        if key is None:
-            key, first, last = keys[0], lines[0], lines[0]
-        starts = np.r_[keys[0] != key, keys[1:] != keys[:-1]]
-        leads = np.r_[first, lines[starts]][np.cumsum(starts)]
-        new = (lines != leads) & np.r_[starts[0] or lines[0] != last, starts[1:] | (lines[1:] != lines[:-1])]
-        key, first, last = keys[-1], leads[-1], lines[-1]
-        found = np.unique(np.stack([leads[new], lines[new]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if b != bucket:
+                if blobs:
+                    yield _pairs(blobs)
+                bucket, blobs = b, []
+            blobs.append(blob)
+    if blobs:
+        yield _pairs(blobs)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,36 +230,45 @@ def shingled(form: str) -> frozenset:
     return frozenset(form[i : i + SHINGLE] for i in range(max(1, len(form) - SHINGLE + 1)))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (group, salt, line, form) sorted by group, salt and line: (line, to, form), each line with the first of
-    its own that verified links reach. Of a group with a salt those first ones come with their form, to meet others.
+def reached(forms: list[str]) -> list[int]:
+    """For each line the first one that links of similarity SIMILARITY or more reach from it."""
+    sets, n = [shingled(form) for form in forms], len(forms)
+    if n <= FEW:
+        near = [[similarity(a, b) >= SIMILARITY for b in sets] for a in sets]
+    else:
+        # Shared shingles of all pairs as a product of membership matrices, over those that two lines hold at least.
+        number: dict[str, int] = {}
+        rows = [[number.setdefault(s, len(number)) for s in own] for own in sets]
+        row = np.repeat(np.arange(n), [len(x) for x in rows])
+        column = np.concatenate([np.array(x, dtype=np.int64) for x in rows])
+        twice = np.bincount(column, minlength=len(number)) > 1
+        order = np.cumsum(twice) - 1
+        row, column = row[twice[column]], order[column[twice[column]]]
+        both = np.zeros((n, n), dtype=np.float32)
+        for at in range(0, int(twice.sum()), COLUMNS_AT_ONCE):
+            inside = (column >= at) & (column < at + COLUMNS_AT_ONCE)
+            part = np.zeros((n, COLUMNS_AT_ONCE), dtype=np.float32)
+            part[row[inside], column[inside] - at] = 1
+            both += part @ part.T
+        size = np.array([len(s) for s in sets], dtype=np.float64)
+        near = both / (size[:, None] + size[None, :] - both) >= SIMILARITY
+    near, first = np.asarray(near), np.full(n, -1)
+    for root in range(n):
+        frontier = np.array([root]) if first[root] < 0 else np.empty(0, dtype=np.int64)
+        while len(frontier):
+            first[frontier] = root
+            frontier = np.flatnonzero(near[frontier].any(axis=0) & (first < 0))
+    return first.tolist()
 
-    A portion of a group is searched in full; the first lines found go on to the group's next portion.
-    """
 
-    def search(lines: list[tuple[int, str]], out: list[tuple]) -> list[tuple[int, str]]:
-        sets = [shingled(form) for _, form in lines]
-        left, firsts = list(range(len(lines))), []
-        while left:
-            root, left = left[0], left[1:]
-            firsts.append(lines[root])
-            queue = [root]
-            while queue and left:
-                at, rest = queue.pop(), []
-                for other in left:
-                    small, large = sorted((len(sets[at]), len(sets[other])))
-                    if small >= SIMILARITY * large and similarity(sets[at], sets[other]) >= SIMILARITY:
-                        out.append((lines[other][0], lines[root][0], None))
-                        queue.append(other)
-                    else:
-                        rest.append(other)
-                left = rest
-        return firsts
-
-    def closed(group: tuple, lines: list[tuple[int, str]], out: list[tuple]) -> None:
-        firsts = search(lines, out)
-        if group[1] is not None:
-            out.extend((line, group[0], form) for line, form in firsts)
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (group, cell, line, form) sorted by group, cell and line: (line, to, form), each line with the first of
+    its cell that verified links reach. The first ones themselves come with their form and their group. A cell is what is
+    verified together."""
+
+    def closed(group: int, lines: list[tuple[int, str]]) -> list[tuple]:
+        first = reached([form for _, form in lines])
+        return [(line, group, form) if first[i] == i else (line, lines[first[i]][0], None) for i, (line, form) in enumerate(lines)]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         line, to, form = zip(*out, strict=True) if out else ((), (), ())
@@ -213,59 +276,55 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(line, pa.int64()), pa.array(to, pa.int64()), pa.array(form, pa.string())], names=["line", "to", "form"]
         )
 
-    group, lines, last = None, [], None
+    now, lines = None, []
     for batch in batches:
         out: list[tuple] = []
-        for name, salt, line, form in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (name, salt) != group:
+        for group, cell, line, form in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (group, cell) != now:
                 if lines:
-                    closed(group, lines, out)
-                group, lines, last = (name, salt), [], None
-            if line == last:
-                continue
-            last = line
-            lines.append((line, form))
-            if len(lines) % TOGETHER == 0:
-                lines = search(lines, out)
+                    out += closed(now[0], lines)
+                now, lines = (group, cell), []
+            if not lines or lines[-1][0] != line:
+                lines.append((line, form))
         yield batch_of(out)
     if lines:
-        out = []
-        closed(group, lines, out)
-        yield batch_of(out)
+        yield batch_of(closed(now[0], lines))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(line, component) for every different line that is linked to another one; component is a line's hash."""
     tasks = shuffle_tasks(docs.sparkSession)
     texts = _named(docs, id_col, text_col).select("text")
-    keyed = texts.mapInArrow(_keyed, "key long, line long")
-    stars = keyed.repartition(tasks, "key").sortWithinPartitions("key", "line").mapInArrow(_stars, "a long, b long")
-    groups = checkpointed(connected_components(stars))
-    # Groups of at most TOGETHER lines are verified whole; of larger ones each salt finds its first lines, which meet
-    # again until one task can take the group's rest or no more come together.
-    waiting = texts.mapInArrow(_texts, "line long, form string").join(groups, F.col("line") == F.col("id")).select(
-        F.col("component").alias("group"), "line", "form"
-    )
-    sizes = checkpointed(groups.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("n")).where(f"n > {TOGETHER}"))
-    links, before = None, None
-    while True:
-        salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / TOGETHER).cast("long")))
-        dealt = waiting.join(sizes, "group", "left").select("group", salt.alias("salt"), "line", "form")
-        found = checkpointed(
-            dealt.repartition(tasks, "group", "salt").sortWithinPartitions("group", "salt", "line")
-            .mapInArrow(_verified, "line long, to long, form string")
+    keyed = texts.mapInArrow(_keyed(tasks * BUCKETS_PER_TASK), "bucket long, blob binary")
+    pairs = keyed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_paired, "a long, b long")
+    groups = checkpointed(connected_components(pairs))
+
+    def large(lines: DataFrame) -> DataFrame:
+        sizes = lines.groupBy("group").agg(F.count("*").alias("n")).where(f"n > {TOGETHER}")
+        return checkpointed(sizes.select("group", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts")))
+
+    def verified(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("group", "cell", "line", "form").repartition(tasks, "group", "cell")
+        return checkpointed(
+            dealt.sortWithinPartitions("group", "cell", "line").mapInArrow(_verified, "line long, to long, form string")
         )
-        new = found.where("form IS NULL").select(F.col("line").alias("a"), F.col("to").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        waiting = found.where("form IS NOT NULL").select(F.col("to").alias("group"), "line", "form")
-        left = waiting.count()
-        if not left:
-            return connected_components(links).withColumnRenamed("id", "line")
-        counts = waiting.groupBy("group").agg(F.count("*").alias("n"))
-        # Where a round brings hardly any lines together, the rest of each group is searched in one stream of portions.
-        stuck = before is not None and left > 0.9 * before
-        sizes = checkpointed(counts.where("false" if stuck else f"n > {TOGETHER}"))
-        before = left
+
+    # Large groups are dealt out by their lines' hashes, which gathers crowds around a few first lines each.
+    named = groups.select(F.col("component").alias("group"), "id")
+    part = F.pmod(F.xxhash64("line"), F.coalesce("parts", F.lit(1))).cast("long")
+    lines = texts.mapInArrow(_texts, "line long, form string").join(named, F.col("line") == F.col("id"))
+    sizes = large(named)
+    once = verified(lines.join(sizes, "group", "left").withColumn("cell", part))
+    # The first lines of large groups then meet in blocks, every block with every other, so no two are left apart.
+    firsts = once.where("form IS NOT NULL").select(F.col("to").alias("group"), "line", "form").join(sizes.select("group"), "group", "left_semi")
+    firsts = checkpointed(firsts)
+    blocks = firsts.join(large(firsts), "group", "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "block": part})
+    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
+        "cell", F.least("block", "other") * F.col("parts") + F.greatest("block", "other")
+    )
+    twice = verified(met)
+    links = once.unionByName(twice).where("form IS NULL").select(F.col("line").alias("a"), F.col("to").alias("b"))
+    return connected_components(links).withColumnRenamed("id", "line")
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,7 +362,8 @@ def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     # One split of the text; the kept lines are joined again in order.
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_line_removed"), i)), "\n")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_removed"))
+    kept = F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("_line_removed").isNull(), F.col(text_col)).otherwise(kept)
     joined = docs.join(removed, F.col(id_col) == F.col("_line_id"), "left").withColumn(text_col, text)
     if length_col:

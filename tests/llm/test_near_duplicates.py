@@ -84,7 +84,7 @@ def brute_lines(rows):
     return removed
 
 
-@pytest.mark.parametrize("together", [256, 3])
+@pytest.mark.parametrize("together", [1024, 3])
 def test_lines_equal_brute_force(spark, monkeypatch, together):
     monkeypatch.setattr(line_dedup, "TOGETHER", together)
     rows, base = list(enumerate(texts())), prose(11, 60).split(" ")
@@ -114,6 +114,23 @@ def test_signatures_estimate_similarity():
     assert line_dedup.fuzzy_lines is not None and len(line_dedup.signatures(["a", ""], 96)) == 2
 
 
+def test_many_lines_are_reached_as_few_are(monkeypatch):
+    rng, lines = random.Random(8), []
+    for i in range(40):
+        words = prose(200 + i // 8, 30).split(" ")
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(30)] = str(rng.random())
+        lines.append(" ".join(words))
+    by_matrix = line_dedup.reached(lines)
+    monkeypatch.setattr(line_dedup, "COLUMNS_AT_ONCE", 7)
+    assert line_dedup.reached(lines) == by_matrix
+    monkeypatch.setattr(line_dedup, "FEW", 100)
+    assert line_dedup.reached(lines) == by_matrix
+    sets = [line_dedup.shingled(x) for x in lines]
+    linked = {a: [b for b in range(40) if line_dedup.similarity(sets[a], sets[b]) >= 0.8] for a in range(40)}
+    assert dict(enumerate(by_matrix)) == smallest_reachable(range(40), linked)
+
+
 def test_lines_of_nothing(spark):
     none = documents(spark).where("false")
     assert line_dedup.fuzzy_lines(none).count() == 0 and line_dedup.drop_fuzzy_lines(none).count() == 0
