@@ -1,10 +1,11 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
 Texts become lower-case words without outer punctuation, and five-word shingles. A window starts at every shingle; its
-size is 1, 2, 4 or 8 shingles, the largest that fits the template. A window at similarity 0.8 to one of a template shares
-one of its bands with a probability over 0.99; equal ones always do. What is retrieved is verified by the share of the
-template's shingles that the text holds near the window. Templates are a short fixed list held by every task, so nothing
-is shuffled.
+size is 1, 2, 4 or 8 shingles, the largest that fits the template. A window of 4 or 8 has four bands of one value, so at a
+similarity of 0.8 to a template's window it shares one with probability 0.998; windows of 1 or 2 can only be that similar
+if they are equal, and then share their one band. A match at containment 0.8 of a long template also holds whole windows
+of it, whose bands are all equal. What is retrieved is verified by the share of the template's shingles that the text
+holds near the window. Templates are a short fixed list held by every task, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINED = 0.8
-SIZES = (1, 2, 4, 8)
-BANDS, ROWS = 8, 2
+#: Window sizes in shingles with their numbers of bands.
+BANDS = {1: 1, 2: 1, 4: 4, 8: 4}
+CACHED_WORDS = 400_000
+LONGEST_CACHED = 64
+DOCS_AT_ONCE = 256
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 TABLE_BITS = 20
 
@@ -47,16 +50,17 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("CC-BY-NC-4.0", "cc_by_nc_long", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
 )
 
-WORD = regex.compile(r"[\p{L}\p{N}](?:[^\s]*[\p{L}\p{N}])?").findall
+def stripped(token: str) -> str:
+    """A token from its first letter or digit to its last; empty where it has none."""
+    if token.isalnum():
+        return token
+    at = [i for i, c in enumerate(token) if c.isalnum()]
+    return token[at[0] : at[-1] + 1] if at else ""
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case words without the punctuation around them."""
-    return WORD((text or "").lower())
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+    return [w for w in map(stripped, (text or "").lower().split()) if w]
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -74,56 +78,81 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mixed(out, 1)
 
 
-def band_keys(shingles: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """For each band the keys of all windows of `size` shingles."""
-    for band in range(BANDS):
-        key = None
-        for row in range(ROWS):
-            least, reach = mixed(shingles, 2 + band * ROWS + row), 1
-            while reach < size:
-                least = np.minimum(least[:-reach], least[reach:])
-                reach *= 2
-            key = least if key is None else mixed(key, 99) + least
-        yield mixed(key, 200 + band * 16 + size)
+def band_keys(shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, keys of all windows of that size) for each size and band."""
+    for band in range(max(BANDS.values())):
+        least, reach = mixed(shingles, 2 + band), 1
+        while True:
+            if band < BANDS[reach]:
+                yield reach, least
+            if 2 * reach not in BANDS or len(least) <= reach:
+                break
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
 
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str, str]]):
+        self.cache: dict[str, int] = {}
         self.words = [words_of(text) for *_, text in templates]
         self.sets = [frozenset(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) for w in self.words]
+        found: dict[int, list[tuple[int, int, int]]] = {size: [] for size in BANDS}
+        for t, words in enumerate(self.words):
+            shingles = shingle_hashes(self.hashes(words))
+            own = max(size for size in BANDS if size <= len(shingles))
+            for size, keys in band_keys(shingles):
+                if size == own:
+                    found[size].extend((int(k), t, at) for at, k in enumerate(keys))
         self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in SIZES:
-            keys: list[tuple[int, int, int]] = []
-            for t, words in enumerate(self.words):
-                shingles = shingle_hashes(word_hashes(words))
-                if len(shingles) >= size and (size == SIZES[-1] or len(shingles) < 2 * size):
-                    for key in band_keys(shingles, size):
-                        keys.extend((int(k), t, at) for at, k in enumerate(key))
+        for size, keys in found.items():
             if keys:
                 keys.sort()
-                table = np.zeros(1 << TABLE_BITS, dtype=bool)
-                known = np.array([k for k, *_ in keys], dtype=np.uint64)
-                table[(known >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+                known, table = np.array([k for k, *_ in keys], dtype=np.uint64), np.zeros(1 << TABLE_BITS, dtype=bool)
+                table[(known & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
                 self.sizes[size] = known, np.array([t for _, t, _ in keys]), np.array([at for *_, at in keys]), table
 
-    def candidates(self, words: list[str]) -> set[tuple[int, int]]:
-        """(template, word at which it would begin) of every retrieved window."""
-        shingles = shingle_hashes(word_hashes(words))
-        found: set[tuple[int, int]] = set()
-        for size, (known, template, offset, table) in self.sizes.items():
-            if len(shingles) < size:
+    def hashes(self, tokens: list[str]) -> np.ndarray:
+        """Hashes of the words of lower-case tokens, those without a letter or digit left out."""
+        cache = self.cache
+        if len(cache) > CACHED_WORDS:
+            cache.clear()
+        long = []
+        for token in set(tokens).difference(cache):
+            word = stripped(token)
+            cache[token] = (xxhash.xxh3_64_intdigest(word) | 1) if word else 0
+            if len(token) > LONGEST_CACHED:
+                long.append(token)
+        out = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        for token in long:
+            del cache[token]
+        return out[out != 0]
+
+    def candidates(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(word of the window, template, word at which that would begin) of every retrieved window."""
+        found: set[tuple[int, int, int]] = set()
+        for size, key in band_keys(shingle_hashes(hashes)) if len(hashes) >= SHINGLE else ():
+            if size not in self.sizes:
                 continue
-            for key in band_keys(shingles, size):
-                for at in np.flatnonzero(table[(key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]).tolist():
-                    first, last = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
-                    found.update((int(template[i]), at - int(offset[i])) for i in range(first, last))
-        return found
-
-    def scan(self, text: str | None) -> list[tuple[int, int, int, float]]:
+            known, template, offset, table = self.sizes[size]
+            for at in np.flatnonzero(table[(key & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]).tolist():
+                first, last = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
+                found.update((at, int(template[i]), at - int(offset[i])) for i in range(first, last))
+        return sorted(found)
+
+    def scan_all(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
+        """For each text the verified matches; windows over the end of a text retrieve nothing that holds in one."""
+        hashes = [self.hashes((t or "").lower().split()) for t in texts]
+        ends = np.cumsum([len(h) for h in hashes])
+        begun: dict[int, set[tuple[int, int]]] = {}
+        for at, template, begin in self.candidates(np.concatenate(hashes)) if texts else ():
+            text = int(np.searchsorted(ends, at, side="right"))
+            begun.setdefault(text, set()).add((template, begin - int(ends[text]) + len(hashes[text])))
+        return [self.verified(words_of(t), begun[i]) if i in begun else [] for i, t in enumerate(texts)]
+
+    def verified(self, words: list[str], begun: set[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
         """(template, first word, words, containment) of the verified matches; those of a template don't overlap."""
-        words = words_of(text)
         by_template: dict[int, list[tuple[float, int, int]]] = {}
-        for t, begin in self.candidates(words):
+        for t, begin in begun:
             slack = len(self.words[t]) // 4
             first, last = max(0, begin - slack), min(len(words), begin + len(self.words[t]) + slack)
             shingles = list(zip(*(words[first + i : last] for i in range(SHINGLE)), strict=False))
@@ -156,7 +185,9 @@ def license_matches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(listed)
         for batch in batches:
-            found = [(i, m) for i, text in enumerate(batch.column(1).to_pylist()) for m in scanner.scan(text)]
+            texts = batch.column(1).to_pylist()
+            matches = [m for at in range(0, len(texts), DOCS_AT_ONCE) for m in scanner.scan_all(texts[at : at + DOCS_AT_ONCE])]
+            found = [(i, m) for i, own in enumerate(matches) for m in own]
             columns = [[listed[m[0]][0] for _, m in found], [listed[m[0]][1] for _, m in found]]
             yield pa.RecordBatch.from_arrays(
                 [
