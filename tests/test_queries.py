@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from check import TABLES, canonical
 from mergescope.operators.revisions import revision_effort
+from mergescope.oracle import statements
 from mergescope.plans import all_plans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,8 +21,9 @@ def test_registry_needs_no_session():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=driver.__file__.rsplit("/", 1)[0], timeout=120)
 
 
-def test_every_query_has_sql():
-    assert set(driver.oracle_sql()) == set(driver.queries())
+def test_every_plan_has_sql():
+    assert set(statements()) == set(all_plans())
+    assert set(all_plans()) <= set(driver.queries()) and set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def test_entry_returns_rows(spark):
