@@ -90,7 +90,7 @@ def order_cell(x: Column) -> Column:
     size = F.coalesce(inside, F.lit(2 * CELL_OFFSET).cast("long"))
     zero = F.lit(0).cast("long")
     # Never NULL, so a join on the cell adds no filter that would keep two branches from sharing one shuffle.
-    return F.coalesce(F.when(value == 0.0, zero).when(value > 0.0, size).otherwise(-size), zero)
+    return F.coalesce(F.when(value.isNull() | (value == 0.0), zero).when(value > 0.0, size).otherwise(-size), zero)
 
 
 def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
