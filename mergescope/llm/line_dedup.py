@@ -71,8 +71,12 @@ def signatures(lines: list[str], bins: int) -> np.ndarray:
     for i in range(1, SHINGLE):
         rolled = rolled * np.uint64(0x100000001B3) + codes[i : len(codes) - SHINGLE + 1 + i]
     owner = np.repeat(np.arange(len(lines)), counts)
-    shingles = rolled[np.arange(len(owner)) + (SHINGLE - 1) * owner]
-    out = np.full(len(lines) * bins, EMPTY)
+    return minhashes(rolled[np.arange(len(owner)) + (SHINGLE - 1) * owner], owner, len(lines), bins)
+
+
+def minhashes(shingles: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """The same from hashes of shingles with the row each belongs to; every row has one."""
+    out = np.full(n * bins, EMPTY)
     for turn in range(ROUNDS):
         h = mixed(shingles, turn + 1)
         bin_of = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
@@ -92,13 +96,19 @@ def signatures(lines: list[str], bins: int) -> np.ndarray:
     return table
 
 
+def banded(table: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of the bands of signatures of bands * rows values."""
+    table = table.reshape(len(table), bands, rows)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), table.shape[:2]) * MIX
+    for r in range(rows):
+        keys = mixed(keys ^ table[:, :, r], r + 101)
+    return keys
+
+
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(keys of all bands, CHECKS further signature bytes as one number) of each line."""
     full = signatures(lines, bands * rows + CHECKS)
-    table = full[:, : bands * rows].reshape(len(lines), bands, rows)
-    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(lines), bands)) * MIX
-    for r in range(rows):
-        keys = mixed(keys ^ table[:, :, r], r + 101)
+    keys = banded(full[:, : bands * rows], bands, rows)
     checks = np.ascontiguousarray((mixed(full[:, bands * rows :], 99) >> np.uint64(56)).astype(np.uint8))
     return keys, checks.view(np.uint64).ravel()
 

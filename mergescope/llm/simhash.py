@@ -6,11 +6,16 @@ each of its bits deleted, so near fingerprints share an index key; those that sh
 
 Documents with one fingerprint are a class and travel as one row. A key that very many fingerprints share is dealt out
 again by deletion variants of the remaining bits, so no group of copies ends in one task.
+
+Where a Jaccard similarity is asked for, fingerprints are too coarse to find it: at 0.8 they differ by 9.7 of 64 bits on
+average. Then MinHash bands of the different shingles retrieve pairs, the fingerprints' distance is a loose test, and the
+shingles themselves decide. Every document is first compared with the leading one of each of its bands; what that leaves
+in different components, but in one band, is compared pair by pair, so no candidate stays unchecked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,27 +24,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergescope.llm.common import checkpointed, connected_components, shuffle_tasks
+from mergescope.llm.line_dedup import banded, minhashes, similarity
+from mergescope.session import stored
 
 BITS = 64
 SEED = 42
 SHARED_BY_MANY = 2048
 SHINGLES_AT_ONCE = 1 << 16
+#: MinHash bands: documents of Jaccard similarity 0.8 share one with probability 0.9996, those of 0.4 with 0.19.
+BANDS, ROWS = 20, 5
 #: bits_of_byte[v] are the eight bits of the byte v, lowest first.
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def shingles_of(text: str | None, words: int) -> list[bytes]:
+    """The shingles of a text, that of a short one is the text; none without words."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(parts) <= words:
+        return [b" ".join(parts)] if parts else []
+    return list(map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)))
+
+
 def fingerprint(text: str | None, words: int, tables: int) -> list[int]:
     """`tables` fingerprints of a text as signed 64-bit numbers; zero for a text without words.
 
     A bit is 1 where more than half of the shingles' hashes have it. Further tables hash with other seeds.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    return fingerprint_of(shingles_of(text, words), tables)
+
+
+def fingerprint_of(shingles: Collection[bytes], tables: int) -> list[int]:
+    shingles = list(shingles)
+    if not shingles:
         return [0] * tables
-    if len(parts) <= words:
-        shingles = [b" ".join(parts)]
-    else:
-        shingles = list(map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)))
     out = []
     for k in range(tables):
         counts = np.zeros((8, 256), dtype=np.int64)
@@ -176,9 +193,105 @@ def links(
     return dealt.sortWithinPartitions("key", "sub").mapInArrow(lambda batches: NearRuns(distance, total, tables)(batches), "a long, b long")
 
 
+def set_hash(shingles: frozenset[bytes]) -> int:
+    """One signed 64-bit number for a set of shingles."""
+    return _signed(xxhash.xxh3_64_intdigest(b"\n".join(sorted(shingles))))
+
+
+def set_bands(sets: list[frozenset[bytes]]) -> np.ndarray:
+    """The band keys of sets that are not empty, a row for each."""
+    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for own in sets for s in own], dtype=np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+    return banded(minhashes(hashes, owner, len(sets), BANDS * ROWS), BANDS, ROWS).view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int, tables: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fps, shape, bands) for every row, all of the text's different shingles; shape is their hash."""
+
+    def portions(texts: list[str | None]) -> Iterator[list[frozenset[bytes]]]:
+        sets, n = [], 0
+        for text in texts:
+            sets.append(frozenset(shingles_of(text, words)))
+            n += len(sets[-1])
+            if n >= SHINGLES_AT_ONCE:
+                yield sets
+                sets, n = [], 0
+        yield sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, shapes, bands = [], [], []
+            for sets in portions(batch.column(1).to_pylist()):
+                fps += [fingerprint_of(own, tables) for own in sets]
+                shapes += [set_hash(own) for own in sets]
+                full = [own for own in sets if own]
+                keys = iter(set_bands(full) if full else ())
+                bands += [next(keys) if own else [] for own in sets]
+            arrays = pa.array(fps, pa.list_(pa.int64())), pa.array(shapes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "fps", "shape", "bands"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, fps array<long>, shape long, bands array<long>")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, jaccard: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of shapes whose texts' shingles are at least that similar."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a row of the same id may hold another text
+            own = [set_hash(frozenset(shingles_of(t, words))) == s for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(own, pa.bool_()))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shingles = None, frozenset()
+        for batch in batches:
+            close = []
+            for a, one, other in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if a != last:
+                    last, shingles = a, frozenset(shingles_of(one, words))
+                close.append(similarity(shingles, frozenset(shingles_of(other, words))) >= jaccard)
+            yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("shape")).distinct().join(classes.select("shape", "lead"), "shape")
+    rows = docs.select(F.col(id_col).cast("long").alias("lead"), F.col(text_col).cast("string").alias("text"))
+    texts = checkpointed(rows.join(nodes, "lead").select("shape", "text").mapInArrow(named, "shape long, text string").dropDuplicates(["shape"]))
+    both = pairs.join(texts.toDF("b", "other"), "b").join(texts.toDF("a", "one"), "a").select("a", "b", "one", "other")
+    return checkpointed(both.mapInArrow(near, "a long, b long"))
+
+
+def jaccard_components(
+    classes: DataFrame, docs: DataFrame, words: int, jaccard: float, total: int | None, id_col: str, text_col: str
+) -> DataFrame:
+    """(shape, node) for shapes with links: the components of the pairs that share a band and are that similar."""
+
+    def loosely(rows: DataFrame) -> DataFrame:
+        apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        return rows if total is None else rows.where(apart <= total)
+
+    def of(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, classes, docs, words, jaccard, id_col, text_col)
+
+    entries = checkpointed(classes.select(F.explode("bands").alias("key"), "shape", "fps"))
+    leading = entries.groupBy("key").agg(F.min(F.struct("shape", "fps")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    leading = leading.select("key", F.col("x.shape").alias("a"), F.col("x.fps").alias("fps_a"))
+    spokes = entries.join(leading, "key").where("shape != a").select("a", F.col("shape").alias("b"), "fps_a", F.col("fps").alias("fps_b"))
+    tested = checkpointed(loosely(spokes).select("a", "b").distinct())
+    found = of(tested)
+    joined = checkpointed(connected_components(found).select(F.col("id").alias("shape"), "component"))
+    parts = checkpointed(entries.join(joined, "shape", "left").withColumn("component", F.coalesce("component", "shape")))
+    mixed_keys = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    parts = checkpointed(parts.join(mixed_keys.select("key"), "key", "left_semi"))
+    one, other = parts.toDF("shape_a", "key", "fps_a", "part_a"), parts.toDF("shape_b", "key", "fps_b", "part_b")
+    across = loosely(one.join(other, "key").where("shape_a < shape_b AND part_a != part_b"))
+    across = across.select(F.col("shape_a").alias("a"), F.col("shape_b").alias("b")).distinct()
+    # Written and read again: the union's plan would be carried through every round, and grow.
+    found = stored(found.unionByName(of(checkpointed(across.join(tested, ["a", "b"], "left_anti")))), "near-copies")
+    return connected_components(found).select(F.col("id").alias("shape"), F.col("component").alias("node"))
+
+
 def simhash_groups(
     docs: DataFrame, words: int = 3, distance: int = 2, tables: int = 1, total: int | None = None, id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str = "text", jaccard: float | None = None,
 ) -> DataFrame:
     """(id, fingerprint, component_id): one row for each row of the documents.
 
@@ -186,7 +299,20 @@ def simhash_groups(
     ids are whole numbers. A null or empty text has fingerprint zero and is linked like any other; rows with a null id
     take part in their class and show its component; rows with equal ids each get a row; other columns are ignored; an
     empty table gives no rows.
+
+    With `jaccard` two texts are linked if their different shingles are at least that similar and, where `total` is given,
+    the fingerprints of these differ by at most that; `distance` has no meaning then, and texts without words are linked
+    with each other only.
     """
+    if jaccard is not None:
+        marked = checkpointed(sketches(docs, words, tables, id_col, text_col))
+        classes = checkpointed(marked.groupBy("shape").agg(F.min("id").alias("lead"), F.first("fps").alias("fps"), F.first("bands").alias("bands")))
+        nodes = jaccard_components(classes.where("lead IS NOT NULL"), docs, words, jaccard, total, id_col, text_col)
+        placed = checkpointed(classes.select("shape", "lead").join(nodes, "shape", "left").withColumn("node", F.coalesce("node", "shape")))
+        named = placed.join(placed.groupBy("node").agg(F.min("lead").alias("component_id")), "node").select("shape", "component_id")
+        return marked.join(checkpointed(named), "shape").select(
+            F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id"
+        )
     marked = checkpointed(fingerprints(docs, words, tables, id_col, text_col).withColumn("id", F.col("id").cast("long")))
     classes = checkpointed(marked.groupBy("fps").agg(F.min("id").alias("lead")))
     joined = connected_components(links(classes.where("lead IS NOT NULL"), distance, tables, total))
@@ -201,7 +327,7 @@ def simhash_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
     """The documents with one of each group left, that of the smallest id, with the columns they came with.
 
     Rows that share an id stay or go together, and stay if one of them does; rows with a null id stay.
