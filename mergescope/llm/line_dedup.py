@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergescope.llm.common import checkpointed, connected_components, shuffle_tasks
+from mergescope.session import stored
 
 SHINGLE = 5
 BANDS, ROWS = 16, 6
@@ -30,7 +31,8 @@ BUCKETS_PER_TASK = 2
 SIMILARITY = 0.8
 ROUNDS = 12
 CHARS_AT_ONCE = 1 << 19
-#: Candidates verified together. Larger groups are dealt out first, and what is left of them meets block by block.
+#: Candidates verified together. Larger groups are dealt out first, the first lines left of them meet block by block, and
+#: what then is still apart, but shares a band, is compared pair by pair.
 TOGETHER = 1024
 FEW = 16
 COLUMNS_AT_ONCE = 4096
@@ -301,6 +303,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(closed(now[0], lines))
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (line, form) -> (line, key, checks), a row for each band."""
+    for batch in batches:
+        forms, at = batch.column(1).to_pylist(), 0
+        while at < len(forms):
+            start, chars = at, 0
+            while at < len(forms) and (at == start or chars + len(forms[at]) <= CHARS_AT_ONCE):
+                chars, at = chars + len(forms[at]), at + 1
+            keys, checks = band_keys(forms[start:at])
+            line = np.repeat(batch.column(0).to_numpy()[start:at], BANDS)
+            columns = line, keys.ravel().view(np.int64), np.repeat(checks.view(np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["line", "key", "checks"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, form of a, form of b) -> (a, b) of those that are similar."""
+    for batch in batches:
+        forms = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        close = [similarity(shingled(one), shingled(other)) >= SIMILARITY for one, other in forms]
+        yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
+
+
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(line, component) for every different line that is linked to another one; component is a line's hash."""
     tasks = shuffle_tasks(docs.sparkSession)
@@ -334,7 +358,29 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     twice = verified(met)
     links = once.unionByName(twice).where("form IS NULL").select(F.col("line").alias("a"), F.col("to").alias("b"))
-    return connected_components(links).withColumnRenamed("id", "line")
+    # Written and read again: the union's plan would be carried through every round, and grow.
+    links = stored(links, "line-links")
+    joined = checkpointed(connected_components(links))
+    if sizes.isEmpty():
+        return joined.withColumnRenamed("id", "line")
+    # Lines of one large group that are still apart may be linked by two that were not first lines: every pair of them
+    # that shares a band is compared, but for pairs that met before.
+    members = lines.join(sizes, "group").select("group", "line", "form", part.alias("cell"))
+    members = members.join(joined, F.col("line") == F.col("id"), "left").join(firsts.select(F.col("line").alias("first")), F.col("line") == F.col("first"), "left")
+    members = members.select("line", "form", "cell", F.coalesce("component", "line").alias("part"), F.col("first").isNotNull().alias("is_first"))
+    members = checkpointed(members.dropDuplicates(["line"]))
+    keys = members.select("line", "form").mapInArrow(_banded, "line long, key long, checks long")
+    keys = checkpointed(keys.join(members.drop("form"), "line"))
+    apart = keys.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
+    keys = keys.join(apart, "key", "left_semi").select("key", "line", "checks", "cell", "part", "is_first")
+    one, other = (keys.toDF("key", f"line_{x}", f"checks_{x}", f"cell_{x}", f"part_{x}", f"first_{x}") for x in "ab")
+    equal = sum((F.col("checks_a").bitwiseXOR(F.col("checks_b")).bitwiseAND(F.lit(255 << 8 * i if i < 7 else -1 << 56)) == 0).cast("int") for i in range(CHECKS))
+    across = one.join(other, "key").where("line_a < line_b AND part_a != part_b AND cell_a != cell_b AND NOT (first_a AND first_b)")
+    across = checkpointed(across.where(equal >= CHECKED).select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct())
+    forms = members.select("line", "form")
+    both = across.join(forms.toDF("b", "other"), "b").join(forms.toDF("a", "one"), "a").select("a", "b", "one", "other")
+    thrice = both.mapInArrow(_near, "a long, b long")
+    return connected_components(stored(links.unionByName(thrice), "line-links")).withColumnRenamed("id", "line")
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

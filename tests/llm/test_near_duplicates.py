@@ -123,6 +123,24 @@ def test_lines_equal_brute_force(spark, monkeypatch, together):
         assert r.text == lines
 
 
+def test_sparse_chains_of_lines_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TOGETHER", 2)
+    rng, rows = random.Random(14), []
+    for k in range(80):  # four lines of which only neighbours are near, so two that are no first lines may be the only link
+        words = [str(rng.randrange(10**5, 10**6)) for _ in range(30)]
+        rows += [(4 * k + i, " ".join(words[2 * i : 2 * i + 24])) for i in range(4)]
+    keys, checks = line_dedup.band_keys([t for _, t in rows])
+    linked = {i: [] for i, _ in rows}
+    for i in linked:  # links that are candidates: few others exist, and bands may miss them
+        for j in range(i // 4 * 4, i // 4 * 4 + 4):
+            candidate = (keys[i] == keys[j]).any() and line_dedup.agree(checks[i], checks[j])[0]
+            if candidate and line_dedup.similarity(*(line_dedup.shingled(rows[x][1]) for x in (i, j))) >= 0.8:
+                linked[i].append(j)
+    first = smallest_reachable(linked, linked)
+    found = line_dedup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in found} == {i: [0] if first[i] != i else [] for i in linked}
+
+
 def test_signatures_estimate_similarity():
     a = prose(1, 80)
     b = a.replace(a[100:130], "something quite different here")
