@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergescope.llm import bpe, embed_dedup, licenses, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup, url_filter
+from mergescope.llm import bpe, embed_dedup, licenses, line_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, url_filter
 from mergescope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,13 @@ def vocabulary(name: str) -> str:
     return packing.read_vocabulary(public_tokenizers.path(name))
 
 
+def model_file(name: str) -> bytes:
+    """A public model's content, read by the driver; a file of fixed size."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op1_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -59,6 +67,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_findings(table(spark, sf_dir, "documents")).drop("value")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_digests(table(spark, sf_dir, "documents"), model_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_url_filters": op2_url_filters,
@@ -70,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scans": op9_license_scans,
     "op10_secret_scans": op10_secret_scans,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 SQL: dict[str, str] = {"op8_quality_rules": quality.SQL}
