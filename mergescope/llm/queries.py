@@ -7,7 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergescope.llm import bpe, embed_dedup, licenses, line_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, url_filter
+from mergescope.llm import (
+    bpe, embed_dedup, hard_negatives, licenses, line_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, url_filter,
+    vector_codes,
+)
 from mergescope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +74,14 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), model_file("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.op11_vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op13_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_url_filters": op2_url_filters,
@@ -82,7 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scans": op9_license_scans,
     "op10_secret_scans": op10_secret_scans,
+    "op11_vector_codes": op11_vector_codes,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {"op8_quality_rules": quality.SQL}
