@@ -56,6 +56,39 @@ def _last_entries(df: DataFrame, keep: Sequence[str], entries: Column, key: Sequ
     return ordered.select(*keep, F.inline(kept))
 
 
+def is_log_entry(block: Column) -> Column:
+    """Whether a block holds a whole entry: three lines of header and the message's closing mark."""
+    return F.contains(block, F.lit(MESSAGE_END)) & (_newlines(F.substring_index(block, MESSAGE_END, 1)) >= 3)
+
+
+def log_fields(block: Column) -> dict[str, Column]:
+    """The parts of a log entry, from its sha on."""
+    head = F.substring_index(block, MESSAGE_END, 1)
+    return {
+        "sha": _line(head, 1),
+        "author": _line(head, 2),
+        "committer": _line(head, 3),
+        "message": strip(_after(head, F.substring_index(head, "\n", 3), 1)),
+        "numstat": _after(block, head, len(MESSAGE_END)),
+    }
+
+
+def patch_fields(block: Column) -> dict[str, Column]:
+    """File name and patch of one file's part of a diff, from behind its opening words."""
+    head = F.substring_index(block, "\n", 1)
+    return {"filename": strip(_after(head, F.substring_index(head, " b/", 1), 3)), "patch": _after(block, head, 1)}
+
+
+def is_patch(block: Column) -> Column:
+    return F.contains(block, F.lit("\n")) & F.contains(F.substring_index(block, "\n", 1), F.lit(" b/"))
+
+
+def status_word(letter: Column) -> Column:
+    """The word of a status letter; unknown letters stay."""
+    words = F.create_map(*[F.lit(x) for pair in STATUS_WORDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(words, F.substring(letter, 1, 1)), letter)
+
+
 def log_commits(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per commit of a numstat log, with the text of its file list; within a log the last entry of a commit wins.
 
@@ -63,25 +96,11 @@ def log_commits(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame
     """
 
     def entry(block: Column, position: Column) -> Column:
-        head = F.substring_index(block, MESSAGE_END, 1)
-        return F.struct(_line(head, 1).alias("sha"), position.alias("pos"), block.alias("block"))
+        return F.struct(log_fields(block)["sha"].alias("sha"), position.alias("pos"), block.alias("block"))
 
-    blocks = F.filter(
-        F.transform(F.split(F.col(text), COMMIT_MARK), strip),
-        lambda b: F.contains(b, F.lit(MESSAGE_END)) & (_newlines(F.substring_index(b, MESSAGE_END, 1)) >= 3),
-    )
-    commits = _last_entries(df, keep, F.transform(blocks, entry), ["sha"]).withColumn(
-        "head", F.substring_index("block", MESSAGE_END, 1)
-    )
-    head = F.col("head")
-    return commits.select(
-        *keep,
-        "sha",
-        _line(head, 2).alias("author"),
-        _line(head, 3).alias("committer"),
-        strip(_after(head, F.substring_index(head, "\n", 3), 1)).alias("message"),
-        _after(F.col("block"), head, len(MESSAGE_END)).alias("numstat"),
-    )
+    blocks = F.filter(F.transform(F.split(F.col(text), COMMIT_MARK), strip), is_log_entry)
+    commits = _last_entries(df, keep, F.transform(blocks, entry), ["sha"])
+    return commits.select(*keep, *[c.alias(name) for name, c in log_fields(F.col("block")).items()])
 
 
 def numstat_files(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -123,41 +142,43 @@ def name_status(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame
 
     segments = F.filter(F.split(F.col(text), r"(?m)^(?=\s*[0-9a-f]{40})"), lambda s: s.rlike(header))
     entries = F.flatten(F.transform(segments, segment_rows))
-    words = F.create_map(*[F.lit(x) for pair in STATUS_WORDS.items() for x in pair])
-    status = F.coalesce(F.try_element_at(words, F.substring("letter", 1, 1)), F.col("letter"))
-    return _last_entries(df, keep, entries, ["sha", "filename"]).select(*keep, "sha", "filename", status.alias("status"))
+    return _last_entries(df, keep, entries, ["sha", "filename"]).select(
+        *keep, "sha", "filename", status_word(F.col("letter")).alias("status")
+    )
 
 
 def diff_files(df: DataFrame, text: str, keep: Sequence[str] = (), cap: int | None = None) -> DataFrame:
     """(filename, patch) of a unified diff; with a byte cap, a patch above it is NULL."""
 
     def entry(block: Column, position: Column) -> Column:
-        head = F.substring_index(block, "\n", 1)
-        name, body = strip(_after(head, F.substring_index(head, " b/", 1), 3)), _after(block, head, 1)
+        name, body = patch_fields(block).values()
         return F.struct(name.alias("filename"), position.alias("pos"), (body if cap is None else within_bytes(body, cap)).alias("patch"))
 
-    blocks = F.filter(
-        F.split(F.col(text), r"(?m)^diff --git "),
-        lambda b: F.contains(b, F.lit("\n")) & F.contains(F.substring_index(b, "\n", 1), F.lit(" b/")),
-    )
+    blocks = F.filter(F.split(F.col(text), r"(?m)^diff --git "), is_patch)
     return _last_entries(df, keep, F.transform(blocks, entry), ["filename"]).select(*keep, "filename", "patch")
 
 
-def build_details(commits: DataFrame, statuses: DataFrame, patches: DataFrame | None, holders: DataFrame) -> DataFrame:
-    """Commit detail rows: files with status and patch, commit totals, one row per pull request holding the commit."""
-    files = numstat_files(commits, "numstat", ["sha"])
+def build_details(
+    commits: DataFrame, files: DataFrame, statuses: DataFrame, patches: DataFrame | None, holders: DataFrame
+) -> DataFrame:
+    """Commit detail rows: files with status and patch, commit totals, one row per pull request holding the commit.
+
+    commits: (at, sha, author, committer, message), files: (sha, filename, additions, deletions), statuses: (sha, filename,
+    status), patches: (at, sha, filename, patch), each with one row per key. `at` tells a row's place in what it was read
+    from. Everything is put together without text, by places; the message and the patch of a place are each joined once, at
+    the end.
+    """
     totals = files.groupBy("sha").agg(
         F.sum("additions").alias("commit_stats_additions"), F.sum("deletions").alias("commit_stats_deletions")
     )
     described = files.join(statuses.select("sha", "filename", "status"), ["sha", "filename"], "left").withColumn(
         "status", F.coalesce("status", F.lit(DEFAULT_STATUS))
     )
-    if patches is None:
-        described = described.withColumn("patch", F.lit(None).cast("string"))
-    else:
-        described = described.join(patches.select("sha", "filename", "patch"), ["sha", "filename"], "left")
-    rows = (
-        commits.drop("numstat")
+    if patches is not None:
+        places = patches.select("sha", "filename", F.col("at").alias("patch_at"))
+        described = described.join(places, ["sha", "filename"], "left")
+    narrow = (
+        commits.select("sha", F.col("at").alias("commit_at"))
         .join(totals, "sha", "left")
         .join(described, "sha", "left")
         .na.fill(0, ["commit_stats_additions", "commit_stats_deletions"])
@@ -169,4 +190,9 @@ def build_details(commits: DataFrame, statuses: DataFrame, patches: DataFrame |
             }
         )
     )
-    return fan_out(rows, holders)
+    held = fan_out(narrow, holders)
+    texts = commits.select(F.col("at").alias("commit_at"), "author", "committer", "message")
+    held = held.join(texts, "commit_at").drop("commit_at")
+    if patches is None:
+        return held.withColumn("patch", F.lit(None).cast("string"))
+    return held.join(patches.select(F.col("at").alias("patch_at"), "patch"), "patch_at", "left").drop("patch_at")

@@ -35,8 +35,16 @@ r AS (SELECT *, CASE WHEN value > 60 THEN 'no answer given' WHEN value > 40 THEN
              WHEN confidence NOT BETWEEN 1 AND 10 THEN 'confidence range' END AS problem FROM b)"""
 
 GIT = f"""
-g AS (SELECT l_orderkey AS pr_id, {SHA} AS sha, l_suppkey, l_linenumber, l_extendedprice, l_shipdate, 'src/' || l_linenumber || '.py' AS file, CAST(l_quantity AS BIGINT) AS add,
-        CAST(round(l_discount * 100) AS BIGINT) AS del, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'renamed' ELSE l_returnflag END AS status, l_tax FROM lineitem)"""
+g AS (SELECT *, CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_suppkey % 10 AS INT) ELSE 10 END AS log, {SHA} AS sha, 'src/' || l_linenumber || '.py' AS file,
+        CAST(l_quantity AS BIGINT) AS add, CAST(round(l_discount * 100) AS BIGINT) AS del,
+        row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS pos FROM lineitem),
+one AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY log, sha ORDER BY pos DESC) = 1),
+h AS (SELECT *, last_value(CASE WHEN l_tax > 0 THEN sha END IGNORE NULLS) OVER (PARTITION BY log ORDER BY pos) AS owner FROM g),
+lines AS (SELECT log, owner, file AS filename, CASE WHEN l_tax > 0 THEN l_returnflag ELSE 'D' END AS letter, 2 * pos + CASE WHEN l_tax > 0 THEN 0 ELSE 1 END AS place FROM h
+          UNION ALL SELECT log, owner, CASE WHEN l_tax > 0 THEN 'logo.png' ELSE 'extra.txt' END, CASE WHEN l_tax > 0 THEN 'M100' ELSE 'T' END,
+            2 * pos + CASE WHEN l_tax > 0 THEN 1 ELSE 0 END FROM h),
+words AS (SELECT log, owner AS sha, filename, CASE letter WHEN 'A' THEN 'added' WHEN 'R' THEN 'renamed' WHEN 'D' THEN 'removed' WHEN 'T' THEN 'changed' WHEN 'M100' THEN 'modified'
+            ELSE letter END AS status FROM lines WHERE owner IS NOT NULL QUALIFY row_number() OVER (PARTITION BY log, owner, filename ORDER BY place DESC) = 1)"""
 
 SQL = {
     "c1_classified_summary": """
@@ -99,29 +107,31 @@ WITH f AS (SELECT c.sha, p.repo_name, row_number() OVER (PARTITION BY c.sha ORDE
 SELECT repo_name, sha, CAST(floor((row_number() OVER (PARTITION BY repo_name ORDER BY md5(sha), sha) - 1) / 50) AS BIGINT) AS batch FROM f WHERE k = 1""",
     "p1_numstat_totals": f"""
 WITH {GIT}
-SELECT file AS filename, count(*) AS n, CAST(sum(add) AS BIGINT) AS additions, CAST(sum(del) AS BIGINT) AS deletions FROM g WHERE l_tax > 0 GROUP BY file
-UNION ALL SELECT 'logo.png', count(*), 0, 0 FROM g WHERE l_tax > 0""",
+SELECT file AS filename, count(*) AS n, CAST(sum(add) AS BIGINT) AS additions, CAST(sum(del) AS BIGINT) AS deletions FROM one WHERE l_tax > 0 GROUP BY file
+UNION ALL SELECT 'logo.png', count(*), 0, 0 FROM one WHERE l_tax > 0""",
     "p1_log_headers": f"""
 WITH {GIT}
-SELECT 'Name ' || l_suppkey AS author, 'Bot' AS committer, 'Fix line' || chr(10) || chr(10) || 'body of ' || file AS message, count(*) AS n FROM g GROUP BY ALL""",
+SELECT 'Name ' || l_suppkey AS author, 'Bot' AS committer, 'Fix line' || chr(10) || chr(10) || 'body of ' || file AS message, count(*) AS n FROM one GROUP BY ALL""",
     "p2_status_words": f"""
 WITH {GIT}
-SELECT file AS filename, status, count(*) AS n FROM g GROUP BY ALL UNION ALL SELECT 'logo.png', 'modified', count(*) FROM g""",
+SELECT log, filename, status, count(*) AS n FROM words GROUP BY ALL""",
     "p3_patch_sizes": f"""
-WITH {GIT}
-SELECT file AS filename, count(*) AS n, count(*) FILTER (add + 17 <= 50) AS kept, CAST(sum(add + 17) FILTER (add + 17 <= 50) AS BIGINT) AS bytes FROM g GROUP BY file
-UNION ALL SELECT 'logo.png', count(*), count(*), count(*) * 20 FROM g""",
+WITH {GIT},
+p AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY log, sha, file ORDER BY pos DESC) = 1)
+SELECT file AS filename, count(*) AS n, count(*) FILTER (add + 17 <= 50) AS kept, CAST(sum(add + 17) FILTER (add + 17 <= 50) AS BIGINT) AS bytes FROM p GROUP BY file
+UNION ALL SELECT 'logo.png', count(*), count(*), count(*) * 20 FROM one""",
     "p3_whole_patch_sizes": f"""
 WITH {GIT}
-SELECT file AS filename, count(*) AS n, CAST(sum(add + 17) AS BIGINT) AS bytes FROM g GROUP BY file
-UNION ALL SELECT 'logo.png', count(*), count(*) * 20 FROM g""",
+SELECT log, file AS filename, count(*) AS n, CAST(sum(add + 17) AS BIGINT) AS bytes FROM g GROUP BY log, file
+UNION ALL SELECT log, 'logo.png', count(*), count(*) * 20 FROM g GROUP BY log""",
     "p4_commit_details": f"""
 WITH {GIT},
-one AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY sha ORDER BY pr_id, l_linenumber, l_extendedprice, l_shipdate) = 1),
-held AS (SELECT DISTINCT sha, pr_id FROM g),
-files AS (SELECT sha, file AS filename, status, add + del AS changes, add + del AS total FROM one WHERE l_tax > 0
-          UNION ALL SELECT sha, 'logo.png', 'modified', 0, add + del FROM one WHERE l_tax > 0
-          UNION ALL SELECT sha, NULL, NULL, NULL, 0 FROM one WHERE l_tax <= 0)
-SELECT filename, status, count(*) AS n, count(DISTINCT pr_id) AS prs, CAST(sum(changes) AS BIGINT) AS changes, CAST(sum(total) AS BIGINT) AS commit_total, count(filename) AS patches
-FROM files JOIN held USING (sha) GROUP BY filename, status""",
+held AS (SELECT DISTINCT sha, l_orderkey AS pr_id FROM g),
+files AS (SELECT sha, file AS filename, add + del AS changes, add + del AS total, add + 17 AS bytes, file AS said FROM one WHERE l_tax > 0
+          UNION ALL SELECT sha, 'logo.png', 0, add + del, 20, file FROM one WHERE l_tax > 0
+          UNION ALL SELECT sha, NULL, NULL, 0, NULL, file FROM one WHERE l_tax <= 0)
+SELECT f.filename, CASE WHEN f.filename IS NOT NULL THEN coalesce(w.status, 'modified') END AS status, count(*) AS n, count(DISTINCT pr_id) AS prs,
+  CAST(sum(changes) AS BIGINT) AS changes, CAST(sum(total) AS BIGINT) AS commit_total, CAST(sum(bytes) AS BIGINT) AS patch_bytes,
+  CAST(sum(18 + length(said)) AS BIGINT) AS message_length
+FROM files f JOIN held USING (sha) LEFT JOIN words w ON f.sha = w.sha AND f.filename = w.filename GROUP BY ALL""",
 }

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergescope.functions.text import (
     canonical_url, classify_title, conventional_label, first_line, repo_of, shorten, strip, within_bytes, word_count,
 )
-from mergescope.operators.gittext import (
-    COMMIT_MARK, MESSAGE_END, build_details, diff_files, log_commits, name_status, numstat_files,
-)
+from mergescope.operators.gittext import COMMIT_MARK, MESSAGE_END, build_details
 from mergescope.operators.labelling import (
     attribute, classify_table, fixes_with_commits, label_by_title, label_incremental, parse_responses, validate_responses,
 )
-from mergescope.operators.joins import keep_first
 from mergescope.operators.ranking import sha_batches
+from mergescope.session import shared_folder
+from mergescope.sources.gitfiles import (
+    commit_patches, diff_records, last_statuses, latest, log_files, log_records, status_rows, write_git_text,
+)
 from mergescope.sources.readers import flatten_commit_files, flatten_commits, flatten_pulls
 from mergescope.sources.warehouse import COMMIT_ORDER, Warehouse
 
@@ -116,7 +119,8 @@ def attributed_authors(w: Warehouse) -> DataFrame:
 
 # Git text
 
-LINE = ["pr_id", "l_linenumber", "l_extendedprice", "l_shipdate"]  # identifies one order line
+#: The order of the lines of a log.
+LINE = ["pr_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
 
 
 def _sha(part: str, supplier: str) -> Column:
@@ -124,75 +128,92 @@ def _sha(part: str, supplier: str) -> Column:
 
 
 def _git_rows(w: Warehouse) -> DataFrame:
-    """One git log entry, status list and diff per order line."""
+    """What an order line adds to its repository's log, status list and diff.
+
+    A third of the suppliers have logs of their own by tens, all others share one, which so holds most of the table. A pair
+    of part and supplier is a commit, and comes back in its log with every order of that pair.
+    """
     text = w.table("lineitem").select(
         F.col("l_orderkey").alias("pr_id"),
         _sha("l_partkey", "l_suppkey").alias("sha"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey") % 10).otherwise(10).cast("int").alias("repo"),
         F.concat(F.lit("src/"), F.col("l_linenumber").cast("string"), F.lit(".py")).alias("file"),
         F.col("l_quantity").cast("long").cast("string").alias("add"),
         F.round(F.col("l_discount") * 100).cast("long").cast("string").alias("del"),
-        F.col("l_suppkey").cast("string").alias("who"),
         *LINE[1:],
         "l_returnflag",
-        "l_tax",
     )
     numstat = F.concat(
-        F.col("add"), F.lit("\t"), F.col("del"), F.lit("\t"), F.col("file"), F.lit("\n-\t-\tlogo.png\nnot a numstat line\n")
+        F.lit("\n\n"), F.col("add"), F.lit("\t"), F.col("del"), F.lit("\t"), F.col("file"), F.lit("\n-\t-\tlogo.png\nnot a numstat line")
     )
     listed = F.when(F.col("l_tax") > 0, numstat).otherwise("")
     log = F.concat(
-        F.lit(COMMIT_MARK + "\n"), F.col("sha"), F.lit("\nName "), F.col("who"), F.lit("\nBot\nFix line\n\nbody of "), F.col("file"),
-        F.lit("\n" + MESSAGE_END + "\n\n"), listed,
+        F.lit(COMMIT_MARK + "\n"), F.col("sha"), F.lit("\nName "), F.col("l_suppkey").cast("string"), F.lit("\nBot\nFix line\n\nbody of "),
+        F.col("file"), F.lit("\n" + MESSAGE_END), listed,
     )
-    status = F.concat(F.lit("noise\tx\n"), F.col("sha"), F.lit("\n"), F.col("l_returnflag"), F.lit("\t"), F.col("file"), F.lit("\nM100\tlogo.png\n"))
+    # Lines without a header of their own belong to the commit above them.
+    status = F.when(
+        F.col("l_tax") > 0, F.concat(F.col("sha"), F.lit("\n\n"), F.col("l_returnflag"), F.lit("\t"), F.col("file"), F.lit("\nM100\tlogo.png"))
+    ).otherwise(F.concat(F.lit("T\textra.txt\nD\t"), F.col("file")))
     diff = F.concat(
         F.lit("diff --git a/"), F.col("file"), F.lit(" b/"), F.col("file"), F.lit("\n--- a\n+++ b\n@@\n+"), F.repeat(F.lit("x"), F.col("add").cast("int")),
-        F.lit("\ndiff --git a/logo.png b/logo.png\nBinary files differ\n"),
+        F.lit("\ndiff --git a/logo.png b/logo.png\nBinary files differ"),
     )
-    return text.select(*LINE, "sha", log.alias("log"), status.alias("status_text"), diff.alias("diff"))
+    marked = F.concat(F.lit(COMMIT_MARK + "\n"), F.col("sha"), F.lit("\n\n"), diff)
+    return text.select(*LINE, "repo", "sha", log.alias("log"), status.alias("status"), diff.alias("diff"), marked.alias("marked"))
+
+
+def _git_files(w: Warehouse, kind: str) -> str:
+    """Folder of the files of one kind of git text, a folder for each repository."""
+    path = f"{shared_folder(w.spark)}/runs/git-{kind}-{uuid4().hex}"
+    write_git_text(_git_rows(w), kind, path, "repo", LINE)
+    return path
 
 
 def numstat_totals(w: Warehouse) -> DataFrame:
-    commits = log_commits(_git_rows(w), "log", LINE)
-    files = numstat_files(commits, "numstat", ["sha"])
-    return files.groupBy("filename").agg(
+    """Changes per file over the last entry of every commit."""
+    records = log_records(w.spark, _git_files(w, "log"))
+    last = records.groupBy("log", "sha").agg(F.max("at").alias("at"))
+    return log_files(records).join(last.select("at"), "at", "left_semi").groupBy("filename").agg(
         F.count(F.lit(1)).alias("n"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
     )
 
 
 def log_headers(w: Warehouse) -> DataFrame:
-    commits = log_commits(_git_rows(w), "log", LINE)
+    commits = latest(log_records(w.spark, _git_files(w, "log")), ["log", "sha"])
     return commits.groupBy("author", "committer", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
 def status_words(w: Warehouse) -> DataFrame:
-    return name_status(_git_rows(w), "status_text", LINE).groupBy("filename", "status").agg(F.count(F.lit(1)).alias("n"))
+    statuses = last_statuses(status_rows(w.spark, _git_files(w, "status")))
+    return statuses.groupBy("log", "filename", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def patch_sizes(w: Warehouse) -> DataFrame:
-    patches = diff_files(_git_rows(w), "diff", [*LINE, "sha"], cap=50)
+    """Sizes of the last patch of every commit's files, those above a cap left out."""
+    patches = latest(commit_patches(w.spark, _git_files(w, "marked"), cap=50), ["log", "sha", "filename"])
     return patches.groupBy("filename").agg(
         F.count(F.lit(1)).alias("n"), F.count("patch").alias("kept"), F.sum(F.octet_length("patch")).alias("bytes")
     )
 
 
 def whole_patch_sizes(w: Warehouse) -> DataFrame:
-    """Sizes of all patches, none left out."""
-    return diff_files(_git_rows(w), "diff", [*LINE, "sha"]).groupBy("filename").agg(
+    """Sizes of all patches in diffs of any length, none left out."""
+    return diff_records(w.spark, _git_files(w, "diff")).groupBy("log", "filename").agg(
         F.count("patch").alias("n"), F.sum(F.octet_length("patch")).alias("bytes")
     )
 
 
 def commit_details(w: Warehouse) -> DataFrame:
     """Detail rows rebuilt from git text, summed per file status."""
-    rows = _git_rows(w)
-    texts = keep_first(rows, ["sha"], [F.col(c) for c in (*LINE, "log")])
-    details = build_details(
-        log_commits(texts, "log"), name_status(texts, "status_text"), diff_files(texts, "diff", ["sha"]), rows.select("sha", "pr_id")
-    )
+    commits = latest(log_records(w.spark, _git_files(w, "log")), ["sha"])
+    statuses = last_statuses(status_rows(w.spark, _git_files(w, "status")), ["sha", "filename"])
+    patches = latest(commit_patches(w.spark, _git_files(w, "marked")), ["sha", "filename"])
+    details = build_details(commits, log_files(commits), statuses, patches, _git_rows(w).select("sha", "pr_id"))
     return details.groupBy("filename", "status").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("pr_id").alias("prs"), F.sum("changes").alias("changes"),
-        F.sum("commit_stats_total").alias("commit_total"), F.count("patch").alias("patches"),
+        F.sum("commit_stats_total").alias("commit_total"), F.sum(F.octet_length("patch")).alias("patch_bytes"),
+        F.sum(F.char_length("message")).alias("message_length"),
     )
 
 

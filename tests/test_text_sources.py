@@ -9,6 +9,9 @@ from mergescope.operators.gittext import (
     COMMIT_MARK, MESSAGE_END, build_details, diff_files, log_commits, name_status, numstat_files,
 )
 from mergescope.schema import COMMITS, PULL_REQUESTS, conform, normalize_prs
+from mergescope.sources.gitfiles import (
+    commit_patches, diff_records, last_statuses, latest, log_files, log_records, status_rows, write_git_text,
+)
 from mergescope.sources.readers import flatten_commit_files, flatten_commits, flatten_pulls, load_table, only_values, status_lists
 from mergescope.sources.sinks import (
     compact, report, report_rows, schema_diff, write_by_source, write_csv, write_parquet, write_preview, write_report,
@@ -51,14 +54,85 @@ def test_diff(spark):
 
 
 def test_details_are_rebuilt(spark):
-    commits = log_commits(text(spark, LOG), "text")
+    commits = log_commits(text(spark, LOG), "text").withColumn("at", F.col("sha"))
+    files = numstat_files(commits, "numstat", ["sha"])
     statuses = spark.createDataFrame([(A, "other", "added")], "sha string, filename string, status string")
-    patches = spark.createDataFrame([(A, "z\tq.py", "@@")], "sha string, filename string, patch string")
+    patches = spark.createDataFrame([(7, A, "z\tq.py", "@@"), (8, A, "other", "--")], "at int, sha string, filename string, patch string")
     held = spark.createDataFrame([(A, 1), (A, 2), (B, 1)], "sha string, pr_id long")
-    built = build_details(commits, statuses, patches, held)
-    assert rows(built, "sha", "pr_id", "filename", "status", "changes", "patch", "commit_stats_total") == [
-        (A, 1, "z\tq.py", "modified", 5, "@@", 5), (A, 2, "z\tq.py", "modified", 5, "@@", 5), (B, 1, None, None, None, None, 0)
+    built = build_details(commits, files, statuses, patches, held)
+    assert rows(built, "sha", "pr_id", "filename", "status", "changes", "patch", "commit_stats_total", "message") == [
+        (A, 1, "z\tq.py", "modified", 5, "@@", 5, "again"), (A, 2, "z\tq.py", "modified", 5, "@@", 5, "again"), (B, 1, None, None, None, None, 0, "")
     ]
+    assert rows(build_details(commits, files, statuses, None, held), "sha", "pr_id", "patch") == [(A, 1, None), (A, 2, None), (B, 1, None)]
+    plan = plan_of(built)
+    for line in plan.splitlines():  # neither message nor patch is put in order or taken into an aggregate
+        assert not ("Aggregate" in line and ("patch#" in line or "message#" in line)), line
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of so many bytes."""
+    known = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def set_to(size):
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+
+    yield set_to
+    for k, v in known.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", [37, 64, 150, 1000, 1 << 20])
+def test_git_files_are_whole_wherever_ranges_end(spark, tmp_path, small_ranges, size):
+    log = LOG + "".join(f"{COMMIT_MARK}\n{i:040x}\nAnn{i}\nBot\nline\n\nélan {i}\n{MESSAGE_END}\n{i}\t1\tf{i}.py\n" for i in range(1, 40))
+    doc = f"M\tlost\n{A}\nA\tx.py\nM\ty.py\nR100\tz.py\n\n{B} extra\n" + "".join(f"M\tf{i}.py\n" for i in range(60)) + f"  {A}\nD\tx.py\nQ\tw.py"
+    diff = "preamble\n" + "".join(f"diff --git a/d/f{i % 7} b/d/f{i % 7}\n@@ {i}\n+é diff --git a/q b/q\n" for i in range(30)) + "diff --git a/only b/only\n"
+    marked = "".join(f"{COMMIT_MARK}\n{c * 40}\n\ndiff --git a/x b/x\n@@ {c}\ndiff --git a/big b/big\n{'+' * 40}\n" for c in "abca")
+    for name, value in (("log", log), ("list", doc), ("diff", diff), ("marked", marked)):
+        (tmp_path / name).write_text(value)
+    small_ranges(size)
+    paths = {n: str(tmp_path / n) for n in ("log", "list", "diff", "marked")}
+    found = log_records(spark, paths["log"])
+    if size == 37:
+        assert found.rdd.getNumPartitions() > 50
+    assert found.count() == 3 + 39
+    once = latest(found, ["sha"])
+    whole = log_commits(text(spark, log), "text")
+    assert rows(once.select("sha", "author", "committer", "message")) == rows(whole.select("sha", "author", "committer", "message"))
+    listed = rows(log_files(once).select("sha", "additions", "deletions", "filename"))
+    assert listed == rows(numstat_files(whole, "numstat", ["sha"]))
+    assert rows(last_statuses(status_rows(spark, paths["list"]), ["sha", "filename"])) == rows(name_status(text(spark, doc), "text"))
+    all_patches = diff_records(spark, paths["diff"])
+    assert all_patches.count() == 31
+    assert rows(latest(all_patches, ["filename"]).select("filename", "patch")) == rows(diff_files(text(spark, diff), "text"))
+    patches = latest(commit_patches(spark, paths["marked"], cap=20), ["sha", "filename"]).select("sha", "filename", "patch")
+    assert rows(patches) == [(c * 40, f, None if f == "big" else f"@@ {c}\n") for c in "abc" for f in ("big", "x")]
+
+
+def test_one_log_is_written_and_read_by_many_tasks(spark, tmp_path):
+    entries = spark.range(4000).selectExpr(
+        "id", "0 AS repo", f"concat('{COMMIT_MARK}\\n', sha1(string(id % 1000)), '\\nAnn\\nBot\\nno ', id, '\\n{MESSAGE_END}\\n1\\t0\\tf') AS log"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_git_text(entries, "log", f"{tmp_path}/logs", "repo", ["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.text(f"{tmp_path}/logs").inputFiles()) > 1
+    last = latest(log_records(spark, f"{tmp_path}/logs"), ["log", "sha"])
+    assert sorted(r.message for r in last.collect()) == sorted(f"no {i}" for i in range(3000, 4000))
+
+
+def test_empty_git_files(spark, tmp_path):
+    (tmp_path / "none").write_text("")
+    path = str(tmp_path / "none")
+    for read in (log_records, status_rows, diff_records, commit_patches):
+        assert read(spark, path).collect() == []
 
 
 def test_api_records(spark):
