@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergescope.operators.filters import after_end_of, within_range_of
+from mergescope.operators.hotkeys import split_join
 
 BROADCAST_ROWS = 50_000
 
@@ -29,23 +30,28 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], firs
 
 
 def lookup(
-    df: DataFrame, dimension: DataFrame, on: Sequence[str], order: Sequence[Column], defaults: Mapping[str, object] | None = None
+    df: DataFrame, dimension: DataFrame, on: Sequence[str], order: Sequence[Column], defaults: Mapping[str, object] | None = None,
+    split_hot: bool = True,
 ) -> DataFrame:
-    """Left join to a dimension reduced to one row per key; later rows in the order win, as in a dictionary."""
+    """Left join to a dimension reduced to one row per key; later rows in the order win, as in a dictionary.
+
+    Keys that hold much of the table are split over tasks, unless ``split_hot`` is off because no key can.
+    """
     on = list(on)
     rest = [c for c in dimension.columns if c not in on]
     unique = (
         dimension.groupBy(*on).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row__")).select(*on, "row__.*")
     )
-    joined = df.join(unique, on, "left")
+    joined = split_join(df, unique, on) if split_hot else df.join(unique, on, "left")
     return joined if defaults is None else joined.na.fill(dict(defaults))
 
 
-def membership(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
-    """Add a boolean column telling whether the row's key occurs in the other table."""
+def membership(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str, split_hot: bool = True) -> DataFrame:
+    """Add a boolean column telling whether the row's key occurs in the other table; heavy keys as in ``lookup``."""
     on = list(on)
     known = keys.select(*on).distinct().withColumn("member__", F.lit(True))
-    return df.join(known, on, "left").withColumn(flag, F.col("member__").isNotNull()).drop("member__")
+    joined = split_join(df, known, on) if split_hot else df.join(known, on, "left")
+    return joined.withColumn(flag, F.col("member__").isNotNull()).drop("member__")
 
 
 def prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:

@@ -49,7 +49,7 @@ def overlap_by_agent(w: Warehouse) -> DataFrame:
     """Rows of each side by agent and how many of them the other side has."""
 
     def side(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        flagged = membership(df, other, [KEY], "in_other")
+        flagged = membership(df, other, [KEY], "in_other", split_hot=False)
         return flagged.groupBy("agent").agg(
             F.count(F.lit(1)).alias("total"), F.count_if("in_other").alias("in_other")
         ).withColumn("side", F.lit(name))
@@ -98,8 +98,8 @@ def missing_repositories(w: Warehouse) -> DataFrame:
 
 def exclusive_time_ranges(w: Warehouse) -> DataFrame:
     """First and last day of both sides and of their exclusive and shared parts."""
-    tagged = membership(w.ours, w.theirs, [KEY], "in_other").select("created_at", F.lit("ours").alias("side"), "in_other")
-    other = membership(w.theirs, w.ours, [KEY], "in_other").select("created_at", F.lit("theirs").alias("side"), "in_other")
+    tagged = membership(w.ours, w.theirs, [KEY], "in_other", split_hot=False).select("created_at", F.lit("ours").alias("side"), "in_other")
+    other = membership(w.theirs, w.ours, [KEY], "in_other", split_hot=False).select("created_at", F.lit("theirs").alias("side"), "in_other")
     both = tagged.unionByName(other)
     part = F.when(F.col("in_other"), "shared").otherwise("exclusive")
     return both.groupBy("side", part.alias("part")).agg(
@@ -310,7 +310,7 @@ def monthly_coverage(w: Warehouse) -> DataFrame:
 
 def agent_coverage(w: Warehouse) -> DataFrame:
     """Share of the other side's rows per agent that any of our runs has."""
-    flagged = membership(w.theirs_all, _ours_merged(w), [KEY], "in_ours")
+    flagged = membership(w.theirs_all, _ours_merged(w), [KEY], "in_ours", split_hot=False)
     return flagged.groupBy("agent").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("in_ours").alias("overlap")
     ).withColumn("overlap_pct", percent(F.col("overlap"), F.col("total"), 1))
@@ -333,7 +333,7 @@ def key_or_commit_match(w: Warehouse) -> DataFrame:
 
 
 def dual_key_overlap(w: Warehouse) -> DataFrame:
-    flagged = membership(w.theirs_all.select("id", "month"), _matched_ids(w), ["id"], "hit")
+    flagged = membership(w.theirs_all.select("id", "month"), _matched_ids(w), ["id"], "hit", split_hot=False)
     theirs = flagged.groupBy("month").agg(F.count(F.lit(1)).alias("their_prs"), F.count_if("hit").alias("overlap"))
     ours = w.ours.groupBy("month").agg(F.count(F.lit(1)).alias("our_prs"))
     monthly = outer_counts([ours, theirs], ["month"])
@@ -344,7 +344,7 @@ def dual_key_overlap(w: Warehouse) -> DataFrame:
 def dual_key_deep_dive(w: Warehouse) -> DataFrame:
     """Per-repository overlap in one month with names from the metadata."""
     month = w.theirs_all.where(F.col("month") == DEEP_MONTH).select("id", "repo_id")
-    flagged = membership(month, _matched_ids(w), ["id"], "hit")
+    flagged = membership(month, _matched_ids(w), ["id"], "hit", split_hot=False)
     stats = flagged.groupBy("repo_id").agg(F.count(F.lit(1)).alias("their_total"), F.count_if("hit").alias("overlap_count"))
     named = lookup(stats, w.repositories.select("repo_id", "full_name"), ["repo_id"], [F.col("full_name")], {"full_name": "Unknown"})
     return named.select(
@@ -393,7 +393,7 @@ def gap_cuts(w: Warehouse) -> DataFrame:
 
     def flagged(df: DataFrame, other: DataFrame) -> DataFrame:
         rows = df.select(KEY, "repo_name", "created_at", "is_merged")
-        return membership(membership(rows, other, [KEY], "same_key"), other, ["repo_name"], "shared_repo")
+        return membership(membership(rows, other, [KEY], "same_key", split_hot=False), other, ["repo_name"], "shared_repo")
 
     def counted(df: DataFrame, cuts: dict[str, Column]) -> DataFrame:
         totals = df.agg(
@@ -548,7 +548,7 @@ def _placed_fixes(w: Warehouse) -> DataFrame:
     ours, theirs = _our_fixes(w), _their_fixes(w)
     first, last = (theirs.agg(f("created_at")).scalar() for f in (F.min, F.max))
     rows = ours.select("id", "agent", "is_merged", "created_at", "repo_name", KEY)
-    placed = membership(membership(rows, theirs, [KEY], "same_key"), theirs, ["repo_name"], "their_repo")
+    placed = membership(membership(rows, theirs, [KEY], "same_key", split_hot=False), theirs, ["repo_name"], "their_repo")
     until = F.lit("2001-02-28").cast("timestamp")
     timed = placed.withColumn(
         "time",
