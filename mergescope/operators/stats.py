@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,43 +77,39 @@ def _sum_before(column: str, window) -> Column:
     return F.coalesce(F.sum(column).over(_before(window)), F.lit(0).cast("long"))
 
 
-def _exact_p_column(u: Column, n1: Column, n2: Column) -> Column:
-    """Two-sided permutation p of the larger U, for untied samples of which one is tiny.
+def exact_u_p(extreme: Column, n1: Column, n2: Column) -> Column:
+    """Two-sided permutation p of the larger U, for untied samples.
 
-    One row per comparison reaches this point. Everything is defined inside, so workers need not have this package.
+    The ways to get each U are the coefficients of a product over the smaller sample: of (1 - q^(n+i)) / (1 - q^i) for i
+    from 1 to its size, n being the larger one's. It is folded over i, and a division is a doubling: adding an array to
+    itself moved on by i, 2i, 4i and so on adds up every i-th term. Only the coefficients of the lower tail are kept, which
+    by symmetry has the weight of the upper one; none of them depends on later ones, so nothing large is taken from nothing
+    small.
     """
+    m, n = F.least(n1, n2).cast("int"), F.greatest(n1, n2).cast("int")
+    last = F.floor(n1.cast("double") * n2.cast("double") - extreme).cast("int")
+    size = last + 1
 
-    def exact(us: pd.Series, firsts: pd.Series, seconds: pd.Series) -> pd.Series:
-        import math
+    def moved(ways: Column, by: Column) -> Column:
+        step = F.least(by, size)
+        return F.concat(F.array_repeat(F.lit(0.0), step), F.slice(ways, F.lit(1), size - step))
 
-        import numpy
-        import pandas
+    def grown(ways: Column, i: Column) -> Column:
+        less = F.zip_with(ways, moved(ways, n + i), lambda w, v: w - v)
+        doublings = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(last, F.lit(1)))).cast("int"))
+        return F.aggregate(doublings, less, lambda w, k: F.zip_with(w, moved(w, F.least(i * F.pow(F.lit(2.0), k), size.cast("double")).cast("int")), lambda x, y: x + y))
 
-        def p(u: float, n1: int, n2: int) -> float:
-            m, n = min(n1, n2), max(n1, n2)
-            ways = numpy.zeros(m * n + 1)
-            ways[0] = 1.0
-            for i in range(1, m + 1):
-                grown, step = ways.copy(), n + i
-                grown[step:] -= ways[:-step] if step < len(ways) else 0.0
-                for start in range(i):
-                    grown[start::i] = numpy.cumsum(grown[start::i])
-                ways = grown
-            tail = ways[math.ceil(max(u, n1 * n2 - u)):].sum() / math.comb(m + n, m)
-            return float(min(1.0, 2.0 * tail))
+    one = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), last))
+    tail = F.aggregate(F.aggregate(F.sequence(F.lit(1), m), one, grown), F.lit(0.0), lambda total, w: total + w)
+    choices = F.aggregate(F.sequence(F.lit(1), m), F.lit(1.0), lambda c, i: c * (n + i) / i)
+    return F.least(F.lit(1.0), 2 * tail / choices)
 
-        return pandas.Series([p(a, int(b), int(c)) for a, b, c in zip(us, firsts, seconds)])
 
-    # Pickled by value: a function of this module would have to be importable on the workers.
-    exact.__module__ = "__main__"
-    return F.pandas_udf(exact, "double")(u, n1, n2)
-
-
-def mann_whitney(df: DataFrame, by: Sequence[str], side: Column, x: str, exact_small: bool = False) -> DataFrame:
+def mann_whitney(df: DataFrame, by: Sequence[str], side: Column, x: str, exact_small: bool = True) -> DataFrame:
     """U of the first side with mid-ranks, tie-corrected z, two-sided p and stars.
 
-    ``exact_small`` replaces p by the permutation value when one sample has at most eight values and there are no ties,
-    however large the other is, and adds ``method``, which says how each row's p was computed.
+    When one sample has at most eight values and there are no ties, however large the other is, p is the permutation value;
+    ``method`` says how each row's p was computed. Without ``exact_small`` all are the normal approximation.
     """
     by = list(by)
     counts = (
@@ -126,7 +121,7 @@ def mann_whitney(df: DataFrame, by: Sequence[str], side: Column, x: str, exact_s
     return mann_whitney_counts(counts, by, exact_small)
 
 
-def mann_whitney_counts(counts: DataFrame, by: Sequence[str], exact_small: bool = False) -> DataFrame:
+def mann_whitney_counts(counts: DataFrame, by: Sequence[str], exact_small: bool = True) -> DataFrame:
     """The U test from (by, value, n1, n2), one row per distinct value."""
     by = list(by)
     celled = counts.withColumn("cell", order_cell(F.col("value")))
@@ -160,13 +155,10 @@ def mann_whitney_counts(counts: DataFrame, by: Sequence[str], exact_small: bool
         # Samples that hold one common value only have no spread and do not differ.
         .withColumn("p", F.coalesce(normal_two_sided_p(F.col("z")), F.lit(1.0)))
     )
-    if exact_small:
-        tiny = (F.least("n1", "n2") <= EXACT_SAMPLE) & (F.col("ties") == 0)
-        tested = tested.withColumn(
-            "p", F.when(tiny, _exact_p_column(F.when(tiny, F.col("u")).otherwise(0.0),
-                                              F.when(tiny, F.col("n1")).otherwise(1),
-                                              F.when(tiny, F.col("n2")).otherwise(1))).otherwise(F.col("p"))
-        ).withColumn("method", F.when(tiny, "exact").otherwise("normal"))
+    tiny = F.lit(exact_small) & (F.least("n1", "n2") <= EXACT_SAMPLE) & (F.col("ties") == 0)
+    tested = tested.withColumns(
+        {"p": F.when(tiny, exact_u_p(extreme, F.col("n1"), F.col("n2"))).otherwise(F.col("p")), "method": F.when(tiny, "exact").otherwise("normal")}
+    )
     return tested.withColumn("sig", stars(F.col("p")))
 
 

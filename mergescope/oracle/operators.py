@@ -210,8 +210,11 @@ x AS (SELECT *, {yates('hit_a', 'total_a', 'hit_b', 'total_b')} AS chi FROM c),
 SELECT task_type, hit_a, total_a, hit_b, total_b, {rnd('hit_a::DOUBLE / total_a * 100', 4)} AS rate_a, {rnd('hit_b::DOUBLE / total_b * 100', 4)} AS rate_b,
   {rnd('chi', 4)} AS chi2, {rnd('pv', 6)} AS p, {stars('pv')} AS sig FROM y""",
     "t2_u_test_by_group": f"""
-SELECT l_linestatus, n1, n2, u, {rnd('z', 6)} AS z, {rnd('p', 6)} AS p, {stars('p')} AS sig
+SELECT l_linestatus, n1, n2, u, {rnd('z', 6)} AS z, {rnd('p', 6)} AS p, {stars('p')} AS sig, method
 FROM ({u_test("SELECT l_linestatus, l_returnflag = 'A' AS is_first, l_quantity AS x FROM lineitem WHERE l_returnflag IN ('A', 'R')", 'l_linestatus')})""",
+    "t2_small_samples": f"""
+SELECT o_custkey, n1, n2, u, {rnd('p', 6)} AS p, {stars('p')} AS sig, method
+FROM ({u_test("SELECT o_custkey, o_orderstatus = 'F' AS is_first, o_totalprice AS x FROM orders WHERE o_orderstatus IN ('F', 'O')", 'o_custkey')})""",
     "t6_weighted_average": f"""
 WITH m AS (SELECT source, month, count(*) AS t, count(*) FILTER (is_merged) AS k FROM v_fixes GROUP BY source, month),
 w AS (SELECT source, sum(k)::DOUBLE / sum(t) * 100 AS x FROM m GROUP BY source),

@@ -88,7 +88,7 @@ SELECT source, count(*) FILTER (num_commits = 1) AS single, count(*) AS merged,
   median(num_commits) FILTER (num_commits > 1)::DOUBLE AS median_commits
 FROM ({MERGED_COUNTS}) GROUP BY source""",
     "q08_revision_count_test": f"""
-SELECT n1, n2, u, {rnd('z', 6)} AS z, {rnd('p', 6)} AS p, {stars('p')} AS sig
+SELECT n1, n2, u, {rnd('z', 6)} AS z, {rnd('p', 6)} AS p, {stars('p')} AS sig, method
 FROM ({u_test(f"SELECT source = 'agent' AS is_first, num_commits AS x FROM ({MERGED_COUNTS}) WHERE num_commits > 1", '')})""",
     "q09_revision_effort_medians": f"""
 {EFFORT_MEDIANS} FROM v_fixes JOIN v_effort ON id = pr_id WHERE is_merged AND has_rest AND num_commits > 1 GROUP BY source""",
@@ -146,7 +146,7 @@ tt AS ({u_test('SELECT * FROM pairs', 'grp')}),
 lt AS ({u_test('SELECT * FROM lines', 'grp')})
 SELECT r.grp AS "group", total, merged, {rnd('merged * 100.0 / total', 4)} AS rate, {rnd('med', 4)} AS median_hours,
   {rnd('pct', 4)} AS revised_pct, ma::DOUBLE AS median_rev_added, md::DOUBLE AS median_rev_deleted,
-  {rnd('chi', 4)} AS chi2, {stars('cp.pv')} AS rate_sig, tt.u AS time_u, {stars('tt.p')} AS time_sig, lt.u AS lines_u, {stars('lt.p')} AS lines_sig
+  {rnd('chi', 4)} AS chi2, {stars('cp.pv')} AS rate_sig, tt.u AS time_u, {stars('tt.p')} AS time_sig, lt.u AS lines_u, {stars('lt.p')} AS lines_sig, tt.method AS time_method, lt.method AS lines_method
 FROM r LEFT JOIN v ON r.grp = v.grp LEFT JOIN cp ON r.grp = cp.grp LEFT JOIN tt ON r.grp = tt.grp LEFT JOIN lt ON r.grp = lt.grp""",
     "q19_before_after_by_agent": f"""
 WITH t AS (SELECT agent, period, is_merged, hours_to_merge FROM v_timed WHERE agent IN ({AGENT_LIST})),
@@ -158,7 +158,7 @@ xp AS (SELECT *, {chi_p('chi')} AS pv FROM x),
 m AS (SELECT * FROM ({u_test("SELECT agent, period = 'before' AS is_first, hours_to_merge AS x FROM t WHERE is_merged", 'agent')}) WHERE n1 >= 5 AND n2 >= 5)
 SELECT xp.agent, na AS total_a, {rnd('a * 100.0 / na', 4)} AS rate_a, nb AS total_b, {rnd('b * 100.0 / nb', 4)} AS rate_b,
   {rnd('b * 100.0::DOUBLE / nb - a * 100.0::DOUBLE / na', 4)} AS change_pp, {rnd('chi', 4)} AS chi2, {rnd('pv', 6)} AS p, {stars('pv')} AS sig,
-  {rnd('h1', 4)} AS hours_before, {rnd('h2', 4)} AS hours_after, m.u AS time_u, {rnd('m.p', 6)} AS time_p, {stars('m.p')} AS time_sig
+  {rnd('h1', 4)} AS hours_before, {rnd('h2', 4)} AS hours_after, m.u AS time_u, {rnd('m.p', 6)} AS time_p, {stars('m.p')} AS time_sig, m.method AS time_method
 FROM xp LEFT JOIN m ON xp.agent = m.agent""",
     "q19_before_after_with_total": f"""
 WITH c AS (SELECT coalesce(agent, 'ALL AGENTS') AS agent, count(*) FILTER (period = 'before') AS before_total,

@@ -55,7 +55,24 @@ def u_test(rows: str, key: str) -> str:
     join = f"JOIN ({ties}) USING ({key})" if key else f"CROSS JOIN ({ties})"
     base = f"""SELECT *, r1 - n1::DOUBLE * (n1 + 1) / 2 AS u, n1::DOUBLE * n2 AS nn, (n1 + n2)::DOUBLE AS n FROM ({sums}) {join} WHERE n1 > 0 AND n2 > 0"""
     scored = f"""SELECT *, (greatest(u, nn - u) - nn / 2 - 0.5) / sqrt(nn / 12 * (n + 1 - coalesce(ties / nullif(n * (n - 1), 0), 0))) AS z FROM ({base})"""
-    return f"SELECT *, {z_p('z')} AS p FROM ({scored})"
+    ruled = f"SELECT *, least(n1, n2) <= 8 AND ties = 0 AS tiny, CAST(floor(nn - greatest(u, nn - u)) AS BIGINT) AS last FROM ({scored})"
+    return f"SELECT *, CASE WHEN tiny THEN {exact_p()} ELSE {z_p('z')} END AS p, CASE WHEN tiny THEN 'exact' ELSE 'normal' END AS method FROM ({ruled})"
+
+
+def exact_p() -> str:
+    """Two-sided permutation p from n1, n2 and last, the largest U of the lower tail.
+
+    Ways to choose ranks, coefficient by coefficient: one more member of the smaller sample takes away what lies a whole
+    larger sample further on and adds up every i-th coefficient before.
+    """
+    m, n = "least(n1, n2)", "greatest(n1, n2)"
+    i = "e[1]::BIGINT"
+    less = f"(w[j - t * {i} + 1] - CASE WHEN j - t * {i} >= {n} + {i} THEN w[j - t * {i} - {n} - {i} + 1] ELSE 0 END)"
+    step = f"list_transform(range(0, last + 1), lambda j: list_sum(list_transform(range(0, j // {i} + 1), lambda t: {less})))"
+    start = "list_transform(range(0, last + 1), lambda j: CASE WHEN j = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)"
+    ways = f"list_reduce(list_transform(range(1, {m} + 1), lambda i: [i::DOUBLE]), lambda w, e: {step}, {start})"
+    choices = f"list_reduce(list_transform(range(1, {m} + 1), lambda i: i::DOUBLE), lambda c, i: c * ({n} + i) / i, 1.0::DOUBLE)"
+    return f"least(1.0, 2 * list_sum({ways})::DOUBLE / {choices})"
 
 
 def wide(values: tuple[str, ...], key: str, measure: str) -> str:

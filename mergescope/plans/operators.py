@@ -535,7 +535,14 @@ def chi_square_by_group(w: Warehouse) -> DataFrame:
 
 def u_test_by_group(w: Warehouse) -> DataFrame:
     tested = mann_whitney(w.table("lineitem"), ["l_linestatus"], F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False), "l_quantity")
-    return rounded(tested.select("l_linestatus", "n1", "n2", "u", "z", "p", "sig"), 6, "z", "p")
+    return rounded(tested.select("l_linestatus", "n1", "n2", "u", "z", "p", "sig", "method"), 6, "z", "p")
+
+
+def u_test_of_small_samples(w: Warehouse) -> DataFrame:
+    """Prices of each customer's finished orders against the open ones: a few orders a side."""
+    finished = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    tested = mann_whitney(w.table("orders"), ["o_custkey"], finished, "o_totalprice")
+    return rounded(tested.select("o_custkey", "n1", "n2", "u", "p", "sig", "method"), 6, "p")
 
 
 def weighted_average_check(w: Warehouse) -> DataFrame:
@@ -653,6 +660,7 @@ PLANS = {
     "scalar_significance_ladder": significance_ladder,
     "t1_chi_square_by_group": chi_square_by_group,
     "t2_u_test_by_group": u_test_by_group,
+    "t2_small_samples": u_test_of_small_samples,
     "t6_weighted_average": weighted_average_check,
     "sm1_exact_sample": exact_sample,
     "sm2_size_matched": size_matched_sample,

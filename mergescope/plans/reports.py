@@ -155,7 +155,7 @@ def unrevised_share(w: Warehouse) -> DataFrame:
 
 def revision_count_test(w: Warehouse) -> DataFrame:
     tested = mann_whitney(_merged_commit_counts(w).where("num_commits > 1"), [], agent_side(), "num_commits")
-    return rounded(tested.select("n1", "n2", "u", "z", "p", "sig"), 6, "z", "p")
+    return rounded(tested.select("n1", "n2", "u", "z", "p", "sig", "method"), 6, "z", "p")
 
 
 def _revised_effort(w: Warehouse, compat: bool = False) -> DataFrame:
@@ -297,6 +297,7 @@ def agent_leaderboard(w: Warehouse) -> DataFrame:
     times, lines = F.col("metric") == "hours_to_merge", F.col("metric") == "added"
     rank_tests = ranked.groupBy("group").agg(
         F.max(F.when(times, F.col("u"))).alias("time_u"), F.max(F.when(times, F.col("sig"))).alias("time_sig"),
+        F.max(F.when(times, F.col("method"))).alias("time_method"), F.max(F.when(lines, F.col("method"))).alias("lines_method"),
         F.max(F.when(lines, F.col("u"))).alias("lines_u"), F.max(F.when(lines, F.col("sig"))).alias("lines_sig"),
     )
     for part in (medians, rate_test, rank_tests):
@@ -319,7 +320,7 @@ def before_after_by_agent(w: Warehouse) -> DataFrame:
     ranked = mann_whitney_counts(pairs, ["agent", "metric"]).where("n1 >= 5 AND n2 >= 5")
     hours_row = F.col("metric") == "hours_to_merge"
     times = ranked.groupBy("agent").agg(
-        *[F.max(F.when(hours_row, F.col(c))).alias(f"time_{c}") for c in ("u", "p", "sig")]
+        *[F.max(F.when(hours_row, F.col(c))).alias(f"time_{c}") for c in ("u", "p", "sig", "method")]
     )
     table = rates.join(hours, "agent", "left").join(times, "agent", "left")
     return rounded(rounded(table, 4, "rate_a", "rate_b", "change_pp", "chi2", "hours_before", "hours_after"), 6, "p", "time_p")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mergescope.operators.quantiles import approximate_quantiles, box_stats, clip_at_quantile, histogram, quantiles, value_counts
 from mergescope.operators.stats import (
-    chi_square, chi_square_columns, chi_square_of_counts, log_rank, mann_whitney, mann_whitney_counts, pair_counts,
+    chi_square, chi_square_columns, chi_square_of_counts, exact_u_p, log_rank, mann_whitney, mann_whitney_counts, pair_counts,
 )
 
 
@@ -88,10 +88,41 @@ def test_small_untied_samples_use_all_arrangements(spark):
         second = [pooled[i] for i in range(7) if i not in chosen]
         hits += brute_u(first, second) >= extreme
         total += 1
-    got = one(mann_whitney(frame(spark, a, b), [], F.col("side"), "x", exact_small=True))
+    got = one(mann_whitney(frame(spark, a, b), [], F.col("side"), "x"))
     assert got["p"] == pytest.approx(min(1.0, 2 * hits / total))
-    tied = one(mann_whitney(frame(spark, [1, 1, 2], [1, 3]), [], F.col("side"), "x", exact_small=True))
-    assert tied["p"] == pytest.approx(one(mann_whitney(frame(spark, [1, 1, 2], [1, 3]), [], F.col("side"), "x"))["p"])
+    tied = one(mann_whitney(frame(spark, [1, 1, 2], [1, 3]), [], F.col("side"), "x"))
+    assert tied["p"] == pytest.approx(one(mann_whitney(frame(spark, [1, 1, 2], [1, 3]), [], F.col("side"), "x", exact_small=False))["p"])
+
+
+def test_every_u_of_small_samples_has_its_permutation_value(spark):
+    rows, expected = [], {}
+    for m, n in ((1, 1), (1, 9), (2, 7), (8, 3), (5, 6), (8, 40)):
+        if m + n < 15:  # all arrangements
+            sums = [sum(c) - m * (m + 1) // 2 for c in itertools.combinations(range(1, m + n + 1), m)]
+            counts = {u: sums.count(u) for u in range(m * n + 1)}
+        else:  # choices of the first k ranks, one rank after the other
+            table = {(0, 0): 1}
+            for rank in range(m + n):
+                grown = dict(table)
+                for (size, total), ways in table.items():
+                    if size < m:
+                        key = (size + 1, total + rank - size)
+                        grown[key] = grown.get(key, 0) + ways
+                table = grown
+            counts = {u: table[m, u] for u in range(m * n + 1)}
+        for u in range(m * n + 1):
+            extreme = max(u, m * n - u)
+            expected[m, n, u] = min(1.0, 2 * sum(counts[x] for x in range(extreme, m * n + 1)) / sum(counts.values()))
+            rows.append((m, n, u, float(extreme)))
+    df = spark.createDataFrame(rows, "m long, n long, u long, extreme double")
+    for r in df.select("m", "n", "u", exact_u_p(F.col("extreme"), F.col("m"), F.col("n")).alias("p"), exact_u_p(F.col("extreme"), F.col("n"), F.col("m")).alias("q")).collect():
+        assert r.p == pytest.approx(expected[r.m, r.n, r.u], rel=1e-9) and r.q == pytest.approx(r.p, rel=1e-12)
+
+
+def test_a_tiny_sample_against_a_large_one_is_exact_in_the_tail(spark):
+    rows = [(True, float(i)) for i in range(-3, 0)] + [(False, float(i)) for i in range(3000)]
+    got = one(mann_whitney(spark.createDataFrame(rows, "side boolean, x double"), [], F.col("side"), "x"))
+    assert (got["method"], got["u"]) == ("exact", 0.0) and got["p"] == pytest.approx(2 / math.comb(3003, 3), rel=1e-9)
 
 
 def brute_log_rank(times, events, sides):
@@ -194,6 +225,6 @@ def test_infinite_and_undefined_values(spark):
 
 def test_method_of_small_samples(spark):
     rows = [(True, float(x)) for x in (1, 4, 6, 9, 11)] + [(False, float(x)) for x in (2, 3, 5, 12, 13, 14)]
-    small = one(mann_whitney(spark.createDataFrame(rows, "side boolean, x double"), [], F.col("side"), "x", exact_small=True))
-    tied = one(mann_whitney(spark.createDataFrame([*rows, (True, 2.0)], "side boolean, x double"), [], F.col("side"), "x", exact_small=True))
+    small = one(mann_whitney(spark.createDataFrame(rows, "side boolean, x double"), [], F.col("side"), "x"))
+    tied = one(mann_whitney(spark.createDataFrame([*rows, (True, 2.0)], "side boolean, x double"), [], F.col("side"), "x"))
     assert (small["method"], tied["method"]) == ("exact", "normal")
