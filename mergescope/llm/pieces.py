@@ -96,6 +96,7 @@ class PieceCodec:
     """Encodes and decodes one text after the other with a BPE model file of the sentencepiece library."""
 
     def __init__(self, model: bytes):
+        self.model = model
         trainer: dict[int, int | bytes] = {}
         rules: dict[int, int | bytes] = {}
         found: list[tuple[str, float, int]] = []
@@ -128,7 +129,7 @@ class PieceCodec:
         self.kinds = [k for _, _, k in found]
         text = {UNKNOWN: lambda p: unknown_text.encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:-1], 16)])}
         self.bytes_of = [text[k](p) if k in text else p.replace(BLANK, " ").encode() for p, _, k in found]
-        self.packed = {p: array("I", (i, len(p.encode()))) for p, i in self.id_of.items() if i != self.unknown}
+        self.packed = {p: array("I", (i, len(p.encode()))).tobytes() for p, i in self.id_of.items() if i != self.unknown}
         self.text_of = [str(i) for i in range(len(found))]
         own = sorted((p for p, _, k in found if k == USER_DEFINED), key=len, reverse=True)
         self.own = regex.compile("|".join(map(regex.escape, own))) if own else None
@@ -142,6 +143,10 @@ class PieceCodec:
         self.apart = apart
         self.cache: dict[str, bytes] = {}
 
+    def __reduce__(self):
+        # Sent as its file. An executor's worker keeps what is broadcast, so its cache serves one task after the other.
+        return PieceCodec, (self.model,)
+
     # Normalisation
 
     def normalised(self, data: bytes) -> tuple[bytes, np.ndarray]:
@@ -224,9 +229,10 @@ class PieceCodec:
                 if best == worst:
                     break
                 i = scores.index(best)
-                left, right = parts[i], parts.pop(i + 1)
-                parts[i] = whole = joined[left, right]
-                made[whole] = (left, right)
+                pair = parts[i], parts.pop(i + 1)
+                parts[i] = whole = joined[pair]
+                if self.unused:
+                    made[whole] = pair
                 del scores[i]
                 if i < len(scores):
                     scores[i] = score((whole, parts[i + 1]), worst)
@@ -293,14 +299,16 @@ class PieceCodec:
         """A character without a piece falls back to its bytes; the last of them has the character's width, the others none.
         Without byte fallback, neighbouring unknown pieces are one.
         """
-        pairs = array("I")
-        for piece in self._merge(stretch):
-            known = self.packed.get(piece)
-            if known is not None:
-                pairs.extend(known)
-                continue
+        pieces = self._merge(stretch)
+        try:
+            return b"".join([self.packed[p] for p in pieces])
+        except KeyError:
+            pairs: list[int] = []
+        for piece in pieces:
             data = piece.encode()
-            if self.byte_fallback:
+            if piece in self.packed:
+                pairs.extend((self.id_of[piece], len(data)))
+            elif self.byte_fallback:
                 for b in data:
                     pairs.extend((self.byte_id[b], 0))
                 pairs[-1] = len(data)
@@ -308,7 +316,7 @@ class PieceCodec:
                 pairs[-1] += len(data)
             else:
                 pairs.extend((self.unknown, len(data)))
-        return pairs.tobytes()
+        return array("I", pairs).tobytes()
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, spans): spans holds the begin and end of every piece in source bytes.
@@ -383,10 +391,10 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     Begins and ends are offsets into the text as UTF-8. A null or empty text has no pieces. Rows with equal ids each get a
     row, null ids too; other columns are ignored; an empty table gives no rows. Texts of any length are encoded whole.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(PieceCodec(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(held.value)
+        codec = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, SOURCE_ROWS):
                 part = batch.slice(at, SOURCE_ROWS)
@@ -403,10 +411,10 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
 def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of rows of ids; null ids give an empty text, repeated rows one each, an empty table none."""
-    held = encoded.sparkSession.sparkContext.broadcast(model)
+    held = encoded.sparkSession.sparkContext.broadcast(PieceCodec(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(held.value)
+        codec = held.value
         for batch in batches:
             text = pa.array([codec.decode(ids.as_py()) for ids in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["id", "text"])
@@ -423,10 +431,10 @@ def round_trip_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", te
     the checksum of the spans as little-endian 64-bit begins and ends. A null or empty text has no pieces; rows with equal
     or null ids each get a row; other columns are ignored; an empty table gives none.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(PieceCodec(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(held.value)
+        codec = held.value
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
         names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"]
         for batch in batches:
