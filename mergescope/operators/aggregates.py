@@ -32,6 +32,21 @@ def distinct_count(df: DataFrame, by: Sequence[str], column: str, alias: str) ->
     return values.groupBy(*by).agg(F.count(F.lit(1)).alias(alias))
 
 
+#: Log2 of a sketch's cells; the standard error of its estimate is about 1.04 / sqrt(cells).
+SKETCH_CELLS = 12
+
+
+def distinct_sketches(df: DataFrame, by: Sequence[str], column: str, cells: int = SKETCH_CELLS) -> DataFrame:
+    """A sketch of each group's distinct values, of fixed size; sketches of finer groups add up to those of coarser ones."""
+    return df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(column, cells).alias("sketch"))
+
+
+def sketched_count(sketches: DataFrame, by: Sequence[str], alias: str) -> DataFrame:
+    """Estimated distinct values per coarser group from stored sketches, without the rows they were made from."""
+    merged = F.hll_union_agg("sketch")
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(merged).alias(alias))
+
+
 def outcome_columns(flag: Column | None = None) -> list[Column]:
     flag = is_merged() if flag is None else flag
     return [F.count(F.lit(1)).alias("total"), F.count_if(flag).alias("merged")]
@@ -88,6 +103,24 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str], fi
     return wide
 
 
+def most_common(df: DataFrame, column: str, most: int) -> list:
+    """The most common values of a column by exact counts, at most so many; ties fall to the smaller value."""
+    return [r[0] for r in value_totals(df, column).limit(most).collect()]
+
+
+def pivot_common(df: DataFrame, row: str, column: str, most: int, unlisted: str = "Unlisted", total: str = "Total") -> DataFrame:
+    """Row counts with one column for each of the most common values, one for all others, and one for their sum.
+
+    A column's values may be very many; how wide the table gets is stated by the caller.
+    """
+    kept = df.where(all_known([row, column]))
+    values = most_common(kept, column, most)
+    rest = ~F.col(column).isin(*values) if values else F.lit(True)
+    return kept.groupBy(row).agg(
+        *[F.count_if(F.col(column) == v).alias(str(v)) for v in values], F.count_if(rest).alias(unlisted), F.count(F.lit(1)).alias(total)
+    )
+
+
 def pivot_measure(df: DataFrame, row: str, column: str, values: Sequence[str], measure: str) -> DataFrame:
     """Spread an already grouped measure, one column per listed value, NULL where a group is absent."""
     return df.groupBy(row).pivot(column, list(values)).agg(F.first(measure))

@@ -133,6 +133,20 @@ SELECT s.pr_id, s.sha, f.filename FROM s LEFT JOIN f ON s.pr_id = f.pr_id""",
     "a12_commit_holders": """
 WITH h AS (SELECT DISTINCT sha, pr_id FROM v_commits) SELECT sha, pr_id, count(*) OVER (PARTITION BY sha) AS prs FROM h""",
     "a12_prs_per_commit": "SELECT prs, count(*) AS n FROM (SELECT sha, count(DISTINCT pr_id) AS prs FROM v_commits GROUP BY sha) GROUP BY prs",
+    "s05_status_documents_read": """
+WITH d AS (SELECT *, c_custkey // 1000 AS part FROM customer), c AS (SELECT * FROM d WHERE c_nationkey % 12 <> 5),
+one AS (SELECT c_nationkey, part, CASE WHEN c_nationkey % 2 = 0 THEN count(*) ELSE least(count(*), 1) END AS k FROM c WHERE c_acctbal > 9000 GROUP BY c_nationkey, part)
+SELECT 'errors' AS list, count(DISTINCT c_name) AS n FROM c WHERE c_acctbal < -500 HAVING count(*) > 0
+UNION ALL SELECT 'not_found', CAST(sum(k) AS BIGINT) FROM one HAVING sum(k) > 0
+UNION ALL SELECT 'done_repos', count(DISTINCT c_name) FROM c WHERE c_acctbal > 0 HAVING count(*) > 0
+UNION ALL SELECT 'unreadable', count(DISTINCT (c_nationkey, part)) FROM d WHERE c_nationkey % 12 = 5 HAVING count(*) > 0""",
+    "a05_sketched_distinct": "SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS within FROM events GROUP BY event_type",
+    "a13_pivot_most_common": """
+WITH top AS (SELECT agent, count(*) AS n FROM v_prs GROUP BY agent ORDER BY n DESC, agent LIMIT 3),
+names AS (SELECT agent FROM top UNION ALL VALUES ('Unlisted'), ('Total')),
+c AS (SELECT month, CASE WHEN agent IN (SELECT agent FROM top) THEN agent ELSE 'Unlisted' END AS agent FROM v_prs),
+k AS (SELECT month, agent, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT month, 'Total', count(*) FROM c GROUP BY month)
+SELECT m.month, names.agent, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT month FROM v_prs) m CROSS JOIN names LEFT JOIN k ON k.month = m.month AND k.agent = names.agent""",
     "a13_pivot_zero_filled": f"SELECT month, {filters('agent', SIX)} FROM v_prs GROUP BY month",
     "a13_pivot_null_kept": f"""
 SELECT repo_name, {', '.join(f'nullif(count(*) FILTER (agent = {chr(39)}{a}{chr(39)}), 0) AS "{a}"' for a in AGENTS)} FROM v_prs WHERE type = 'other' GROUP BY repo_name""",

@@ -10,8 +10,8 @@ from mergescope.functions.clock import day_text, hours_between, month_text, pars
 from mergescope.functions.numeric import chi_square_p, clip, log10_scale, np_round, pct_modification, percent, ratio, stars
 from mergescope.functions.text import match_key, remove_prefix
 from mergescope.operators.aggregates import (
-    acceptance, crosstab, distinct_count, grouped_rate, period_change, pivot_counts, share, share_of_all, sum_or_zero,
-    top_k, value_totals, with_total_row, work_list,
+    SKETCH_CELLS, acceptance, crosstab, distinct_count, distinct_sketches, grouped_rate, period_change, pivot_common, pivot_counts,
+    share, share_of_all, sketched_count, sum_or_zero, top_k, value_totals, with_total_row, work_list,
 )
 from mergescope.operators.filters import closed_fixes, differs, in_window, min_size
 from mergescope.operators.joins import fan_out, first_known, keep_first, lookup, membership, outer_counts, prefixed
@@ -23,7 +23,8 @@ from mergescope.operators.sampling import matched, sample_n
 from mergescope.operators.stats import chi_square, log_rank, mann_whitney
 from mergescope.plans.reports import rounded
 from mergescope.schema import normalize_prs
-from mergescope.sources.readers import explode_status, load_table, only_values
+from mergescope.session import stored
+from mergescope.sources.readers import explode_status, load_table, only_values, status_documents, status_entries
 from mergescope.sources.sinks import compact, report, report_rows, schema_diff, write_by_source, write_csv, write_preview
 from mergescope.sources.warehouse import COMMIT_ORDER, CUTOFF, Warehouse
 from mergescope.streaming.incremental import run_folder
@@ -66,6 +67,34 @@ def status_document(w: Warehouse) -> DataFrame:
     return explode_status(document).groupBy("list").agg(n())
 
 
+def status_documents_read(w: Warehouse) -> DataFrame:
+    """Status documents of a thousand customers at most, written as JSON over several lines and read again.
+
+    Their fields drift: errors are names, or objects with a name and a reason, and a list of one is a bare name. Documents
+    of two nations are cut off and go to the side.
+    """
+    balance, name, nation = F.col("c_acctbal"), F.col("c_name"), F.col("c_nationkey")
+
+    def listed(condition: Column) -> Column:
+        return F.collect_list(F.when(condition, name))
+
+    described = F.collect_list(F.when(balance < -500, F.struct(name.alias("name"), F.lit("timeout").alias("reason"))))
+    lists = w.table("customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("part")).agg(
+        listed(balance < -500).alias("errors"), described.alias("described"), listed(balance > 9000).alias("not_found"), listed(balance > 0).alias("done_repos")
+    )
+    plain = F.to_json(F.struct("errors", "not_found", "done_repos", F.size("done_repos").alias("total_prs")), {"pretty": "true"})
+    other = F.to_json(
+        F.struct(F.col("described").alias("errors"), F.element_at(F.concat("not_found", F.array(F.lit(None).cast("string"))), 1).alias("not_found"), "done_repos"),
+        {"pretty": "true"},
+    )
+    text = F.when(nation % 12 == 5, F.substring(plain, 1, 20)).when(nation % 2 == 0, plain).otherwise(other)
+    folder = run_folder(w.spark, "status")
+    lists.select(text.alias("text"), "c_nationkey", "part").write.partitionBy("c_nationkey", "part").text(folder)
+    good, bad = status_documents(w.spark, folder)
+    counted = status_entries(good).groupBy("list").agg(n())
+    return counted.unionByName(bad.select(F.lit("unreadable").alias("list"), F.lit(1).alias("one")).groupBy("list").agg(n()))
+
+
 def csv_by_suffix(w: Warehouse) -> DataFrame:
     """The closed fixes written as CSV and read back through the suffix of their path."""
     path = f"{run_folder(w.spark, 'csv')}/fixes.csv"
@@ -382,6 +411,21 @@ def pivot_zero_filled(w: Warehouse) -> DataFrame:
     return pivot_counts(w.prs, "month", "agent", (*AGENTS, EXCLUDED_AGENT, HUMAN))
 
 
+def pivot_of_the_most_common(w: Warehouse) -> DataFrame:
+    """Rows a month for the three most common authors' groups, all others together, and the sum; one line a column."""
+    wide = pivot_common(w.prs, "month", "agent", 3)
+    return wide.unpivot("month", [c for c in wide.columns if c != "month"], "agent", "n")
+
+
+def sketched_distinct(w: Warehouse) -> DataFrame:
+    """Users per kind of event: exact, and from stored sketches of each day, within three standard errors."""
+    events = w.table("events").select("event_type", F.to_date("ts").alias("day"), "user_id")
+    daily = stored(distinct_sketches(events, ["event_type", "day"], "user_id"), "sketches")
+    both = distinct_count(events, ["event_type"], "user_id", "users").join(sketched_count(daily, ["event_type"], "estimate"), "event_type")
+    bound = 3 * 1.04 / 2 ** (SKETCH_CELLS / 2)
+    return both.select("event_type", "users", (F.abs(F.col("estimate") - F.col("users")) <= F.col("users") * bound + 1).alias("within"))
+
+
 def pivot_null_kept(w: Warehouse) -> DataFrame:
     return pivot_counts(w.prs.where("type = 'other'"), "repo_name", "agent", AGENTS, fill=None)
 
@@ -632,6 +676,9 @@ PLANS = {
     "a12_commit_holders": commit_holders,
     "a13_pivot_zero_filled": pivot_zero_filled,
     "a13_pivot_null_kept": pivot_null_kept,
+    "a13_pivot_most_common": pivot_of_the_most_common,
+    "a05_sketched_distinct": sketched_distinct,
+    "s05_status_documents_read": status_documents_read,
     "a14_crosstab_margins": crosstab_margins,
     "a15_total_row": total_row,
     "a16_conditional_counts": conditional_counts,

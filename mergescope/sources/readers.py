@@ -38,6 +38,32 @@ def status_lists(spark: SparkSession, path: str) -> DataFrame:
     return explode_status(spark.read.schema(RUN_STATUS).json(path, multiLine=True))
 
 
+def status_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((file, document variant) of the status documents under a path, (file, text) of what is no JSON object).
+
+    A document may span lines. Its fields aren't fixed: it is kept as it is, and read field by field.
+    """
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    parsed = read.withColumn("document", F.try_parse_json("text"))
+    is_object = F.coalesce(F.schema_of_variant("document").startswith("OBJECT"), F.lit(False))
+    return parsed.where(is_object).select("file", "document"), parsed.where(~is_object).select("file", "text")
+
+
+def status_entries(documents: DataFrame, lists: Sequence[str] = ("errors", "not_found", "done_repos")) -> DataFrame:
+    """(list, repo_name) of documents whose lists hold names, or objects with a name, or are one name instead of a list."""
+
+    def names(field: str) -> Column:
+        whole = F.try_variant_get("document", f"$.{field}", "array<variant>")
+        one = F.array(F.try_variant_get("document", f"$.{field}", "variant"))
+        return F.transform(
+            F.coalesce(whole, one), lambda v: F.coalesce(F.try_variant_get(v, "$.name", "string"), F.try_variant_get(v, "$", "string"))
+        )
+
+    entries = F.array(*[F.struct(F.lit(field).alias("list"), names(field).alias("names")) for field in lists])
+    found = documents.select(F.inline(entries)).select("list", F.explode("names").alias("repo_name"))
+    return found.where(F.col("repo_name").isNotNull()).distinct()
+
+
 def explode_status(document: DataFrame) -> DataFrame:
     lists = F.create_map(*[x for n in ("errors", "not_found", "done_repos") for x in (F.lit(n), F.col(n))])
     return document.select(F.explode(lists).alias("list", "names")).select("list", F.explode("names").alias("repo_name")).distinct()

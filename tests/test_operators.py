@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from mergescope.operators import sampling
 from mergescope.operators.aggregates import (
-    acceptance, crosstab, distinct_count, grouped_rate, period_change, pivot_counts, share, share_of_all, sum_or_zero, top_k, value_totals,
-    with_total_row, work_list,
+    acceptance, crosstab, distinct_count, distinct_sketches, grouped_rate, period_change, pivot_common, pivot_counts, share, share_of_all,
+    sketched_count, sum_or_zero, top_k, value_totals, with_total_row, work_list,
 )
 from mergescope.operators.filters import after_end_of, closed_fixes, differs, in_window, min_size, within_range_of
 from mergescope.operators.joins import fan_out, first_known, keep_first, lookup, membership, outer_counts, paired, rest_period, scope
@@ -225,3 +225,20 @@ def test_fractions_of_model_answers(spark):
     answers = ['{"output": "fix", "confidence": 7.5}', '{"output": "fix", "confidence": "7.5"}', '{"output": "fix", "confidence": " 7 "}']
     rows = parse_responses(spark.createDataFrame([(a,) for a in answers], "raw string"), "raw").select("confidence", "problem").collect()
     assert [tuple(r) for r in rows] == [(7, None), (None, "confidence"), (7, None)]
+
+
+def test_common_values_get_columns_and_all_others_one(spark):
+    df = spark.createDataFrame([("r", v) for v in "aaabbcd"] + [("s", "d"), ("s", None), (None, "a")], "g string, v string")
+    wide = pivot_common(df, "g", "v", 2)
+    assert wide.columns == ["g", "a", "b", "Unlisted", "Total"]
+    assert rows(wide) == [("r", 3, 2, 2, 7), ("s", 0, 0, 1, 1)]
+    assert rows(pivot_common(df.limit(0), "g", "v", 2)) == []
+
+
+def test_sketches_of_days_add_up_within_their_error(spark):
+    df = spark.range(200_000).selectExpr("id % 20 AS day", "id % 3 AS g", "id % 60000 AS user")
+    daily = distinct_sketches(df, ["g", "day"], "user")
+    assert daily.count() == 60
+    for r in sketched_count(daily, ["g"], "n").collect():
+        assert abs(r.n - 20_000) < 20_000 * 3 * 1.04 / 64
+    assert abs(sketched_count(daily, [], "n").collect()[0].n - 60_000) < 60_000 * 3 * 1.04 / 64

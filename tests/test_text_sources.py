@@ -12,7 +12,7 @@ from mergescope.schema import COMMITS, PULL_REQUESTS, conform, normalize_prs
 from mergescope.sources.gitfiles import (
     commit_patches, diff_records, last_statuses, latest, log_files, log_records, status_rows, write_git_text,
 )
-from mergescope.sources.readers import flatten_commit_files, flatten_commits, flatten_pulls, load_table, only_values, status_lists
+from mergescope.sources.readers import flatten_commit_files, flatten_commits, flatten_pulls, load_table, only_values, status_documents, status_entries, status_lists
 from mergescope.sources.sinks import (
     compact, report, report_rows, schema_diff, write_by_source, write_csv, write_parquet, write_preview, write_report,
 )
@@ -204,6 +204,19 @@ def test_status_schema_and_report(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/report").collect())[0] == "first\tg\tn\t1.0"
 
 
+def test_status_documents_may_drift_and_break(spark, tmp_path):
+    documents = {
+        "a": '{"errors": ["x/1", {"name": "x/2", "reason": "r"}],\n "done_repos": "x/3", "extra": {"deep": [1, 2]}}', "b": '{"errors": null}', "c": '{"errors": ["x',
+        "d": "[1, 2]", "e": "", "f": '{"not_found": [7, null, "x/1"], "errors": []}',
+    }
+    for name, value in documents.items():
+        (tmp_path / name).write_text(value)
+    good, bad = status_documents(spark, str(tmp_path))
+    assert rows(status_entries(good)) == [("done_repos", "x/3"), ("errors", "x/1"), ("errors", "x/2"), ("not_found", "7"), ("not_found", "x/1")]
+    assert set("cd") <= {r.file[-1] for r in bad.collect()} <= set("cde")  # an empty file may have no row
+    assert {r.file[-1] for r in good.collect()} == set("abf")
+
+
 def test_streams_equal_batch_and_resume(spark, tmp_path):
     day = "concat('2025-01-', lpad(string(1 + id % 9), 2, '0'), ' 10:00:00')"
     df = spark.range(90).selectExpr("id % 60 AS key", f"timestamp({day}) AS ts", "id % 2 = 0 AS is_merged", "if(id % 3 = 0, 'a', 'b') AS g")
