@@ -17,7 +17,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -30,6 +30,9 @@ CACHED_STRETCHES = 400_000
 LONGEST_CACHED = 64
 SHORT = 48
 SOURCE_ROWS = 256
+TOGETHER = 8192
+WORST = 1 << 40
+MOST = 1 << 62
 
 # The mark for a blank, the character for undecodable bytes, and the kinds of pieces in a model file.
 BLANK = "▁"
@@ -123,6 +126,19 @@ class PieceCodec:
         # What two parts join to, for every cut of every piece, and its score; parts are pieces or single characters.
         self.joined = {(p[:i], p[i:]): p for p in self.score for i in range(1, len(p))}
         self.pair_score = {pair: self.score[p] for pair, p in self.joined.items()}
+        # The same for many words at once: pairs of ids as sorted keys, with ranks of the scores, equal for equal ones. Only
+        # joins of whole pieces are met there. The last place is for pairs that don't join.
+        ids = {p: i for i, (p, _, k) in enumerate(found) if k in (NORMAL, UNUSED)}
+        rank = {x: i for i, x in enumerate(sorted(set(self.score.values())))}
+        table = sorted(
+            (ids[a] * len(found) + ids[b], rank[self.score[p]], ids[p]) for (a, b), p in self.joined.items() if a in ids and b in ids and p in ids
+        )
+        self.pair_key, self.pair_rank, self.pair_piece = (np.array([*x, last], np.int64) for x, last in zip(zip(*table), (MOST, WORST, -1)))
+        self.of_point = np.full(0x110000, -1, np.int64)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.of_point[ord(p)] = i
+        self.widths = np.array([len(p.encode()) for p, _, _ in found])
         self.unknown = next(i for i, (_, _, k) in enumerate(found) if k == UNKNOWN)
         self.unused = {p for p, _, k in found if k == UNUSED}
         self.byte_id = {int(p[3:-1], 16): i for i, (p, _, k) in enumerate(found) if k == BYTE}
@@ -223,21 +239,20 @@ class PieceCodec:
         made: dict[str, tuple[str, str]] = {}
         if len(parts) <= SHORT and not fixed:
             score, joined, worst = self.pair_score.get, self.joined, float("inf")
-            scores = list(map(score, zip(parts, parts[1:], strict=False), repeat(worst)))
-            while scores:
-                best = min(scores)
-                if best == worst:
-                    break
+            # A last score that never is the least spares the look at the end.
+            scores = [*map(score, zip(parts, parts[1:]), repeat(worst)), worst]
+            parts.append("")
+            while (best := min(scores)) != worst:
                 i = scores.index(best)
                 pair = parts[i], parts.pop(i + 1)
                 parts[i] = whole = joined[pair]
                 if self.unused:
                     made[whole] = pair
                 del scores[i]
-                if i < len(scores):
-                    scores[i] = score((whole, parts[i + 1]), worst)
+                scores[i] = score((whole, parts[i + 1]), worst)
                 if i:
                     scores[i - 1] = score((parts[i - 1], whole), worst)
+            parts.pop()
         else:
             following, before, queue = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1)), []
 
@@ -284,7 +299,9 @@ class PieceCodec:
         """
         found = self.cache.get(stretch)
         if found is None:
-            cuts = [i for i, pair in enumerate(zip(stretch, stretch[1:], strict=False), 1) if pair not in self.joinable] if self.apart else []
+            cuts: list[int] = []
+            if self.apart and (len(stretch) > SHORT or not stretch[1:].isalpha()):  # words are rarely worth a cut
+                cuts = [i for i, pair in enumerate(zip(stretch, stretch[1:]), 1) if pair not in self.joinable]
             if cuts:
                 found = b"".join([self._pieces(stretch[i:j]) for i, j in zip([0, *cuts], [*cuts, len(stretch)], strict=True)])
             else:
@@ -318,14 +335,92 @@ class PieceCodec:
                 pairs.extend((self.unknown, len(data)))
         return array("I", pairs).tobytes()
 
+    def _learn(self, stretches: set[str]) -> None:
+        """Take new stretches into the cache, all short ones without unknown characters at once."""
+        new: list[str] = []
+        for stretch in stretches:
+            if stretch[1:].isalpha():
+                new.append(stretch)
+            else:
+                cuts = [i for i, pair in enumerate(zip(stretch, stretch[1:]), 1) if pair not in self.joinable]
+                new.extend(stretch[i:j] for i, j in zip([0, *cuts], [*cuts, len(stretch)]))
+        new = [x for x in set(new) if 1 < len(x) <= SHORT and x not in self.cache]
+        if len(self.cache) + len(new) + len(stretches) >= CACHED_STRETCHES:
+            self.cache.clear()
+        for longest in (6, 9, 12, 16, 24, SHORT):
+            these, new = [x for x in new if len(x) <= longest], [x for x in new if len(x) > longest]
+            for at in range(0, len(these), TOGETHER):
+                self._merge_many(these[at : at + TOGETHER])
+
+    def _merge_many(self, words: list[str]) -> None:
+        """`_merge` for many short words at once, each a row of symbols; words with unknown characters are left out.
+
+        Of every row the least score is joined, the leftmost of equals first. A symbol that goes into its left neighbour is
+        left where it is and passed over: every symbol knows its neighbours' places.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        size = int(lengths.max())
+        points = np.frombuffer("".join([w.ljust(size, "\0") for w in words]).encode("utf-32-le"), np.uint32).reshape(-1, size)
+        inside = np.arange(size) < lengths[:, None]
+        symbol = np.where(inside, self.of_point[points], -1)
+        known = ((symbol >= 0) | ~inside).all(1)
+        words = [w for w, k in zip(words, known.tolist()) if k]
+        symbol, lengths, inside = symbol[known], lengths[known], inside[known]
+        n = len(words)
+        if not n:
+            return
+        after = np.where(np.arange(1, size + 1) < lengths[:, None], np.arange(1, size + 1), -1)
+        before = np.tile(np.arange(-1, size - 1), (n, 1))
+        pair = np.full((n, size), -1, np.int64)
+        row, at = np.nonzero(after >= 0)
+        pair[row, at] = self._pair_at(symbol[row, at], symbol[row, at + 1])
+        score = self.pair_rank[pair]
+        active = np.arange(n)
+        while len(active):
+            best = score[active].argmin(1)
+            open_ = score[active, best] < WORST
+            active, best = active[open_], best[open_]
+            right = after[active, best]
+            symbol[active, best] = self.pair_piece[pair[active, best]]
+            symbol[active, right], score[active, right] = -1, WORST
+            following = after[active, right]
+            after[active, best] = following
+            here = following >= 0
+            before[active[here], following[here]] = best[here]
+            for first, second, some in ((best, following, here), (before[active, best], best, before[active, best] >= 0)):
+                score[active[~some & (first == best)], best[~some & (first == best)]] = WORST
+                rows, a, b = active[some], first[some], second[some]
+                pair[rows, a] = found = self._pair_at(symbol[rows, a], symbol[rows, b])
+                score[rows, a] = self.pair_rank[found]
+        row, at = np.nonzero(symbol >= 0)
+        ids = symbol[row, at]
+        pairs = np.stack([ids, self.widths[ids]], 1).astype(np.uint32).tobytes()
+        ends = (np.cumsum(np.bincount(row, minlength=n)) * 8).tolist()
+        self.cache.update(zip(words, [pairs[a:b] for a, b in zip([0, *ends[:-1]], ends)]))
+
+    def _pair_at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs of pieces in the table of joins, that of nothing where a pair doesn't join."""
+        key = left * len(self.kinds) + right
+        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where(self.pair_key[at] == key, at, -1)
+
+    def encode_many(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`encode` of some texts, whose new stretches are merged together."""
+        normals = [self.normalised((text or "").encode()) for text in texts]
+        cut = [self.stretches(normal.decode()) for normal, _ in normals]
+        if not (self.own or self.unused) and self.apart:
+            self._learn(set(chain.from_iterable(cut)).difference(self.cache))
+        return [self._spanned(stretches, origin) for stretches, (_, origin) in zip(cut, normals)]
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, spans): spans holds the begin and end of every piece in source bytes.
 
         A byte that is not the last of its character has an empty span at the character's begin. A null text has no pieces.
         """
-        data = (text or "").encode()
-        normal, origin = self.normalised(data)
-        stretches = self.stretches(normal.decode())
+        normal, origin = self.normalised((text or "").encode())
+        return self._spanned(self.stretches(normal.decode()), origin)
+
+    def _spanned(self, stretches: list[str], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = list(map(self.cache.get, stretches))
         if None in found:
             found = [self._pieces(x) if f is None else f for x, f in zip(stretches, found, strict=True)]
@@ -398,7 +493,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, SOURCE_ROWS):
                 part = batch.slice(at, SOURCE_ROWS)
-                found = [codec.encode(text.as_py()) for text in part.column(1)]
+                found = codec.encode_many(part.column(1).to_pylist())
                 columns = [[f[0] for f in found], [f[1][:, 0] for f in found], [f[1][:, 1] for f in found]]
                 kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -440,8 +535,7 @@ def round_trip_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", te
         for batch in batches:
             for at in range(0, batch.num_rows, SOURCE_ROWS):
                 part, found = batch.slice(at, SOURCE_ROWS), []
-                for text in part.column(1):
-                    numbers, spans = codec.encode(text.as_py())
+                for numbers, spans in codec.encode_many(part.column(1).to_pylist()):
                     ids = numbers.tolist()
                     listed = ",".join(map(codec.text_of.__getitem__, ids))
                     shown = (hashlib.sha256(x.encode()).hexdigest() for x in (listed, codec.decode(ids)))

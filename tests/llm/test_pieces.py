@@ -88,6 +88,9 @@ def test_ids_spans_and_texts_equal_the_library(name):
         assert ids.tolist() == library.encode(text), repr(text)
         assert list(map(tuple, spans.tolist())) == library_spans(library, text), repr(text)
         assert codec.decode(ids.tolist()) == library.decode(ids.tolist()), repr(text)
+    together = pieces.PieceCodec(model).encode_many(odd_texts(1500))
+    for text, (ids, spans) in zip(odd_texts(1500), together, strict=True):
+        assert ids.tolist() == library.encode(text) and list(map(tuple, spans.tolist())) == library_spans(library, text), repr(text)
 
 
 def test_any_ids_decode_as_in_the_library():
