@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from mergescope.llm.common import shuffle_tasks, spread
-from mergescope.llm.tokens import WordTokenizer
+from mergescope.llm.tokens import SharedTokenizer
 
 SEQUENCE = 2048
 DOCUMENT_END = 1
@@ -102,10 +102,10 @@ def token_pieces(
     A null text counts as empty; every document ends with one more token, so an empty one has that alone. ids are
     unsigned 32-bit little-endian numbers. `tokenizer_json` is the vocabulary's content, sent to the executors once.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(SharedTokenizer(tokenizer_json))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(vocabulary.value)
+        encode = vocabulary.value.get()
         end = np.array([DOCUMENT_END], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, SOURCE_BATCH):

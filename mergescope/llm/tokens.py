@@ -10,7 +10,8 @@ import regex
 
 from mergescope.llm.bpe import byte_letters
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
+CACHED_PARTS = 60_000
 LONGEST_CACHED = 64
 
 
@@ -46,7 +47,7 @@ class WordTokenizer:
         if found is None:
             letters = part if part.isascii() and part.isprintable() else "".join(map(self.letter.__getitem__, part.encode("utf-8")))
             found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            if len(self.parts) >= CACHED_WORDS:
+            if len(self.parts) >= CACHED_PARTS:
                 self.parts.clear()
             if len(part) <= LONGEST_CACHED:
                 self.parts[part] = found
@@ -95,3 +96,22 @@ class WordTokenizer:
             for word in [w for w in words if len(w) > LONGEST_CACHED]:
                 del self.cache[plain][word]
         return out
+
+
+class SharedTokenizer:
+    """A tokenizer that is sent as its file and made once in each worker.
+
+    Workers keep what is broadcast, so one tokenizer and one bounded cache serve all tasks of a worker, instead of a new one
+    beside what is left of the last one's.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        self.spec, self.made = tokenizer_json, None
+
+    def __getstate__(self) -> dict:
+        return {"spec": self.spec, "made": None}
+
+    def get(self) -> WordTokenizer:
+        if self.made is None:
+            self.made = WordTokenizer(self.spec)
+        return self.made
