@@ -3,6 +3,10 @@
 Every stage works on all that its predecessor wrote, and all but the last return the columns of `documents`: quality rules
 reject documents, repeated lines are cut out, one document of each group of near copies stays, secrets are masked, and
 what is left is packed into sequences.
+
+A null text is an empty one: the rules reject it. Rows that repeat an id are kept or dropped together by near-copy dedup
+and treated each for itself elsewhere, but for the numbers of repeated lines, which rows of an id share; null ids stay.
+Columns beyond those of `documents`, whatever their names, are carried up to packing. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -19,9 +23,8 @@ from mergescope.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Near copies: a Jaccard similarity of five-word shingles of 0.8 and more, decided by the shingles. Two fingerprints of 64
-#: bits differ by 19 of 128 bits there on average; those within 40 go on to that test.
-NEAR_COPIES = {"words": 5, "tables": 2, "total": 40, "jaccard": 0.8}
+#: Near copies: the SimHash operator's own shingle length and bit distance; the distance alone decides.
+NEAR_COPIES = {"words": 3, "distance": 2}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +65,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; what is between two stages is written and read again."""
+    """All stages over the documents of a folder; what is between two stages is written and read again.
+
+    No documents, no pieces. Clashing names, nulls and repeated rows: see the module's first lines.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared_folder(spark)}/pipeline/{name}-{uuid4().hex}"

@@ -6,7 +6,6 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from mergescope.llm import common, embed_dedup, line_dedup, simhash
 from tests.llm.samples import SCHEMA, documents, prose, texts, with_odd_columns
 
@@ -68,7 +67,8 @@ def test_simhash_drops_copies_and_keeps_the_rest(spark):
 
 
 def test_near_copies_equal_brute_force_jaccard(spark):
-    rng, rows, words = random.Random(12), [], corpus_pipeline.NEAR_COPIES["words"]
+    by_shingles = {"words": 5, "tables": 2, "total": 40, "jaccard": 0.8}
+    rng, rows, words = random.Random(12), [], by_shingles["words"]
     for k in range(60):  # similarities around 0.8, 0.85 and 0.9, by words changed at the end and in the middle
         base = [str(rng.randrange(10**6)) for _ in range(rng.choice([60, 104, 404]))]
         gone = round((len(base) - 4) * (0.11, 0.08, 0.05)[k % 3]) + rng.randrange(-1, 2)
@@ -79,7 +79,7 @@ def test_near_copies_equal_brute_force_jaccard(spark):
     sets = {i: frozenset(simhash.shingles_of(t, words)) for i, t in rows}
     linked = {i: [j for j in sets if sets[i] == sets[j] or sets[i] and sets[j] and line_dedup.similarity(sets[i], sets[j]) >= 0.8] for i in sets}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, **corpus_pipeline.NEAR_COPIES).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, **by_shingles).collect()}
     assert found == smallest_reachable(sets, linked)
     assert sum(found[2 * k + 1] == 2 * k for k in range(60)) >= 40
 

@@ -3,7 +3,7 @@ import zlib
 import corpus_pipeline
 from mergescope.llm import line_dedup, packing, quality, simhash
 from mergescope.llm.queries import QUERIES, SQL, vocabulary
-from tests.llm.samples import documents
+from tests.llm.samples import documents, with_odd_columns
 
 
 def test_stages_take_each_others_rows(spark, tmp_path):
@@ -35,6 +35,27 @@ def test_stages_are_their_operators(spark):
     assert stages["packing"](spark, docs, "").count() == packing.op1_packing(docs, vocabulary("word_bpe_49k.json")).count()
 
 
+def test_near_copies_are_the_simhash_query_s(spark):
+    docs = documents(spark)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    same = simhash.simhash_groups(docs).where("doc_id = component_id")
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == {r.doc_id for r in same.collect()}
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs = with_odd_columns(documents(spark))
+    for name, table in (("none", docs.where("false")), ("some", docs)):
+        ids = {r.doc_id for r in table.collect()}
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            path = str(tmp_path / f"{name}-{stage}")
+            run(spark, table, "").write.parquet(path)
+            table = spark.read.parquet(path)
+            assert table.columns == docs.columns and {r.doc_id for r in table.collect()} <= ids
+        pieces = dict(corpus_pipeline.STAGES)["packing"](spark, table, "")
+        assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in table.collect()}
+        assert (pieces.count() == 0) == (name == "none")
+
+
 def test_all_operators_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(SQL) <= set(QUERIES)
