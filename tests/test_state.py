@@ -67,3 +67,23 @@ def test_files_are_read_one_a_step_across_a_stop(spark, tmp_path):
         assert append_to(stream, out).count() == 400 * (half + 1)
     assert append_to(stream, out).select("id").distinct().count() == 800
     assert len([n for n in os.listdir(f"{out}/progress/commits") if n.isdigit()]) == 8
+
+
+def test_many_keys_of_a_bucket_are_corrected_and_expire_each_for_itself(spark, tmp_path):
+    source, out, big, schema = f"{tmp_path}/in", f"{tmp_path}/out", 2**60 + 1, "k long, ts timestamp, rank int, v long"
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        changes = corrections(stream, ["k"], "rank", "ts", "3 days", buckets=2)
+        assert changes.schema.simpleString() == "struct<k:bigint,ts:timestamp,rank:int,v:bigint>"
+        return append_with_state(changes, out)
+
+    arrive(spark, source, [(big + i, day(1, 1 + i % 9), 1, big if i % 3 else None) for i in range(300)] + [(None, day(1, 2), 1, 5)], schema)
+    first = [(big + i, 1, big if i % 3 else None) for i in range(300)] + [(None, 1, 5)]
+    order = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(tuple, run().select("k", "rank", "v").collect()), key=order) == sorted(first, key=order)
+    # Keys of the first five days are no longer held: they come as first rows again, others as corrections if they are better.
+    arrive(spark, source, [(big + i, day(1, 9), 2, i) for i in range(300)] + [(big + i, day(1, 9), 0, -i) for i in range(300, 302)], schema)
+    gone = [i for i in range(300) if 1 + i % 9 + 3 < 6]
+    second = first + [(big + i, 2, i) for i in gone] + [(big + i, 0, -i) for i in (300, 301)]
+    assert sorted(map(tuple, run().select("k", "rank", "v").collect()), key=order) == sorted(second, key=order)
