@@ -163,22 +163,22 @@ def build_details(
 ) -> DataFrame:
     """Commit detail rows: files with status and patch, commit totals, one row per pull request holding the commit.
 
-    commits: (at, sha, author, committer, message), files: (sha, filename, additions, deletions), statuses: (sha, filename,
-    status), patches: (at, sha, filename, patch), each with one row per key. `at` tells a row's place in what it was read
-    from. Everything is put together without text, by places; the message and the patch of a place are each joined once, at
-    the end.
+    commits: (sha, author, committer, message), files: (sha, filename, additions, deletions), statuses: (sha, filename,
+    status), patches: (sha, filename, patch), each with one row per key. Rows get their message and their patch before they
+    are repeated for the pull requests, so a text is shuffled once or twice, not once for every holder of its commit.
     """
     totals = files.groupBy("sha").agg(
         F.sum("additions").alias("commit_stats_additions"), F.sum("deletions").alias("commit_stats_deletions")
     )
-    described = files.join(statuses.select("sha", "filename", "status"), ["sha", "filename"], "left").withColumn(
-        "status", F.coalesce("status", F.lit(DEFAULT_STATUS))
-    )
-    if patches is not None:
-        places = patches.select("sha", "filename", F.col("at").alias("patch_at"))
-        described = described.join(places, ["sha", "filename"], "left")
-    narrow = (
-        commits.select("sha", F.col("at").alias("commit_at"))
+    described = files.select("sha", "filename", "additions", "deletions").join(
+        statuses.select("sha", "filename", "status"), ["sha", "filename"], "left"
+    ).withColumn("status", F.coalesce("status", F.lit(DEFAULT_STATUS)))
+    if patches is None:
+        described = described.withColumn("patch", F.lit(None).cast("string"))
+    else:
+        described = described.join(patches.select("sha", "filename", "patch"), ["sha", "filename"], "left")
+    whole = (
+        commits.select("sha", "author", "committer", "message")
         .join(totals, "sha", "left")
         .join(described, "sha", "left")
         .na.fill(0, ["commit_stats_additions", "commit_stats_deletions"])
@@ -190,9 +190,4 @@ def build_details(
             }
         )
     )
-    held = fan_out(narrow, holders)
-    texts = commits.select(F.col("at").alias("commit_at"), "author", "committer", "message")
-    held = held.join(texts, "commit_at").drop("commit_at")
-    if patches is None:
-        return held.withColumn("patch", F.lit(None).cast("string"))
-    return held.join(patches.select(F.col("at").alias("patch_at"), "patch"), "patch_at", "left").drop("patch_at")
+    return fan_out(whole, holders)

@@ -15,9 +15,9 @@ from mergescope.operators.labelling import (
     attribute, classify_table, fixes_with_commits, label_by_title, label_incremental, parse_responses, validate_responses,
 )
 from mergescope.operators.ranking import sha_batches
-from mergescope.session import shared_folder
+from mergescope.session import shared_folder, stored
 from mergescope.sources.gitfiles import (
-    commit_patches, diff_records, last_statuses, latest, log_files, log_records, status_rows, write_git_text,
+    commit_patches, diff_records, last_statuses, latest, log_files, log_records, read_tasks, status_rows, write_git_text,
 )
 from mergescope.sources.readers import flatten_commit_files, flatten_commits, flatten_pulls
 from mergescope.sources.warehouse import COMMIT_ORDER, Warehouse
@@ -127,15 +127,14 @@ def _sha(part: str, supplier: str) -> Column:
     return F.sha1(F.concat_ws("-", F.col(part).cast("string"), F.col(supplier).cast("string")))
 
 
-def _git_rows(w: Warehouse) -> DataFrame:
-    """What an order line adds to its repository's log, status list and diff.
+def _git_lines(w: Warehouse) -> DataFrame:
+    """Order lines as entries of their repository's log, status list and diff, without the texts.
 
     A third of the suppliers have logs of their own by tens, all others share one, which so holds most of the table. A pair
     of part and supplier is a commit, and comes back in its log with every order of that pair.
     """
-    text = w.table("lineitem").select(
+    return w.table("lineitem").select(
         F.col("l_orderkey").alias("pr_id"),
-        _sha("l_partkey", "l_suppkey").alias("sha"),
         F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey") % 10).otherwise(10).cast("int").alias("repo"),
         F.concat(F.lit("src/"), F.col("l_linenumber").cast("string"), F.lit(".py")).alias("file"),
         F.col("l_quantity").cast("long").cast("string").alias("add"),
@@ -143,44 +142,50 @@ def _git_rows(w: Warehouse) -> DataFrame:
         *LINE[1:],
         "l_returnflag",
     )
+
+
+def _git_texts() -> dict[str, Column]:
+    """What a line adds to each kind of git text, from the columns of `_git_lines`."""
+    sha = _sha("l_partkey", "l_suppkey")
     numstat = F.concat(
         F.lit("\n\n"), F.col("add"), F.lit("\t"), F.col("del"), F.lit("\t"), F.col("file"), F.lit("\n-\t-\tlogo.png\nnot a numstat line")
     )
     listed = F.when(F.col("l_tax") > 0, numstat).otherwise("")
     log = F.concat(
-        F.lit(COMMIT_MARK + "\n"), F.col("sha"), F.lit("\nName "), F.col("l_suppkey").cast("string"), F.lit("\nBot\nFix line\n\nbody of "),
+        F.lit(COMMIT_MARK + "\n"), sha, F.lit("\nName "), F.col("l_suppkey").cast("string"), F.lit("\nBot\nFix line\n\nbody of "),
         F.col("file"), F.lit("\n" + MESSAGE_END), listed,
     )
     # Lines without a header of their own belong to the commit above them.
     status = F.when(
-        F.col("l_tax") > 0, F.concat(F.col("sha"), F.lit("\n\n"), F.col("l_returnflag"), F.lit("\t"), F.col("file"), F.lit("\nM100\tlogo.png"))
+        F.col("l_tax") > 0, F.concat(sha, F.lit("\n\n"), F.col("l_returnflag"), F.lit("\t"), F.col("file"), F.lit("\nM100\tlogo.png"))
     ).otherwise(F.concat(F.lit("T\textra.txt\nD\t"), F.col("file")))
     diff = F.concat(
         F.lit("diff --git a/"), F.col("file"), F.lit(" b/"), F.col("file"), F.lit("\n--- a\n+++ b\n@@\n+"), F.repeat(F.lit("x"), F.col("add").cast("int")),
         F.lit("\ndiff --git a/logo.png b/logo.png\nBinary files differ"),
     )
-    marked = F.concat(F.lit(COMMIT_MARK + "\n"), F.col("sha"), F.lit("\n\n"), diff)
-    return text.select(*LINE, "repo", "sha", log.alias("log"), status.alias("status"), diff.alias("diff"), marked.alias("marked"))
+    marked = F.concat(F.lit(COMMIT_MARK + "\n"), sha, F.lit("\n\n"), diff)
+    return {"log": log, "status": status, "diff": diff, "marked": marked}
 
 
 def _git_files(w: Warehouse, kind: str) -> str:
     """Folder of the files of one kind of git text, a folder for each repository."""
     path = f"{shared_folder(w.spark)}/runs/git-{kind}-{uuid4().hex}"
-    write_git_text(_git_rows(w), kind, path, "repo", LINE)
+    write_git_text(_git_lines(w), _git_texts()[kind], path, "repo", LINE)
     return path
 
 
 def numstat_totals(w: Warehouse) -> DataFrame:
     """Changes per file over the last entry of every commit."""
-    records = log_records(w.spark, _git_files(w, "log"))
-    last = records.groupBy("log", "sha").agg(F.max("at").alias("at"))
-    return log_files(records).join(last.select("at"), "at", "left_semi").groupBy("filename").agg(
+    path = _git_files(w, "log")
+    last = latest(log_records(w.spark, path), ["log", "sha"], read_tasks(w.spark, path))
+    return log_files(last).groupBy("filename").agg(
         F.count(F.lit(1)).alias("n"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
     )
 
 
 def log_headers(w: Warehouse) -> DataFrame:
-    commits = latest(log_records(w.spark, _git_files(w, "log")), ["log", "sha"])
+    path = _git_files(w, "log")
+    commits = latest(log_records(w.spark, path), ["log", "sha"], read_tasks(w.spark, path))
     return commits.groupBy("author", "committer", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -191,7 +196,8 @@ def status_words(w: Warehouse) -> DataFrame:
 
 def patch_sizes(w: Warehouse) -> DataFrame:
     """Sizes of the last patch of every commit's files, those above a cap left out."""
-    patches = latest(commit_patches(w.spark, _git_files(w, "marked"), cap=50), ["log", "sha", "filename"])
+    path = _git_files(w, "marked")
+    patches = latest(commit_patches(w.spark, path, cap=50), ["log", "sha", "filename"], read_tasks(w.spark, path))
     return patches.groupBy("filename").agg(
         F.count(F.lit(1)).alias("n"), F.count("patch").alias("kept"), F.sum(F.octet_length("patch")).alias("bytes")
     )
@@ -206,10 +212,13 @@ def whole_patch_sizes(w: Warehouse) -> DataFrame:
 
 def commit_details(w: Warehouse) -> DataFrame:
     """Detail rows rebuilt from git text, summed per file status."""
-    commits = latest(log_records(w.spark, _git_files(w, "log")), ["sha"])
+    log, marked = _git_files(w, "log"), _git_files(w, "marked")
+    # The commits' files are read from them twice.
+    commits = stored(latest(log_records(w.spark, log), ["sha"], read_tasks(w.spark, log)), "commits")
     statuses = last_statuses(status_rows(w.spark, _git_files(w, "status")), ["sha", "filename"])
-    patches = latest(commit_patches(w.spark, _git_files(w, "marked")), ["sha", "filename"])
-    details = build_details(commits, log_files(commits), statuses, patches, _git_rows(w).select("sha", "pr_id"))
+    patches = latest(commit_patches(w.spark, marked), ["sha", "filename"], read_tasks(w.spark, marked))
+    holders = _git_lines(w).select(_sha("l_partkey", "l_suppkey").alias("sha"), "pr_id")
+    details = build_details(commits, log_files(commits), statuses, patches, holders)
     return details.groupBy("filename", "status").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("pr_id").alias("prs"), F.sum("changes").alias("changes"),
         F.sum("commit_stats_total").alias("commit_total"), F.sum(F.octet_length("patch")).alias("patch_bytes"),

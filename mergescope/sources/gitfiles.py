@@ -3,10 +3,12 @@
 A file is cut into byte ranges, and the reader of a range goes on to the end of its last record, so records are whole
 wherever the edges fall. Logs and diffs are read record by record, by the mark that opens one. Status lists are read line
 by line; a line belongs to the last header above it, which may stand in an earlier range: every range fills its own lines
-on, and the lines above its first header take the last header of the ranges before it.
+on, and the lines above its first header take the last header of the ranges before it, in its file or, in a log's folder,
+in the log's files before it.
 
-Every row carries `at`, its place: file, first byte of its range, and number of the row. Places order the rows of a file,
-and stand for a row's text where rows are compared, so no text takes part in a shuffle before it is known to be needed.
+Every row carries `at`, its place: file, first byte of its range, and number of the row. Places order the rows of a file.
+Text is written after the shuffle that puts a log in order, from the columns it is made of, and is shuffled once where the
+last rows of keys are looked for. The tasks of both grow with the input, so that a task's memory does not.
 """
 
 from __future__ import annotations
@@ -27,35 +29,52 @@ from mergescope.operators.gittext import COMMIT_MARK, is_log_entry, is_patch, lo
 # What runs in executors travels with its task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows that one task puts in order and writes, about.
+ROWS_A_TASK = 500_000
+
 HEADER = r"^\s*([0-9a-f]{40})"
 
 
-def write_git_text(df: DataFrame, text: str, path: str, log: str, order: Sequence[str]) -> None:
+def write_git_text(df: DataFrame, text: str | Column, path: str, log: str, order: Sequence[str]) -> None:
     """Write one folder per log with its texts in the stated order, over as many files as the log needs.
 
     Rows are dealt out by ranges of (log, order), so a log that holds much of the table is written by many tasks; the names
-    of its files rise in its order. A newline closes every text.
+    of its files rise in its order. A newline closes every text. A text given as an expression is made after rows are dealt
+    out, so its columns are shuffled in its place.
     """
-    rows = df.select(F.col(text).alias("text"), F.col(log).alias("log"), *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)])
-    keys = ["log", *[f"order_{i}" for i in range(len(order))]]
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("text", "log").write.partitionBy("log").text(path)
+    keys = [log, *order]
+    parts = -(-df.count() // ROWS_A_TASK)
+    many = [parts] if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    rows = df.repartitionByRange(*many, *keys).sortWithinPartitions(*keys)
+    text = F.col(text) if isinstance(text, str) else text
+    rows.select(text.alias("text"), F.col(log).alias("log")).write.partitionBy("log").text(path)
+
+
+def read_tasks(spark: SparkSession, path: str) -> int:
+    """Tasks to shuffle the text of a path with: as many as read it, or as the session's settings name, if more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.read.text(path).rdd.getNumPartitions())
 
 
 def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """(log, at, text) of the records of all files under a path, by the text that separates them."""
     read = spark.read.option("lineSep", separator).text(path)
+    # The files' common folder says nothing and would be in every row.
+    folder = path.rstrip("/").rsplit("/", 1)[-1]
+    file = F.col("_metadata.file_path")
+    at = F.instr(file, folder)
     place = F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
+        F.when(at > 0, F.substr(file, at + F.lit(len(folder)))).otherwise(file).alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"),
     )
     log = F.col("log") if "log" in read.columns else F.lit(None).cast("int")
     return read.select(log.alias("log"), place.alias("at"), F.col("value").alias("text"))
 
 
-def latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of the rows with the same key that of the last place: keys and places are compared, then the row is joined once."""
-    last = rows.groupBy(*keys).agg(F.max("at").alias("at"))
-    return rows.join(last.select("at"), "at", "left_semi")
+def latest(rows: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """Of the rows with the same key that of the last place, looked for by so many tasks; see `read_tasks`."""
+    dealt = rows if tasks is None else rows.repartition(tasks, *keys)
+    from_last = Window.partitionBy(*keys).orderBy(F.desc("at"))
+    return dealt.withColumn("place__", F.row_number().over(from_last)).where("place__ = 1").drop("place__")
 
 
 def log_records(spark: SparkSession, path: str) -> DataFrame:
@@ -93,14 +112,17 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def status_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(log, at, sha, filename, letter) of every line of the status lists; lines above a file's first header are left out."""
+    """(log, at, sha, filename, letter) of every line of the status lists; lines above the first header of a log, or of a file
+    outside of logs' folders, are left out."""
     lines = _records(spark, path, "\n")
     sha = F.nullif(F.regexp_extract("text", HEADER, 1), F.lit(""))
     marked = lines.select("log", "at", sha.alias("header"), "text").where(F.col("header").isNotNull() | F.contains("text", F.lit("\t")))
     # What ranges hand on: their last header; one row a range, so a file's rows are few.
     last = marked.where("header IS NOT NULL").groupBy("at.file", "at.start").agg(F.max_by("header", "at.row").alias("header"))
-    ranges = marked.select("at.file", "at.start").distinct().join(last, ["file", "start"], "left")
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = marked.select("log", "at.file", "at.start").distinct().join(last, ["file", "start"], "left")
+    # The files of one log go on from each other, in the order of their names.
+    one = F.when(F.col("log").isNull(), F.col("file"))
+    before = Window.partitionBy("log", one).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     handed = ranges.select("file", "start", F.last("header", ignorenulls=True).over(before).alias("handed"))
     flat = marked.select("at.file", "at.start", "at.row", "header", F.col("header").isNotNull().alias("is_header"), "log", "text")
     filled = flat.mapInArrow(_filled, flat.schema).where("NOT is_header").drop("is_header")

@@ -10,7 +10,7 @@ from mergescope.operators.gittext import (
 )
 from mergescope.schema import COMMITS, PULL_REQUESTS, conform, normalize_prs
 from mergescope.sources.gitfiles import (
-    commit_patches, diff_records, last_statuses, latest, log_files, log_records, status_rows, write_git_text,
+    commit_patches, diff_records, last_statuses, latest, log_files, log_records, read_tasks, status_rows, write_git_text,
 )
 from mergescope.sources.readers import flatten_commit_files, flatten_commits, flatten_pulls, load_table, only_values, status_documents, status_entries, status_lists
 from mergescope.sources.sinks import (
@@ -128,6 +128,37 @@ def test_one_log_is_written_and_read_by_many_tasks(spark, tmp_path):
     assert sorted(r.message for r in last.collect()) == sorted(f"no {i}" for i in range(3000, 4000))
 
 
+def test_a_log_goes_on_from_file_to_file(spark, tmp_path):
+    for log, files in {"log=1": [f"M\tlost\n{A}\nA\tx.py\n", "D\ty.py\n", f"T\tz.py\n{B}\nM\tx.py\n"], "log=2": ["D\tnone.py\n"]}.items():
+        (tmp_path / "lists" / log).mkdir(parents=True)
+        for i, value in enumerate(files):
+            (tmp_path / "lists" / log / f"part-{i}.txt").write_text(value)
+    found = status_rows(spark, f"{tmp_path}/lists").select("log", "sha", "filename", "letter")
+    assert rows(found) == [(1, A, "x.py", "A"), (1, A, "y.py", "D"), (1, A, "z.py", "T"), (1, B, "x.py", "M")]
+
+
+def test_text_is_made_after_rows_are_dealt_out_and_shuffled_by_as_many_tasks_as_read_it(spark, tmp_path, small_ranges, monkeypatch):
+    monkeypatch.setattr("mergescope.sources.gitfiles.ROWS_A_TASK", 100)
+    mark = F.concat(F.lit(COMMIT_MARK + "\n"), F.sha1(F.concat(F.col("id") % 70, F.lit(""))), F.concat(F.lit("\nAnn\nBot\nno "), "id", F.lit(f"\n{MESSAGE_END}\n1\t0\tf")))
+    write_git_text(spark.range(900).withColumn("repo", F.lit(0)), mark, f"{tmp_path}/logs", "repo", ["id"])
+    assert len(spark.read.text(f"{tmp_path}/logs").inputFiles()) > 4  # more than the session's shuffle partitions
+    small_ranges(4000)
+    tasks = read_tasks(spark, f"{tmp_path}/logs")
+    assert tasks > 9
+    last = latest(log_records(spark, f"{tmp_path}/logs"), ["log", "sha"], tasks)
+    assert sorted(r.message for r in last.collect()) == sorted(f"no {i}" for i in range(830, 900))
+    assert f", {tasks})" in plan_of(last) and last.rdd.getNumPartitions() == tasks
+
+
+def test_texts_are_joined_before_rows_are_repeated_for_their_holders(spark):
+    commits = spark.createDataFrame([(A, "Ann", "Bot", "m")], "sha string, author string, committer string, message string")
+    files = spark.createDataFrame([(A, "f", 1, 2)], "sha string, filename string, additions long, deletions long")
+    statuses = spark.createDataFrame([(A, "f", "added")], "sha string, filename string, status string")
+    patches = spark.createDataFrame([(A, "f", "@@")], "sha string, filename string, patch string")
+    built = build_details(commits, files, statuses, patches, spark.createDataFrame([(A, 1), (A, 2)], "sha string, pr_id long"))
+    assert rows(built, "sha", "pr_id", "message", "patch") == [(A, 1, "m", "@@"), (A, 2, "m", "@@")]
+
+
 def test_empty_git_files(spark, tmp_path):
     (tmp_path / "none").write_text("")
     path = str(tmp_path / "none")
