@@ -3,8 +3,9 @@
 Lines are compared by the Jaccard similarity of their character shingles. Signatures are banded so that lines at the
 threshold share a band with a probability over 0.99; lines that share one, and enough of eight further bytes of their
 signatures, are candidates of each other. Candidates are gathered by the connected component of these pairs, verified
-there by their exact similarity, and the verified links go through a distributed union-find. The first occurrence of each
-component stays.
+there by their exact similarity, and the verified links go through a distributed union-find. Of very large components, what
+a portion of the lines leaves apart is verified band by band, each band giving no more links than it has lines. The first
+occurrence of each component stays.
 
 Lines are compared in lower-case A-Z with white space runs as one blank. A line is named by a 64-bit hash of that form.
 """
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergescope.llm.common import checkpointed, connected_components, shuffle_tasks
+from mergescope.llm.common import checkpointed, connected_components, shuffle_tasks, spread
 from mergescope.session import stored
 
 SHINGLE = 5
@@ -30,10 +31,13 @@ CHECKS, CHECKED = 8, 3
 BUCKETS_PER_TASK = 2
 SIMILARITY = 0.8
 ROUNDS = 12
-CHARS_AT_ONCE = 1 << 19
-#: Candidates verified together. Larger groups are dealt out first, the first lines left of them meet block by block, and
-#: what then is still apart, but shares a band, is compared pair by pair.
+CHARS_AT_ONCE = 1 << 16
+#: Candidates verified together. Larger groups are dealt out first, and what then is still apart, but shares a band, meets
+#: there. Its shingles are hashed for so many lines at once.
 TOGETHER = 1024
+SLOT_BITS, LINES_AT_ONCE = 20, 1024
+#: Bits of a hash in the bitmap that keeps lines without candidates out of the shuffle of texts; it takes 8 MB.
+FILTER_BITS = 26
 FEW = 16
 COLUMNS_AT_ONCE = 4096
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -60,18 +64,24 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def rolled_shingles(lines: list[str]) -> tuple[list[str], np.ndarray]:
+    """The lines, short ones padded to a shingle, and a number for each shingle of their concatenation."""
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    rolled = codes[: len(codes) - SHINGLE + 1].copy()
+    for i in range(1, SHINGLE):
+        rolled = rolled * np.uint64(0x100000001B3) + codes[i : len(codes) - SHINGLE + 1 + i]
+    return padded, rolled
+
+
 def signatures(lines: list[str], bins: int) -> np.ndarray:
     """MinHash signatures, one row for each line.
 
     In every round a shingle falls into one bin with one value, and a bin keeps its least value of the first round that
     filled it; lines go through rounds until all bins are full. Bins still empty take the next full one's value.
     """
-    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    padded, rolled = rolled_shingles(lines)
     counts = np.array([len(x) for x in padded], dtype=np.int64) - (SHINGLE - 1)
-    rolled = codes[: len(codes) - SHINGLE + 1].copy()
-    for i in range(1, SHINGLE):
-        rolled = rolled * np.uint64(0x100000001B3) + codes[i : len(codes) - SHINGLE + 1 + i]
     owner = np.repeat(np.arange(len(lines)), counts)
     return minhashes(rolled[np.arange(len(owner)) + (SHINGLE - 1) * owner], owner, len(lines), bins)
 
@@ -227,10 +237,29 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(blobs)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for portion in _different(batches):
-        line, forms = zip(*portion, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(forms, pa.string())], names=["line", "form"])
+def line_filter(lines: DataFrame) -> np.ndarray:
+    """A bitmap with the leading FILTER_BITS bits of the lines' hashes set, of one size however many lines there are."""
+    slot = F.shiftrightunsigned("id", 64 - FILTER_BITS)
+    bits = F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")
+    words = lines.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(bits).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _texts(listed: np.ndarray):
+    """(line, form) of the lines that the bitmap lists, and of a few others that share their bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {line_hash(form): form for text in batch.column(0).to_pylist() for _, form in plain_lines(text)}
+            slot = np.fromiter(found, np.int64, len(found)).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            kept = (listed[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            rows = [(line, form.decode("utf-8", "replace")) for (line, form), k in zip(found.items(), kept.tolist(), strict=True) if k]
+            line, forms = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(forms, pa.string())], names=["line", "form"])
+
+    return run
 
 
 def similarity(a: frozenset, b: frozenset) -> float:
@@ -274,33 +303,29 @@ def reached(forms: list[str]) -> list[int]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (group, cell, line, form) sorted by group, cell and line: (line, to, form), each line with the first of
-    its cell that verified links reach. The first ones themselves come with their form and their group. A cell is what is
-    verified together."""
+    """From rows (group, cell, line, form) sorted by group, cell and line: (line, to), each line with the first of its cell
+    that verified links reach. A cell is what is verified together."""
 
-    def closed(group: int, lines: list[tuple[int, str]]) -> list[tuple]:
-        first = reached([form for _, form in lines])
-        return [(line, group, form) if first[i] == i else (line, lines[first[i]][0], None) for i, (line, form) in enumerate(lines)]
+    def closed(lines: list[tuple[int, str]]) -> list[tuple[int, int]]:
+        return [(line, lines[first][0]) for (line, _), first in zip(lines, reached([form for _, form in lines]), strict=True)]
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        line, to, form = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(line, pa.int64()), pa.array(to, pa.int64()), pa.array(form, pa.string())], names=["line", "to", "form"]
-        )
+    def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        line, to = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(to, pa.int64())], names=["line", "to"])
 
     now, lines = None, []
     for batch in batches:
-        out: list[tuple] = []
+        out: list[tuple[int, int]] = []
         for group, cell, line, form in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if (group, cell) != now:
                 if lines:
-                    out += closed(now[0], lines)
+                    out += closed(lines)
                 now, lines = (group, cell), []
             if not lines or lines[-1][0] != line:
                 lines.append((line, form))
         yield batch_of(out)
     if lines:
-        yield batch_of(closed(now[0], lines))
+        yield batch_of(closed(lines))
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +342,75 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["line", "key", "checks"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, form of a, form of b) -> (a, b) of those that are similar."""
+def slots(forms: list[str]) -> list[np.ndarray]:
+    """For each line the SLOT_BITS-bit hashes of its different shingles, as many as these are."""
+    padded, rolled = rolled_shingles(forms)
+    ends = np.cumsum([len(x) for x in padded])
+    return [
+        (mixed(np.unique(rolled[end - len(x) : end - SHINGLE + 1]), 7) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        for x, end in zip(padded, ends.tolist(), strict=True)
+    ]
+
+
+def bridges(checks: np.ndarray, cells: np.ndarray, parts: np.ndarray, forms: list[str]) -> list[tuple[int, int]]:
+    """Pairs of parts, a forest with the components of all pairs of similar lines of one band in different parts.
+
+    Each line outside the largest part is compared with all those that no link has joined to it yet; lines of one cell have
+    met. Hashed shingles give the most that two lines may share; where that is enough, their exact similarity decides.
+    """
+    names, own = np.unique(parts, return_inverse=True)
+    if len(names) == 1:
+        return []
+    largest = np.bincount(own).argmax()
+    order = np.argsort(own == largest, kind="stable")
+    own, cells, checks, forms = own[order], cells[order], checks[order], [forms[i] for i in order.tolist()]
+    hashed: list[np.ndarray] = []
+    for at in range(0, len(forms), LINES_AT_ONCE):
+        hashed += slots(forms[at : at + LINES_AT_ONCE])
+    size, joined, found = np.array([len(x) for x in hashed]), own.copy(), []
+    mark = np.zeros(1 << SLOT_BITS, dtype=bool)
+    for a in range(int((own != largest).sum())):
+        meets = a + 1 + np.flatnonzero((joined[a + 1 :] != joined[a]) & (cells[a + 1 :] != cells[a]))
+        meets = meets[np.minimum(size[meets], size[a]) >= SIMILARITY * np.maximum(size[meets], size[a])]
+        meets = meets[agree(checks[meets], checks[a])] if len(meets) else meets
+        if not len(meets):
+            continue
+        mark[hashed[a]] = True
+        n = size[meets]
+        both = np.add.reduceat(mark[np.concatenate([hashed[b] for b in meets.tolist()])], np.cumsum(n) - n, dtype=np.int64)
+        mark[hashed[a]] = False
+        both = np.minimum(both, size[a])
+        near = meets[both / (size[a] + n - both) >= SIMILARITY].tolist()
+        shingles = shingled(forms[a]) if near else frozenset()
+        for b in near:
+            if joined[a] != joined[b] and similarity(shingles, shingled(forms[b])) >= SIMILARITY:
+                found.append((int(names[own[a]]), int(names[own[b]])))
+                joined[joined == joined[b]] = joined[a]
+    return found
+
+
+def _bridged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, checks, cell, part, form) sorted by key -> (a, b): parts that lines of a key link."""
+
+    def batch_of(runs: list[list[tuple]]) -> pa.RecordBatch:
+        found = set()
+        for run in runs:
+            _, checks, cells, parts, forms = zip(*run, strict=True)
+            found.update(bridges(*(np.array(x, dtype=np.int64) for x in (checks, cells, parts)), list(forms)))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    run: list[tuple] = []
     for batch in batches:
-        forms = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        close = [similarity(shingled(one), shingled(other)) >= SIMILARITY for one, other in forms]
-        yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
+        runs = []
+        for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if run and run[-1][0] != row[0]:
+                runs.append(run)
+                run = []
+            run.append(row)
+        yield batch_of(runs)
+    if run:
+        yield batch_of([run])
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,56 +419,36 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _named(docs, id_col, text_col).select("text")
     keyed = texts.mapInArrow(_keyed(tasks * BUCKETS_PER_TASK), "bucket long, blob binary")
     pairs = keyed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_paired, "a long, b long")
-    groups = checkpointed(connected_components(pairs))
-
-    def large(lines: DataFrame) -> DataFrame:
-        sizes = lines.groupBy("group").agg(F.count("*").alias("n")).where(f"n > {TOGETHER}")
-        return checkpointed(sizes.select("group", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts")))
-
-    def verified(rows: DataFrame) -> DataFrame:
-        dealt = rows.select("group", "cell", "line", "form").repartition(tasks, "group", "cell")
-        return checkpointed(
-            dealt.sortWithinPartitions("group", "cell", "line").mapInArrow(_verified, "line long, to long, form string")
-        )
+    # What comes from components is written and read again: the size a planner expects of joins multiplies with every round,
+    # and a checkpoint would hand it on to the rounds that follow.
+    groups = stored(connected_components(pairs), "line-groups")
 
     # Large groups are dealt out by their lines' hashes, which gathers crowds around a few first lines each.
     named = groups.select(F.col("component").alias("group"), "id")
-    part = F.pmod(F.xxhash64("line"), F.coalesce("parts", F.lit(1))).cast("long")
-    lines = texts.mapInArrow(_texts, "line long, form string").join(named, F.col("line") == F.col("id"))
-    sizes = large(named)
-    once = verified(lines.join(sizes, "group", "left").withColumn("cell", part))
-    # The first lines of large groups then meet in blocks, every block with every other, so no two are left apart.
-    firsts = once.where("form IS NOT NULL").select(F.col("to").alias("group"), "line", "form").join(sizes.select("group"), "group", "left_semi")
-    firsts = checkpointed(firsts)
-    blocks = firsts.join(large(firsts), "group", "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "block": part})
-    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
-        "cell", F.least("block", "other") * F.col("parts") + F.greatest("block", "other")
-    )
-    twice = verified(met)
-    links = once.unionByName(twice).where("form IS NULL").select(F.col("line").alias("a"), F.col("to").alias("b"))
-    # Written and read again: the union's plan would be carried through every round, and grow.
+    large = named.groupBy("group").agg(F.count("*").alias("n")).where(f"n > {TOGETHER}")
+    large = checkpointed(large.select("group", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts")))
+    cell = F.pmod(F.xxhash64("line"), F.coalesce("parts", F.lit(1))).cast("long")
+    lines = texts.mapInArrow(_texts(line_filter(groups)), "line long, form string").join(named, F.col("line") == F.col("id"))
+    lines = checkpointed(lines.join(large, "group", "left").select("group", cell.alias("cell"), "line", "form", F.col("parts").isNotNull().alias("dealt")))
+    dealt = lines.select("group", "cell", "line", "form").repartition(tasks, "group", "cell").sortWithinPartitions("group", "cell", "line")
+    links = dealt.mapInArrow(_verified, "line long, to long").where("line != to").select(F.col("line").alias("a"), F.col("to").alias("b"))
     links = stored(links, "line-links")
-    joined = checkpointed(connected_components(links))
-    if sizes.isEmpty():
+    joined = stored(connected_components(links), "line-components")
+    if large.isEmpty():
         return joined.withColumnRenamed("id", "line")
-    # Lines of one large group that are still apart may be linked by two that were not first lines: every pair of them
-    # that shares a band is compared, but for pairs that met before.
-    members = lines.join(sizes, "group").select("group", "line", "form", part.alias("cell"))
-    members = members.join(joined, F.col("line") == F.col("id"), "left").join(firsts.select(F.col("line").alias("first")), F.col("line") == F.col("first"), "left")
-    members = members.select("line", "form", "cell", F.coalesce("component", "line").alias("part"), F.col("first").isNotNull().alias("is_first"))
-    members = checkpointed(members.dropDuplicates(["line"]))
+    # Lines of one large group that are still apart may be linked by two of different cells: where a band holds lines of
+    # several components, those of them that are apart meet there.
+    members = lines.where("dealt").dropDuplicates(["line"]).join(joined, F.col("line") == F.col("id"), "left")
+    members = checkpointed(members.select("line", "form", "cell", F.coalesce("component", "line").alias("part")))
     keys = members.select("line", "form").mapInArrow(_banded, "line long, key long, checks long")
-    keys = checkpointed(keys.join(members.drop("form"), "line"))
-    apart = keys.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
-    keys = keys.join(apart, "key", "left_semi").select("key", "line", "checks", "cell", "part", "is_first")
-    one, other = (keys.toDF("key", f"line_{x}", f"checks_{x}", f"cell_{x}", f"part_{x}", f"first_{x}") for x in "ab")
-    equal = sum((F.col("checks_a").bitwiseXOR(F.col("checks_b")).bitwiseAND(F.lit(255 << 8 * i if i < 7 else -1 << 56)) == 0).cast("int") for i in range(CHECKS))
-    across = one.join(other, "key").where("line_a < line_b AND part_a != part_b AND cell_a != cell_b AND NOT (first_a AND first_b)")
-    across = checkpointed(across.where(equal >= CHECKED).select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct())
-    forms = members.select("line", "form")
-    both = across.join(forms.toDF("b", "other"), "b").join(forms.toDF("a", "one"), "a").select("a", "b", "one", "other")
-    thrice = both.mapInArrow(_near, "a long, b long")
-    return connected_components(stored(links.unionByName(thrice), "line-links")).withColumnRenamed("id", "line")
+    keys = checkpointed(keys.join(members.select("line", "part"), "line"))
+    mixed_keys = keys.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
+    meeting = keys.drop("part").join(mixed_keys, "key", "left_semi").join(members, "line").select("key", "checks", "cell", "part", "form")
+    across = meeting.repartition(tasks, spread("key")).sortWithinPartitions("key").mapInArrow(_bridged, "a long, b long")
+    bridged = stored(connected_components(stored(across, "line-bridges")), "line-components")
+    whole = joined.join(bridged.toDF("part", "whole"), F.col("component") == F.col("part"), "left")
+    whole = whole.select(F.col("id").alias("line"), F.coalesce("whole", "component").alias("component"))
+    return whole.unionByName(bridged.join(joined, "id", "left_anti").select(F.col("id").alias("line"), "component"))
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,12 +460,14 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = checkpointed(occurrences(docs, id_col, text_col).distinct())
     components = checkpointed(line_components(docs, id_col, text_col))
-    firsts = found.groupBy("line").agg(F.min(F.struct("id", "number")).alias("first"))
-    named = checkpointed(firsts.join(components, "line", "left").select("line", "first", F.coalesce("component", "line").alias("component")))
+    firsts = found.groupBy("line").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("n"))
+    # A line that stands once and is linked to none stays: it takes no part in what follows.
+    named = firsts.join(components, "line", "left").where("n > 1 OR component IS NOT NULL")
+    named = checkpointed(named.select("line", "first", F.coalesce("component", "line").alias("component")))
     kept = checkpointed(named.groupBy("component").agg(F.min("first").alias("stays")))
     stays = checkpointed(named.join(kept, "component").select("line", "stays"))
     goes = F.struct("id", "number") != F.col("stays")
-    removed = found.join(stays, "line").groupBy("id").agg(
+    removed = found.join(stays, "line", "left").groupBy("id").agg(
         F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(goes, F.col("number")))).alias("removed")
     )
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()

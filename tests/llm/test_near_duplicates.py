@@ -141,6 +141,38 @@ def test_sparse_chains_of_lines_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.removed for r in found} == {i: [0] if first[i] != i else [] for i in linked}
 
 
+def test_crowds_of_lines_meet_in_a_forest():
+    rng, forms = random.Random(15), ["abc", "abc def"]
+    for k in range(3):  # three crowds, whose lines are mostly near, and lines with shingles of their own repeated
+        base = [str(rng.randrange(1000, 10**4)) for _ in range(40)] + ["was"] * 20 * k
+        forms += [" ".join(w if rng.random() > 0.04 else "changed" for w in base) for _ in range(60)]
+    n = len(forms)
+    sets, parts, cells = [line_dedup.shingled(x) for x in forms], np.array([i % 97 for i in range(n)]), np.arange(n) % 5
+    near = {(i, j) for i in range(n) for j in range(i) if cells[i] != cells[j] and line_dedup.similarity(sets[i], sets[j]) >= 0.8}
+    found = line_dedup.bridges(np.zeros(n, dtype=np.int64), cells, parts, forms)
+
+    def joined(pairs):
+        linked = {p: set() for p in set(parts.tolist())}
+        for a, b in pairs:
+            linked[a].add(b)
+            linked[b].add(a)
+        return smallest_reachable(linked, linked)
+
+    assert joined(found) == joined({(int(parts[i]), int(parts[j])) for i, j in near})
+    assert len(near) > 20 * len(found) and len(found) == 97 - len(set(joined(found).values()))
+
+
+def test_texts_of_lines_without_candidates_are_not_shuffled(spark):
+    rows = [(i, prose(300 + i, 30)) for i in range(200)]
+    lines = [line_dedup.line_hash(form) for _, t in rows[:20] for _, form in line_dedup.plain_lines(t)]
+    listed = line_dedup.line_filter(spark.createDataFrame([(x,) for x in lines], "id long"))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("text")
+    found = {r.line for r in texts.mapInArrow(line_dedup._texts(listed), "line long, form string").collect()}
+    assert set(lines) <= found and len(found) <= len(lines) + 2
+    nothing = line_dedup.line_filter(spark.createDataFrame([], "id long"))
+    assert texts.mapInArrow(line_dedup._texts(nothing), "line long, form string").count() == 0
+
+
 def test_signatures_estimate_similarity():
     a = prose(1, 80)
     b = a.replace(a[100:130], "something quite different here")
