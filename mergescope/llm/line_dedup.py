@@ -42,14 +42,19 @@ FEW = 16
 COLUMNS_AT_ONCE = 4096
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Lower case for A-Z and a blank for white space inside lines.
+PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\r\v\f", b"abcdefghijklmnopqrstuvwxyz    ")
 
 
 def plain_lines(text: str | None) -> Iterator[tuple[int, bytes]]:
     """(number, compared form) of the lines that hold a word."""
-    for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-        words = line.lower().split()
-        if words:
-            yield number, b" ".join(words)
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(PLAIN)
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    for number, line in enumerate(raw.split(b"\n")):
+        form = line.strip(b" ")
+        if form:
+            yield number, form
 
 
 def line_hash(line: bytes) -> int:
@@ -58,10 +63,12 @@ def line_hash(line: bytes) -> int:
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    x = (x ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * MIX
+    x = x ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x *= MIX
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def rolled_shingles(lines: list[str]) -> tuple[list[str], np.ndarray]:
@@ -91,9 +98,14 @@ def minhashes(shingles: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.
     out = np.full(n * bins, EMPTY)
     for turn in range(ROUNDS):
         h = mixed(shingles, turn + 1)
-        bin_of = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        value = (h & np.uint64(0xFFFFFFFF)) | np.uint64(turn << 32)
-        np.minimum.at(out, owner * bins + bin_of, value)
+        value = h & np.uint64(0xFFFFFFFF)
+        value |= np.uint64(turn << 32)
+        h >>= np.uint64(32)
+        h *= np.uint64(bins)
+        h >>= np.uint64(32)
+        slot = h.view(np.int64)
+        slot += owner * bins
+        np.minimum.at(out, slot, value)
         open_lines = (out.reshape(-1, bins) == EMPTY).any(axis=1)
         if not open_lines.any():
             break
@@ -268,32 +280,50 @@ def similarity(a: frozenset, b: frozenset) -> float:
 
 
 def shingled(form: str) -> frozenset:
-    return frozenset(form[i : i + SHINGLE] for i in range(max(1, len(form) - SHINGLE + 1)))
+    return frozenset([form[i : i + SHINGLE] for i in range(max(1, len(form) - SHINGLE + 1))])
+
+
+def reached_of_few(sets: list[frozenset]) -> list[int]:
+    """The same for few lines: each one reached is compared with those not reached yet."""
+    first, left = list(range(len(sets))), list(range(len(sets)))
+    while left:
+        root, *left = left
+        queue = [root]
+        while queue and left:
+            a, apart = sets[queue.pop()], []
+            for i in left:
+                b = sets[i]
+                if min(len(a), len(b)) >= SIMILARITY * max(len(a), len(b)) and similarity(a, b) >= SIMILARITY:
+                    first[i] = root
+                    queue.append(i)
+                else:
+                    apart.append(i)
+            left = apart
+    return first
 
 
 def reached(forms: list[str]) -> list[int]:
     """For each line the first one that links of similarity SIMILARITY or more reach from it."""
     sets, n = [shingled(form) for form in forms], len(forms)
     if n <= FEW:
-        near = [[similarity(a, b) >= SIMILARITY for b in sets] for a in sets]
-    else:
-        # Shared shingles of all pairs as a product of membership matrices, over those that two lines hold at least.
-        number: dict[str, int] = {}
-        rows = [[number.setdefault(s, len(number)) for s in own] for own in sets]
-        row = np.repeat(np.arange(n), [len(x) for x in rows])
-        column = np.concatenate([np.array(x, dtype=np.int64) for x in rows])
-        twice = np.bincount(column, minlength=len(number)) > 1
-        order = np.cumsum(twice) - 1
-        row, column = row[twice[column]], order[column[twice[column]]]
-        both = np.zeros((n, n), dtype=np.float32)
-        for at in range(0, int(twice.sum()), COLUMNS_AT_ONCE):
-            inside = (column >= at) & (column < at + COLUMNS_AT_ONCE)
-            part = np.zeros((n, COLUMNS_AT_ONCE), dtype=np.float32)
-            part[row[inside], column[inside] - at] = 1
-            both += part @ part.T
-        size = np.array([len(s) for s in sets], dtype=np.float64)
-        near = both / (size[:, None] + size[None, :] - both) >= SIMILARITY
-    near, first = np.asarray(near), np.full(n, -1)
+        return reached_of_few(sets)
+    # Shared shingles of all pairs as a product of membership matrices, over those that two lines hold at least.
+    number: dict[str, int] = {}
+    rows = [[number.setdefault(s, len(number)) for s in own] for own in sets]
+    row = np.repeat(np.arange(n), [len(x) for x in rows])
+    column = np.concatenate([np.array(x, dtype=np.int64) for x in rows])
+    twice = np.bincount(column, minlength=len(number)) > 1
+    order = np.cumsum(twice) - 1
+    row, column = row[twice[column]], order[column[twice[column]]]
+    both = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, int(twice.sum()), COLUMNS_AT_ONCE):
+        inside = (column >= at) & (column < at + COLUMNS_AT_ONCE)
+        part = np.zeros((n, COLUMNS_AT_ONCE), dtype=np.float32)
+        part[row[inside], column[inside] - at] = 1
+        both += part @ part.T
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    near = both / (size[:, None] + size[None, :] - both) >= SIMILARITY
+    first = np.full(n, -1)
     for root in range(n):
         frontier = np.array([root]) if first[root] < 0 else np.empty(0, dtype=np.int64)
         while len(frontier):

@@ -182,6 +182,21 @@ def test_signatures_estimate_similarity():
     assert line_dedup.fuzzy_lines is not None and len(line_dedup.signatures(["a", ""], 96)) == 2
 
 
+def test_lines_reached_are_not_compared_again(monkeypatch):
+    text = prose(3, 40)
+    lines = [text[: len(text) - i] + "x" * i for i in range(12)] + [prose(4, 40), "short"]
+    calls, similarity = [], line_dedup.similarity
+    monkeypatch.setattr(line_dedup, "similarity", lambda a, b: calls.append(1) or similarity(a, b))
+    assert line_dedup.reached(lines) == [0] * 12 + [12, 13]
+    assert len(calls) <= len(lines) * (len(lines) - 1) / 2
+
+
+def test_lines_have_plain_forms():
+    found = list(line_dedup.plain_lines(" A\tB \r\n\n \x0b\x0c \nÄ  É   x\x1fY\u00a0z\n\u2003Q"))
+    assert found == [(0, b"a b"), (3, "Ä É x\x1fy\u00a0z".encode()), (4, "\u2003q".encode())]
+    assert list(line_dedup.plain_lines(None)) == list(line_dedup.plain_lines("")) == []
+
+
 def test_many_lines_are_reached_as_few_are(monkeypatch):
     rng, lines = random.Random(8), []
     for i in range(40):
