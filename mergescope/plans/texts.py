@@ -15,7 +15,7 @@ from mergescope.operators.labelling import (
     attribute, classify_table, fixes_with_commits, label_by_title, label_incremental, parse_responses, validate_responses,
 )
 from mergescope.operators.ranking import sha_batches
-from mergescope.session import shared_folder, stored
+from mergescope.session import JOINED_AS_DEALT, settings, shared_folder, stored, stored_by
 from mergescope.sources.gitfiles import (
     commit_patches, diff_records, last_statuses, latest, log_files, log_records, read_tasks, status_rows, write_git_text,
 )
@@ -211,19 +211,27 @@ def whole_patch_sizes(w: Warehouse) -> DataFrame:
 
 
 def commit_details(w: Warehouse) -> DataFrame:
-    """Detail rows rebuilt from git text, summed per file status."""
-    log, marked = _git_files(w, "log"), _git_files(w, "marked")
-    # The commits' files are read from them twice.
-    commits = stored(latest(log_records(w.spark, log), ["sha"], read_tasks(w.spark, log)), "commits")
-    statuses = last_statuses(status_rows(w.spark, _git_files(w, "status")), ["sha", "filename"])
-    patches = latest(commit_patches(w.spark, marked), ["sha", "filename"], read_tasks(w.spark, marked))
+    """Detail rows rebuilt from git text, summed per file status.
+
+    Each table is shuffled once, by sha, and stored; nothing of them is shuffled where they are joined. A table's shuffle is gone
+    before that of the next.
+    """
+    marked = _git_files(w, "marked")
+    tasks = read_tasks(w.spark, marked)
+    patches = stored_by(latest(commit_patches(w.spark, marked), ["sha", "filename"], tasks, by=["sha"]), "patches", "sha", tasks)
+    listed = status_rows(w.spark, _git_files(w, "status"))
+    statuses = stored_by(last_statuses(listed, ["sha", "filename"], tasks, by=["sha"]), "statuses", "sha", tasks)
+    commits = stored_by(latest(log_records(w.spark, _git_files(w, "log")), ["sha"], tasks), "commits", "sha", tasks)
     holders = _git_lines(w).select(_sha("l_partkey", "l_suppkey").alias("sha"), "pr_id")
+    holders = stored_by(holders.repartition(tasks, "sha").distinct(), "holders", "sha", tasks)
     details = build_details(commits, log_files(commits), statuses, patches, holders)
-    return details.groupBy("filename", "status").agg(
+    summary = details.groupBy("filename", "status").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("pr_id").alias("prs"), F.sum("changes").alias("changes"),
         F.sum("commit_stats_total").alias("commit_total"), F.sum(F.octet_length("patch")).alias("patch_bytes"),
         F.sum(F.char_length("message")).alias("message_length"),
     )
+    with settings(w.spark, JOINED_AS_DEALT | {"spark.sql.shuffle.partitions": tasks}):
+        return stored(summary, "details")
 
 
 def sha_work_list(w: Warehouse) -> DataFrame:

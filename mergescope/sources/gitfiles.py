@@ -8,7 +8,9 @@ in the log's files before it.
 
 Every row carries `at`, its place: file, first byte of its range, and number of the row. Places order the rows of a file.
 Text is written after the shuffle that puts a log in order, from the columns it is made of, and is shuffled once where the
-last rows of keys are looked for. The tasks of both grow with the input, so that a task's memory does not.
+last rows of keys are looked for. The tasks of both grow with the input, so that a task's memory does not. Files are written
+compressed, with few enough rows each for one task to read; files from elsewhere may be plain and of any size. Shas are
+shuffled as bytes.
 """
 
 from __future__ import annotations
@@ -25,12 +27,17 @@ from pyspark.sql import functions as F
 
 from mergescope.functions.text import strip, within_bytes
 from mergescope.operators.gittext import COMMIT_MARK, is_log_entry, is_patch, log_fields, numstat_files, patch_fields, status_word
+from mergescope.session import SHUFFLES_FREED, settings
 
 # What runs in executors travels with its task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows that one task puts in order and writes, about.
 ROWS_A_TASK = 500_000
+#: Files that those rows go to: a compressed file is read by one task, and a task reads several.
+FILES_A_TASK = 20
+#: Of such files, those whose rows one task looks through for the last of each key.
+FILES_SHUFFLED = 8
 
 HEADER = r"^\s*([0-9a-f]{40})"
 
@@ -40,19 +47,26 @@ def write_git_text(df: DataFrame, text: str | Column, path: str, log: str, order
 
     Rows are dealt out by ranges of (log, order), so a log that holds much of the table is written by many tasks; the names
     of its files rise in its order. A newline closes every text. A text given as an expression is made after rows are dealt
-    out, so its columns are shuffled in its place.
+    out, so its columns are shuffled in its place. What is shuffled is removed when the files are written.
     """
     keys = [log, *order]
     parts = -(-df.count() // ROWS_A_TASK)
     many = [parts] if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     rows = df.repartitionByRange(*many, *keys).sortWithinPartitions(*keys)
     text = F.col(text) if isinstance(text, str) else text
-    rows.select(text.alias("text"), F.col(log).alias("log")).write.partitionBy("log").text(path)
+    write = rows.select(text.alias("text"), F.col(log).alias("log")).write.partitionBy("log")
+    with settings(df.sparkSession, SHUFFLES_FREED):
+        write.option("maxRecordsPerFile", max(1, ROWS_A_TASK // FILES_A_TASK)).text(path, compression="gzip")
 
 
 def read_tasks(spark: SparkSession, path: str) -> int:
-    """Tasks to shuffle the text of a path with: as many as read it, or as the session's settings name, if more."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.read.text(path).rdd.getNumPartitions())
+    """Tasks to shuffle the text of a path with: as many as read it, or as the session's settings name, if more.
+
+    Compressed text is several times as much as its files, so there is a task for every few of them, if that is more.
+    """
+    read = spark.read.text(path)
+    reading, packed = read.rdd.getNumPartitions(), sum(f.endswith(".gz") for f in read.inputFiles())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), reading, min(packed // FILES_SHUFFLED, 8 * reading))
 
 
 def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -70,9 +84,31 @@ def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return read.select(log.alias("log"), place.alias("at"), F.col("value").alias("text"))
 
 
-def latest(rows: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
-    """Of the rows with the same key that of the last place, looked for by so many tasks; see `read_tasks`."""
-    dealt = rows if tasks is None else rows.repartition(tasks, *keys)
+def _bytes(sha: Column) -> Column:
+    """A sha in half its length; other text stays as it is, behind another mark."""
+    return F.when(sha.rlike(r"^[0-9a-f]{40}\z"), F.concat(F.lit(b"\1"), F.unhex(sha))).otherwise(F.concat(F.lit(b"\0"), sha.cast("binary")))
+
+
+def _hex(packed: Column) -> Column:
+    rest = F.substring(packed, 2, 2**31 - 1)
+    return F.when(F.substring(packed, 1, 1) == F.lit(b"\1"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def _dealt(rows: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """Rows dealt out by their keys to so many tasks, the sha in bytes on its way."""
+    if "sha" not in rows.columns:
+        return rows.repartition(tasks, *keys)
+    by = [_hex(F.col(k)) if k == "sha" else F.col(k) for k in keys]
+    packed = rows.withColumn("sha", _bytes(F.col("sha"))).repartition(tasks, *by)
+    return packed.withColumn("sha", _hex(F.col("sha")))
+
+
+def latest(rows: DataFrame, keys: Sequence[str], tasks: int | None = None, by: Sequence[str] | None = None) -> DataFrame:
+    """Of the rows with the same key that of the last place, looked for by so many tasks; see `read_tasks`.
+
+    Rows are dealt out to them by their keys, or by some of the keys.
+    """
+    dealt = rows if tasks is None else _dealt(rows, by or keys, tasks)
     from_last = Window.partitionBy(*keys).orderBy(F.desc("at"))
     return dealt.withColumn("place__", F.row_number().over(from_last)).where("place__ = 1").drop("place__")
 
@@ -134,9 +170,12 @@ def status_rows(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("log", F.struct("file", "start", "row").alias("at"), F.col("header").alias("sha"), name.alias("filename"), strip(letter).alias("letter"))
 
 
-def last_statuses(rows: DataFrame, keys: Sequence[str] = ("log", "sha", "filename")) -> DataFrame:
-    """(keys, status): the word of each file's last line."""
-    last = rows.groupBy(*keys).agg(F.max_by("letter", "at").alias("letter"))
+def last_statuses(
+    rows: DataFrame, keys: Sequence[str] = ("log", "sha", "filename"), tasks: int | None = None, by: Sequence[str] | None = None
+) -> DataFrame:
+    """(keys, status): the word of each file's last line; dealt out as in `latest`."""
+    dealt = rows if tasks is None else _dealt(rows, by or keys, tasks)
+    last = dealt.groupBy(*keys).agg(F.max_by("letter", "at").alias("letter"))
     return last.select(*keys, status_word(F.col("letter")).alias("status"))
 
 

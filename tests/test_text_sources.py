@@ -1,6 +1,7 @@
 """Git text, API records, readers, sinks and streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from mergescope.operators.gittext import (
     COMMIT_MARK, MESSAGE_END, build_details, diff_files, log_commits, name_status, numstat_files,
 )
 from mergescope.schema import COMMITS, PULL_REQUESTS, conform, normalize_prs
+from mergescope.session import JOINED_AS_DEALT, settings, stored, stored_by
 from mergescope.sources.gitfiles import (
     commit_patches, diff_records, last_statuses, latest, log_files, log_records, read_tasks, status_rows, write_git_text,
 )
@@ -159,6 +161,72 @@ def test_texts_are_joined_before_rows_are_repeated_for_their_holders(spark):
     assert rows(built, "sha", "pr_id", "message", "patch") == [(A, 1, "m", "@@"), (A, 2, "m", "@@")]
 
 
+def shuffled_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+def test_what_writes_shuffle_does_not_stay(spark, tmp_path):
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled_bytes(spark), spark.conf.get(freed)
+    write_git_text(spark.range(9000).withColumn("repo", F.lit(0)), F.concat("id", F.lit(" text")), f"{tmp_path}/logs", "repo", ["id"])
+    rows_ = spark.range(9000).withColumn("sha", F.sha1(F.col("id").cast("string")))
+    counted = stored(rows_.groupBy("sha").count(), "counted")
+    table = stored_by(rows_.repartition(3, "sha"), "dealt", "sha", 3)
+    for _ in range(50):  # files go a little later
+        left = shuffled_bytes(spark) - before
+        if left < 5000:  # counts of rows stay
+            break
+        time.sleep(0.2)
+    assert left < 5000
+    assert spark.conf.get(freed) == setting
+    assert counted.count() == table.count() == 9000 and len(table.inputFiles()) == 3
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt")]
+
+
+def test_written_text_is_small_and_read_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("mergescope.sources.gitfiles.ROWS_A_TASK", 2000)
+    body = "\nAnn\nBot\nThe same words again and again\n" + MESSAGE_END + "\n1\t0\tsrc/file.py"
+    mark = F.concat(F.lit(COMMIT_MARK + "\n"), F.sha1((F.col("id") % 700).cast("string")), F.lit(body + " "), "id")
+    write_git_text(spark.range(9000).withColumn("repo", F.col("id") % 2), mark, f"{tmp_path}/logs", "repo", ["id"])
+    size = sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+    assert size < 9000 * (len(COMMIT_MARK) + 41 + len(body)) / 3
+    found = log_records(spark, f"{tmp_path}/logs")
+    assert found.count() == 9000
+    last = latest(found, ["sha"], read_tasks(spark, f"{tmp_path}/logs"))
+    assert sorted(int(r.filename.split()[1]) for r in log_files(last).collect() if r.log == 1) == [i for i in range(8300, 9000) if i % 2]
+
+
+def test_shas_of_any_form_are_dealt_out_and_come_back(spark):
+    odd = [A, A.upper(), "", "abc", "\x01" + "b" * 19, "b" * 39, "b" * 41, "b" * 40, "b" * 40 + "\n", "0é" * 20, None]
+    found = [(s, "f", i, "old") for i, s in enumerate(odd)] + [(s, "f", 100 + i, "new") for i, s in enumerate(odd)]
+    given = spark.createDataFrame(found, "sha string, filename string, at int, letter string")
+    want = sorted(((s, "f", "new") for s in odd), key=repr)
+    for by in (None, ["sha"]):
+        last = latest(given, ["sha", "filename"], 5, by)
+        assert sorted((tuple(r) for r in last.select("sha", "filename", "letter").collect()), key=repr) == want
+        assert sorted((tuple(r) for r in last_statuses(given, ["sha", "filename"], 5, by).collect()), key=repr) == want
+        assert plan_of(last).count("Exchange") == 1 and "unhex" in plan_of(last).split("Exchange")[1]
+
+
+def test_tables_dealt_out_by_sha_are_joined_without_a_shuffle(spark):
+    commits = spark.createDataFrame([(A, "Ann", "Bot", "m"), (B, "Bob", "Bob", "n"), (C, "Cy", "Cy", "o")], "sha string, author string, committer string, message string")
+    files = spark.createDataFrame([(A, "f", 1, 2), (A, "g", 3, 0), (C, "f", 1, 1)], "sha string, filename string, additions long, deletions long")
+    statuses = spark.createDataFrame([(A, "f", "added"), (C, "f", "removed")], "sha string, filename string, status string")
+    patches = spark.createDataFrame([(A, "f", "@@"), (C, "f", "--")], "sha string, filename string, patch string")
+    held = spark.createDataFrame([(A, 1), (A, 2), (B, 1), (A, 2)], "sha string, pr_id long")
+    given = (commits, files, statuses, patches, held)
+    tables = [stored_by(df.repartition(4, "sha"), f"t{i}", "sha", 4) for i, df in enumerate(given)]
+    shown = ("sha", "pr_id", "filename", "status", "changes", "patch", "commit_stats_total", "message")
+    with settings(spark, JOINED_AS_DEALT | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        built = build_details(*tables)
+        assert "Exchange" not in plan_of(built) and "SortMergeJoin" in plan_of(built)
+        assert rows(built, *shown) == rows(build_details(*given), *shown)
+    assert rows(built, "sha", "pr_id", "filename") == [
+        (A, 1, "f"), (A, 1, "g"), (A, 2, "f"), (A, 2, "g"), (B, 1, None), (C, None, "f")
+    ]
+
+
 def test_empty_git_files(spark, tmp_path):
     (tmp_path / "none").write_text("")
     path = str(tmp_path / "none")
