@@ -197,6 +197,21 @@ def test_written_text_is_small_and_read_whole(spark, tmp_path, monkeypatch):
     assert sorted(int(r.filename.split()[1]) for r in log_files(last).collect() if r.log == 1) == [i for i in range(8300, 9000) if i % 2]
 
 
+def test_patches_in_small_files_are_shuffled_by_a_task_for_every_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("mergescope.sources.gitfiles.ROWS_A_TASK", 100)
+    sha = F.sha1((F.col("id") % 600).cast("string"))
+    mark = F.concat(F.lit(COMMIT_MARK + "\n"), sha, F.lit("\n\ndiff --git a/x b/x\n@@ "), "id", F.lit("\ndiff --git a/big b/big\n" + "+" * 60))
+    path = f"{tmp_path}/marked"
+    write_git_text(spark.range(900).withColumn("repo", F.lit(0)), mark, path, "repo", ["id"])
+    files, tasks = len(spark.read.text(path).inputFiles()), read_tasks(spark, path)
+    assert files >= 180 and tasks == files // 8
+    last = latest(commit_patches(spark, path, cap=50), ["log", "sha", "filename"], tasks)
+    assert last.rdd.getNumPartitions() == tasks
+    got = last.select("filename", "patch").collect()
+    assert sorted(r.patch for r in got if r.filename == "x") == sorted(f"@@ {i}\n" for i in range(300, 900))
+    assert [r.patch for r in got if r.filename == "big"] == [None] * 600
+
+
 def test_shas_of_any_form_are_dealt_out_and_come_back(spark):
     odd = [A, A.upper(), "", "abc", "\x01" + "b" * 19, "b" * 39, "b" * 41, "b" * 40, "b" * 40 + "\n", "0é" * 20, None]
     found = [(s, "f", i, "old") for i, s in enumerate(odd)] + [(s, "f", 100 + i, "new") for i, s in enumerate(odd)]
