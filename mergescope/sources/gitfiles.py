@@ -55,8 +55,9 @@ def write_git_text(df: DataFrame, text: str | Column, path: str, log: str, order
     rows = df.repartitionByRange(*many, *keys).sortWithinPartitions(*keys)
     text = F.col(text) if isinstance(text, str) else text
     write = rows.select(text.alias("text"), F.col(log).alias("log")).write.partitionBy("log")
+    write = write.option("maxRecordsPerFile", max(1, ROWS_A_TASK // FILES_A_TASK)).option("zlib.compress.level", "BEST_SPEED")
     with settings(df.sparkSession, SHUFFLES_FREED):
-        write.option("maxRecordsPerFile", max(1, ROWS_A_TASK // FILES_A_TASK)).option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip")
+        write.text(path, compression="gzip")
 
 
 def read_tasks(spark: SparkSession, path: str) -> int:
